@@ -5,17 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .tables import table
+from .toxicity import toxicity
+
+
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4, seed=42)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)),
+        firsts AS (SELECT s, min(struct_pack(d := doc_id, p := p)) AS f FROM win GROUP BY s HAVING count(*) > 1),
+        late AS (SELECT win.doc_id, win.p FROM win JOIN firsts USING (s) WHERE struct_pack(d := win.doc_id, p := win.p) > f),
+        gone AS (SELECT DISTINCT doc_id, p + k AS q FROM late, range(0, 20) t(k)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+        agg AS (
+            SELECT words.doc_id, count(gone.q) AS r, coalesce(string_agg(word, ' ' ORDER BY words.q) FILTER (gone.q IS NULL), '') AS kept
+            FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.q = words.q GROUP BY words.doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
+    """,
+}
