@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Cache, materialize, mix64, small_enough
 
-ORDER = 7
+ORDER = 8
 #: Log2 of the rows of a hashed table: the highest order's, and the others'.
 TOP_BITS, TABLE_BITS = 20, 18
 DISCOUNT = 0.75
@@ -88,7 +88,7 @@ def _suffix(g: np.ndarray, k: int) -> np.ndarray:
 
 
 def _slot(g: np.ndarray, table: int, bits: int) -> np.ndarray:
-    return (mix64(g + np.uint64(table) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix64(g + np.uint64(table * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 #: Names of the tables: the top order's counts, totals and kinds by class; of each lower order k what continues, in all and kinds.
@@ -128,22 +128,35 @@ class Model:
             sides.append(np.log(np.maximum(np.where(total > 0, q, p), 1e-12)))
         return np.bincount(of, weights=sides[1] - sides[0], minlength=len(words))
 
+    def look_up(self, raw: list[bytes], cache: dict[bytes, bytes]) -> None:
+        """Put (ratio, bytes) of the words in each raw string into the cache, packed."""
+        found = [tokens(x) for x in raw]
+        words = [w for x in found for w in x]
+        rows = np.column_stack([self.word_ratios(words), list(map(len, words))]).astype(np.float32) if words else np.zeros((0, 2), np.float32)
+        at = 0
+        for x, ws in zip(raw, found, strict=True):
+            cache[x] = rows[at : at + len(ws)].tobytes()
+            at += len(ws)
+
     def score(self, features: np.ndarray) -> np.ndarray:
         z = np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
-#: Mean ratio a byte; mean a word; the sums of the words above two thresholds, by root of the words; the largest.
-FEATURES = 5
+#: What features() returns.
+FEATURES = 8
 
 
-def features(ratios: np.ndarray, n_bytes: int) -> list[float]:
-    """Of one document, from its words' ratios."""
-    if not len(ratios):
-        return [0.0] * FEATURES
+def features(ratios: np.ndarray, n_bytes: float) -> list[float]:
+    """Of one document, from its words' ratios: means a byte and a word, what telling words add up to, the largest, shares and number of telling words."""
     n = len(ratios)
-    top = np.sort(ratios)[-3:]
-    return [float(ratios.sum() / n_bytes), float(np.clip(ratios, -4, 4).mean()), float(np.log1p(np.maximum(ratios - 1, 0).sum() / np.sqrt(n))), float(top[-1]), float(top.sum() / 3)]
+    if not n:
+        return [0.0] * FEATURES
+    top = np.partition(ratios, -min(3, n))[-3:]
+    sure = ratios > 2
+    telling = np.maximum(ratios - 1, 0)
+    found = [ratios.sum() / n_bytes, np.clip(ratios, -4, 4).mean(), np.log1p(telling.sum() / np.sqrt(n)), top.max(), top.sum() / 3, 10 * np.count_nonzero(telling) / n, 10 * sure.mean(), np.log1p(sure.sum())]
+    return [float(x) for x in found]
 
 
 def _scan(docs: DataFrame, columns: list[str], model) -> DataFrame:
@@ -152,21 +165,20 @@ def _scan(docs: DataFrame, columns: list[str], model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        cache: dict[bytes, float] = {}
+        cache: dict[bytes, bytes] = {}  # what stands between white space -> (ratio, bytes) of the words in it
         for b in batches:
             out = []
             for t in b.column(len(columns)):
-                words = tokens(t.as_py() or b"")
-                missing = list({w for w in words if w not in cache})
+                raw = (t.as_py() or b"").split()
+                missing = list({w for w in raw if w not in cache})
                 if missing:
-                    if len(cache) > 400_000:
+                    if len(cache) > 300_000:
                         cache.clear()
-                        missing = list(set(words))
+                        missing = list(set(raw))
                     for i in range(0, len(missing), 20_000):
-                        part = missing[i : i + 20_000]
-                        cache.update(zip(part, m.word_ratios(part).tolist(), strict=True))
-                got = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-                out.append(features(got, sum(map(len, words)) or 1))
+                        m.look_up(missing[i : i + 20_000], cache)
+                got = np.frombuffer(b"".join(map(cache.__getitem__, raw)), np.float32).reshape(-1, 2).astype(float)
+                out.append(features(got[:, 0], got[:, 1].sum() or 1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.list_(pa.float64()))], names=[*columns, "features"])
 
     return docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
