@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .mixing import schedule
 from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .tables import table
@@ -27,6 +28,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"), seed=17, budget_share=1.0, entropy=0.95, repetition=4.0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
