@@ -49,16 +49,20 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 
 
 class Cache(dict):
-    """A dict that computes missing values and starts anew when it holds limit keys, so that memory is bounded."""
+    """A dict that computes missing values. It holds at most limit keys, in two generations: when the younger is full it becomes the older."""
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit // 2, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

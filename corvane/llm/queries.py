@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .mixing import schedule
+from .packing import pack
 from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .tables import table
 from .toxicity import toxicity
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), length=2048)
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,6 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,

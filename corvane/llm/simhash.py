@@ -14,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import connected_components, materialize
 
@@ -180,3 +182,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, seed: int =
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, bits: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one row for each group of linked fingerprints: that of the smallest doc_id.
+
+    Of rows that repeat a doc_id, in text or not, one stays at most. Rows without an id go if their group has one; else
+    one stays for each fingerprint.
+    """
+    found = materialize(near_duplicates(docs, width, bits, seed), "groups")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    named = rows.join(ids, rows.id == ids.kept).withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("mark"))).where("i = 1")
+    lone = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [f"{fingerprint(t.as_py(), width, seed):016x}" for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["row", "fingerprint"])
+
+    nameless = docs.where("doc_id IS NULL").select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text"))
+    schema = T.StructType([nameless.schema["row"], T.StructField("fingerprint", T.StringType())])
+    nameless = nameless.mapInArrow(run, schema).join(lone, "fingerprint").withColumn("i", F.row_number().over(W.partitionBy("fingerprint").orderBy("fingerprint"))).where("i = 1")
+    return named.select("row.*").unionByName(nameless.select("row.*"))

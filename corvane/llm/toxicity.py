@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Cache, materialize, mix64, small_enough
+from .common import materialize, mix64, small_enough
 
 ORDER = 8
 #: Log2 of the rows of a hashed table: the highest order's, and the others'.
@@ -161,7 +162,7 @@ def features(ratios: np.ndarray, n_bytes: float) -> list[float]:
 
 def _scan(docs: DataFrame, columns: list[str], model) -> DataFrame:
     """The columns, and each row's features."""
-    schema = ", ".join(f"{c} {t}" for c, t in docs.select(*columns).dtypes) + ", features array<double>"
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -294,6 +295,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _score(model: Model):
+    """A column of scores from the features column."""
+    z = F.lit(float(model.curve[0]))
+    for i in range(FEATURES):
+        z = z + F.lit(float(model.curve[i + 1])) * F.col("features")[i]
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs.
 
@@ -302,10 +311,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     scanned = _scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], model)
-    curve = model.value.curve
-    z = F.lit(float(curve[0]))
-    for i in range(FEATURES):
-        z = z + F.lit(float(curve[i + 1])) * F.col("features")[i]
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    out = scanned.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"))
+    out = scanned.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), _score(model.value).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def toxic_rows(docs: DataFrame, labels: DataFrame, toxic: bool = True) -> DataFrame:
+    """The rows of docs, all columns, whose score is 0.5 or more; or, with toxic=False, the others. Rows as in toxicity()."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    scanned = _scan(packed, ["row"], model)
+    return scanned.where((_score(model.value) >= 0.5) == F.lit(toxic)).select("row.*")
