@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .embeddings import near_duplicates as near_vectors
 from .mixing import schedule
 from .packing import pack
 from .repeats import remove_repeats
@@ -37,6 +38,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"), seed=17, budget_share=1.0, entropy=0.95, repetition=4.0)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
 }
 
