@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .embeddings import near_duplicates as near_vectors
+from .html_text import extract
 from .mixing import schedule
 from .packing import pack
 from .repeats import remove_repeats
@@ -38,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"), seed=17, budget_share=1.0, entropy=0.95, repetition=4.0)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op8_html": op8_html,
     "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
 }
