@@ -12,6 +12,7 @@ from .embeddings import near_duplicates as near_vectors
 from .html_text import extract
 from .mixing import schedule
 from .packing import pack
+from .pii import digest, find
 from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .tables import table
@@ -27,6 +28,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4, seed=42)
 
@@ -54,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring": op2_substring,
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
