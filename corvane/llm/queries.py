@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .embeddings import near_duplicates as near_vectors
 from .html_text import extract
+from .lines import drop_repeated_lines
 from .mixing import schedule
 from .packing import pack
 from .pii import digest, find
@@ -44,6 +45,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"), seed=17, budget_share=1.0, entropy=0.95, repetition=4.0)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(table(spark, sf_dir, "documents"), width=3)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_lines": op7_lines,
     "op8_html": op8_html,
     "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
@@ -82,4 +89,17 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
     """,
+    "op7_lines": r"""
+        WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS w FROM documents),
+        win AS (SELECT doc_id, p, array_to_string(w[p:p + 2], chr(10)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+        firsts AS (SELECT s, min(struct_pack(d := doc_id, p := p)) AS f FROM win GROUP BY s HAVING count(*) > 1),
+        late AS (SELECT win.doc_id, win.p FROM win JOIN firsts USING (s) WHERE struct_pack(d := win.doc_id, p := win.p) > f),
+        gone AS (SELECT DISTINCT doc_id, p + k AS q FROM late, range(0, 3) t(k)),
+        lines AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS q FROM d),
+        agg AS (
+            SELECT lines.doc_id, count(gone.q) AS r, coalesce(string_agg(line, chr(10) ORDER BY lines.q) FILTER (gone.q IS NULL), '') AS kept
+            FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.q = lines.q GROUP BY lines.doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
+    """,
 }
