@@ -45,12 +45,12 @@ def point_coverage(turns: DataFrame, points: DataFrame, session: str, order: str
     p = points.select("section", "point", T.match_terms(F.col("text")).alias("wanted"))
     t = turns.select(session, order, T.match_terms(F.col("text")).alias("said"))
     score, overlap = T.coverage(F.col("wanted"), F.col("said"))
-    rows = t.crossJoin(p).select(session, order, "section", "point", F.struct(score.alias("score"), overlap.alias("overlap")).alias("m"))
+    rows = t.crossJoin(p).select(session, order, "section", "point", F.struct(score.alias("score"), overlap.alias("overlap")).alias("_m"))
     here = W.partitionBy(session, "section", "point").orderBy(order)
-    best = rows.withColumn("m", F.max("m").over(here.rowsBetween(-(samples - 1), 0)))
-    hit = ((F.col("m.overlap") >= least_overlap) & (F.col("m.score") >= least_score)).cast("int")
+    best = rows.withColumn("_m", F.max("_m").over(here.rowsBetween(-(samples - 1), 0)))
+    hit = ((F.col("_m.overlap") >= least_overlap) & (F.col("_m.score") >= least_score)).cast("int")
     covered = F.max(hit).over(here.rowsBetween(W.unboundedPreceding, 0)) == 1
-    return best.select(session, order, "section", "point", F.col("m.score").alias("score"), F.col("m.overlap").alias("overlap"), covered.alias("covered"))
+    return best.select(session, order, "section", "point", F.col("_m.score").alias("score"), F.col("_m.overlap").alias("overlap"), covered.alias("covered"))
 
 
 def section_strength(turns: DataFrame, sections: DataFrame, covered: DataFrame, session: str, order: str) -> DataFrame:
@@ -61,9 +61,9 @@ def section_strength(turns: DataFrame, sections: DataFrame, covered: DataFrame,
     rows = t.crossJoin(s).withColumn("ts", score).withColumn("to", overlap)
     inside = (F.instr("spoken", F.col("key")) > 0) | ((F.length("spoken") >= 4) & (F.instr("key", F.col("spoken")) > 0))
     rows = rows.withColumn("hit", (F.length("key") >= 2) & (inside | ((F.col("to") >= 2) & (F.col("ts") >= 0.35))))
-    per = covered.groupBy(session, order, "section").agg(F.max(F.struct("score", "overlap")).alias("b"), F.bool_and("covered").alias("full"))
+    per = covered.groupBy(session, order, "section").agg(F.max(F.struct("score", "overlap")).alias("_b"), F.bool_and("covered").alias("full"))
     out = rows.join(per, [session, order, "section"], "left")
-    best, more = F.coalesce("b.score", F.lit(0.0)), F.coalesce("b.overlap", F.lit(0))
+    best, more = F.coalesce("_b.score", F.lit(0.0)), F.coalesce("_b.overlap", F.lit(0))
     return out.select(session, order, "section", (F.when(F.col("hit"), 1.5).otherwise(F.col("ts") * 0.6) + best).alias("strength"), "hit", F.greatest(more, "to").alias("overlap"), F.coalesce("full", F.lit(False)).alias("full"))
 
 
@@ -74,8 +74,8 @@ def progress(strengths: DataFrame, session: str, order: str) -> DataFrame:
     or the content matches strongly; skipped sections count as complete. The cursor depends on its own past, so a
     session's turns are folded in order; sessions are independent.
     """
-    per_turn = strengths.groupBy(session, order).agg(F.array_sort(F.collect_list(F.struct("section", "strength", "hit", "overlap", "full"))).alias("s"))
-    folded = per_turn.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "s"))).alias("turns"))
+    per_turn = strengths.groupBy(session, order).agg(F.array_sort(F.collect_list(F.struct("section", "strength", "hit", "overlap", "full"))).alias("_s"))
+    folded = per_turn.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_s").alias("s")))).alias("_turns"))
     zero = F.struct(F.lit(0).cast("long").alias("current"), F.array().cast("array<long>").alias("started"), F.array().cast("array<long>").alias("completed"))
 
     def step(acc: Column, turn: Column) -> Column:
@@ -90,8 +90,8 @@ def progress(strengths: DataFrame, session: str, order: str) -> DataFrame:
         add = lambda a, c: F.array_union(a, F.when(c, F.array(now)).otherwise(F.array().cast("array<long>")))
         return F.struct(now.alias("current"), add(acc["started"], begun).alias("started"), add(F.array_union(acc["completed"], skipped), full).alias("completed"))
 
-    out = folded.select(session, F.aggregate("turns", zero, step).alias("p"))
-    return out.select(session, "p.current", F.array_sort("p.started").alias("started"), F.array_sort("p.completed").alias("completed"))
+    out = folded.select(session, F.aggregate("_turns", zero, step).alias("_p"))
+    return out.select(session, "_p.current", F.array_sort("_p.started").alias("started"), F.array_sort("_p.completed").alias("completed"))
 
 
 def projection(state: DataFrame, covered: DataFrame, sections: DataFrame, points: DataFrame, session: str) -> DataFrame:

@@ -17,6 +17,11 @@ def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(x: Column, f=lambda v: v) -> Column:
     return F.aggregate(doubles(x), F.lit(0.0), lambda a, v: a + f(v))
 
@@ -73,8 +78,8 @@ def resample(x: Column, old: int, new: int) -> Column:
 
 def limit_peak(x: Column, most: float) -> Column:
     """Scaled so that the peak is at most so high."""
-    p = peak(x)
-    return F.when(p > most, F.transform(x, lambda v: v * (F.lit(most) / p))).otherwise(x)
+    scaled = lambda s: F.when(s["p"] > most, F.transform(s["x"], lambda v: v * (F.lit(most) / s["p"]))).otherwise(s["x"])
+    return let(F.struct(x.alias("x"), peak(x).alias("p")), scaled)
 
 
 def dry_wet(dry: Column, wet: Column, strength: float, most: float = 0.99) -> Column:
@@ -85,8 +90,7 @@ def dry_wet(dry: Column, wet: Column, strength: float, most: float = 0.99) -> Co
 
 
 def centered(x: Column) -> Column:
-    mean = total(x) / F.size(x)
-    return F.transform(doubles(x), lambda v: v - mean)
+    return let(total(x) / F.size(x), lambda mean: F.transform(doubles(x), lambda v: v - mean))
 
 
 def power(x: Column) -> Column:
@@ -100,16 +104,21 @@ def snr_mix(clean: Column, noise: Column, snr_db: float, most: float = 0.98) ->
     Both are centered; one gain keeps the peak within the limit for both, so the ratio stays. Samples round half to even
     and end at floor(most * 32768). Null for near silence on either side or unequal lengths.
     """
-    c, n = centered(clean), centered(noise)
-    pc, pn = power(c), power(n)
-    alpha = F.sqrt(pc / (pn * 10 ** (snr_db / 10)))
-    mixed = F.zip_with(c, n, lambda a, b: a + alpha * b)
-    top = F.array_max(F.transform(mixed, F.abs)) / 32768
-    gain = F.when(top <= most, F.lit(1.0)).otherwise(most / top)
-    bound = math.floor(most * 32768)
-    out = F.transform(mixed, lambda v: F.least(F.lit(float(bound)), F.greatest(F.lit(float(-bound)), F.rint(v * gain))).cast("long"))
-    fits = (F.size(clean) == F.size(noise)) & (pc > 1e-12) & (pn > 1e-12)
-    return F.when(fits, F.struct(alpha.alias("alpha"), gain.alias("gain"), out.alias("samples")))
+    bound = float(math.floor(most * 32768))
+
+    def mix(s: Column) -> Column:
+        alpha = F.sqrt(s["pc"] / (s["pn"] * 10 ** (snr_db / 10)))
+        return let(F.struct(s["c"].alias("c"), s["n"].alias("n"), alpha.alias("alpha")), lambda t: F.struct(t["alpha"].alias("alpha"), F.zip_with(t["c"], t["n"], lambda a, b: a + t["alpha"] * b).alias("x")))
+
+    def limit(m: Column) -> Column:
+        top = F.array_max(F.transform(m["x"], F.abs)) / 32768
+        gain = F.when(top <= most, F.lit(1.0)).otherwise(most / top)
+        return let(F.struct(m["alpha"].alias("alpha"), m["x"].alias("x"), gain.alias("gain")), lambda g: F.struct(g["alpha"].alias("alpha"), g["gain"].alias("gain"), F.transform(g["x"], lambda v: F.least(F.lit(bound), F.greatest(F.lit(-bound), F.rint(v * g["gain"]))).cast("long")).alias("samples")))
+
+    tracks = F.struct(centered(clean).alias("c"), centered(noise).alias("n"))
+    powers = let(tracks, lambda t: F.struct(t["c"].alias("c"), t["n"].alias("n"), power(t["c"]).alias("pc"), power(t["n"]).alias("pn")))
+    fits = lambda s: F.when((F.size(s["c"]) == F.size(s["n"])) & (s["pc"] > 1e-12) & (s["pn"] > 1e-12), let(mix(s), limit))
+    return let(powers, fits)
 
 
 def crossfade(source: Column, target: Column, count: int = 80, gain: float = 1.0) -> Column:

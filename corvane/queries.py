@@ -491,7 +491,7 @@ def pcm16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH f AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL),
-    n AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS at FROM f), b AS (SELECT label, at // 48 AS block, list(v ORDER BY at) AS s FROM n GROUP BY ALL)
+    n AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS pos FROM f), b AS (SELECT label, pos // 48 AS block, list(v ORDER BY pos) AS s FROM n GROUP BY label, pos // 48)
     SELECT label, block, len(s) AS n, round(list_sum(s), 6) AS total, round(s[1], 6) AS first FROM b WHERE len(s) = 48""")
 def frame_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("label", "vec_id", G.doubles(F.col("embedding")).alias("x"))
@@ -580,7 +580,7 @@ def latest_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT epoch(ts)::BIGINT // 3600 AS h, event_type, value::DOUBLE AS value FROM events), w AS (SELECT h - k AS h, event_type, value FROM b, (VALUES (0), (1)) v(k))
+    WITH b AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS h, event_type, value::DOUBLE AS value FROM events), w AS (SELECT h - k AS h, event_type, value FROM b, (VALUES (0), (1)) v(k))
     SELECT to_timestamp(h * 3600)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
 def hopping_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = B.hopping_counts(table(spark, sf_dir, "events"), "ts", "2 hours", "1 hour", "event_type", value="value")

@@ -19,12 +19,12 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 
 MAX_ENTRIES, MAX_INFLATED, MAX_RATIO, MAX_PAGES = 5000, 100 << 20, 100, 500
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _lines(files: DataFrame) -> DataFrame:
     """(document_id, line, value) of text files (document_id, text); a byte-order mark and one line end at the end go."""
-    body = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), f"(?:{LINE_ENDS})$", "")
+    body = F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), f"(?:{LINE_ENDS})$", "")
     return files.where(~F.col("text").contains("\x00")).select("document_id", F.posexplode(F.split(body, LINE_ENDS, -1)).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 
