@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,10 +104,15 @@ def table_bits(name: str) -> int:
 
 @dataclass
 class Model:
-    """Hashed tables (float32, TABLES) and the curve: bias and weights of the features."""
+    """Hashed tables of counts (float32, TABLES). They travel compressed: most slots are empty or small."""
 
     tables: dict[str, np.ndarray]
-    curve: np.ndarray
+
+    def __getstate__(self) -> dict:
+        return {n: zstandard.compress(x.astype(np.uint32).tobytes(), 3) for n, x in self.tables.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.tables = {n: np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.float32) for n, x in state.items()}
 
     def word_ratios(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
@@ -139,10 +146,6 @@ class Model:
             cache[x] = rows[at : at + len(ws)].tobytes()
             at += len(ws)
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)
-        return 1 / (1 + np.exp(-z))
-
 
 #: What features() returns.
 FEATURES = 8
@@ -273,8 +276,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.concatenate(([w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from labelled rows outside the held-out fold (fold_of(doc_id) = 0).
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray]:
+    """The model, broadcast, and the curve (bias, weights of the features) from labelled rows outside the held-out fold (fold_of(doc_id) = 0).
 
     Folds 1 to 3 give the counts, fold 4 the curve. Labels other than 0 and 1, null ids and ids without a text are left
     out; of labels that repeat an id the largest counts. Without any toxic row every score is the share of toxic rows.
@@ -285,21 +288,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     side = F.broadcast(marks) if small_enough(marks, BROADCAST_LABELS) else marks
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id")
     counts = materialize(word_counts(known.where(fold_of(F.col("doc_id")) != 4)), "words")
-    model = Model(_tables(counts), np.zeros(FEATURES + 1))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(Model(_tables(counts)))
     sample = side.where(fold_of(F.col("doc_id")) == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     got = _scan(rows, ["doc_id", "toxic"], sent).select("features", "toxic").limit(4 * CURVE_ROWS).toPandas()
     x = np.array(got["features"].tolist(), float).reshape(-1, FEATURES)
-    model.curve = fit_curve(x, got["toxic"].to_numpy(float))
-    return model
+    return sent, fit_curve(x, got["toxic"].to_numpy(float))
 
 
-def _score(model: Model):
+def _score(curve: np.ndarray):
     """A column of scores from the features column."""
-    z = F.lit(float(model.curve[0]))
+    z = F.lit(float(curve[0]))
     for i in range(FEATURES):
-        z = z + F.lit(float(model.curve[i + 1])) * F.col("features")[i]
+        z = z + F.lit(float(curve[i + 1])) * F.col("features")[i]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
@@ -309,15 +310,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts and texts without words get the score of a text that says nothing. Repeated rows are scored
     each. A null doc_id keeps null held_out. An empty table gives no rows. No column but text enters a score.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model, curve = train(docs, labels)
     scanned = _scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], model)
-    out = scanned.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), _score(model.value).alias("score"))
+    out = scanned.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), _score(curve).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, toxic: bool = True) -> DataFrame:
     """The rows of docs, all columns, whose score is 0.5 or more; or, with toxic=False, the others. Rows as in toxicity()."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model, curve = train(docs, labels)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     scanned = _scan(packed, ["row"], model)
-    return scanned.where((_score(model.value) >= 0.5) == F.lit(toxic)).select("row.*")
+    return scanned.where((_score(curve) >= 0.5) == F.lit(toxic)).select("row.*")
