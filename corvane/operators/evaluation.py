@@ -112,7 +112,9 @@ def blind_assignments(pairs: DataFrame, raters: list[str], order: str, phase: in
     order: the pairs' key. Pairs are numbered over the whole table in two steps: counts of each range partition, then
     places within it, so no task holds all pairs. Raters are a given list, an entry for each of them.
     """
-    parts = pairs.select(F.col(order).alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id()).select("key", "part")
+    # a fixed number of partitions, which adaptive execution doesn't merge: both uses see the same ones
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pairs.select(F.col(order).alias("key")).repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()).select("key", "part")
     counts = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n")).select("part", "before")  # a row for each partition
     numbered = parts.join(F.broadcast(before), "part").withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("key")) + F.col("before"))

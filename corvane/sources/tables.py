@@ -28,7 +28,7 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     first = spark.read.text(path, wholetext=False).limit(1).collect()
     if not first:
         raise SourceError(f"{path}: no header")
-    row = spark.createDataFrame([(first[0][0].lstrip("﻿"),)], "value string")
+    row = spark.createDataFrame([(first[0][0].lstrip("\ufeff"),)], "value string")
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(first[0][0].count(sep) + 1)])
     cells = row.select(F.from_csv("value", wide.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r")).select("r.*").first()
     return [(c or "").strip() for c in cells]
