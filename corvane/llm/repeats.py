@@ -24,19 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, Cache, materialize, mix64
+from .common import NULL_ID, materialize, mix64
 
-WINDOW, SEED = 20, 8
+WINDOW, SEED = 20, 5
 SHARD_ROWS, HOT = 4000, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(words: list[bytes], cache: Cache) -> np.ndarray:
-    return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint64)
-
-
-def new_cache() -> Cache:
-    return Cache(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
 
 
 def phrase_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -49,29 +45,30 @@ def phrase_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window, in order: where its anchor starts; and every seed phrase's hash."""
+    """Of each window, in order: where its anchor starts; and every seed phrase's hash.
+
+    Phrases are ordered by the upper half of their hash, then by place; both are the same in equal windows, up to where
+    the window starts. The least of a span is found by spans of doubled length.
+    """
     g = mix64(phrase_hashes(h, seed))
-    span = window - seed + 1
-    n = len(h) - window + 1
-    if n <= 0:
+    span, have = window - seed + 1, 1
+    if len(g) < span:
         return np.zeros(0, np.int64), g
-    best, at = g[:n].copy(), np.arange(n)
-    for i in range(1, span):
-        x = g[i : i + n]
-        less = x < best
-        best[less] = x[less]
-        at[less] = np.flatnonzero(less) + i
-    return at, g
+    low = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    while have < span:
+        step = min(have, span - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64), g
 
 
 def _anchor_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = new_cache()
         for b in batches:
             ids, marks, keys, places = b.column(0).to_numpy(), b.column(1).to_numpy(), [], []
             for t in b.column(2):
                 words = (t.as_py() or b"").split()
-                at, g = anchors(word_hashes(words, cache), window, seed) if len(words) >= window else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                at, g = anchors(word_hashes(words), window, seed) if len(words) >= window else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 at = np.unique(at)
                 keys.append(g[at].view(np.int64))
                 places.append(at.astype(np.int32))
@@ -82,94 +79,114 @@ def _anchor_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _passages(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """rows: id, mark, text, found (array of (at, hot)). The passages of words whose windows have a recurring anchor."""
+    """rows: id, mark, text, found (places of recurring anchors; hot ones as -1 - place). The passages whose windows have such an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = new_cache()
         for b in batches:
             out: list[tuple] = []
-            for i, m, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            texts: list[bytes] = []
+            for i, m, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 words = t.as_py().split()
-                at, g = anchors(word_hashes(words, cache), window, seed)
-                known = {x["at"]: x["hot"] for x in found}
+                at, g = anchors(word_hashes(words), window, seed)
+                kind = np.zeros(len(words), np.int8)  # 1: recurring, 2: and hot
+                places = found.values.to_numpy()
+                kind[places[places >= 0]] = 1
+                kind[-1 - places[places < 0]] = 2
+                line = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 cut = np.flatnonzero(np.diff(at)) + 1
-                whole = None
-                for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
-                    place = int(at[a])
-                    if place not in known:
-                        continue
-                    if known[place]:  # each window by itself
-                        whole = phrase_hashes(word_hashes(words, cache), window) if whole is None else whole
-                        out += [(int(whole[s].astype(np.int64)), i, m, s, b" ".join(words[s : s + window])) for s in range(a, z)]
-                    else:
-                        out.append((int(g[place].astype(np.int64)), i, m, a, b" ".join(words[a : z - 1 + window])))
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out = []
+                first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
+                run_kind = kind[at[first]]
+                a, z, key = first[run_kind == 1], last[run_kind == 1], g[at[first[run_kind == 1]]]
+                if (run_kind == 2).any():  # each window by itself
+                    alone = np.flatnonzero(kind[at] == 2)
+                    whole = phrase_hashes(word_hashes(words), window)
+                    a, z, key = np.concatenate((a, alone)), np.concatenate((z, alone + 1)), np.concatenate((key, whole[alone]))
+                starts = np.where(a > 0, ends[a - 1], 0).tolist()
+                stops = (ends[z + window - 2] - 1).tolist()
+                texts += [line[x:y] for x, y in zip(starts, stops, strict=True)]
+                out.append((key.view(np.int64), np.full(len(a), i, np.int64), np.full(len(a), m, np.int32), a.astype(np.int32)))
+                if len(texts) > 20_000:
+                    yield _rows(out, texts)
+                    out, texts = [], []
             if out:
-                yield _rows(out)
+                yield _rows(out, texts)
 
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        k, i, m, s, t = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(m, pa.int32()), pa.array(s, pa.int32()), pa.array(t, pa.binary())], names=["shard", "id", "mark", "start", "passage"])
+    def _rows(out: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), pa.array(texts, pa.binary())], names=["shard", "id", "mark", "start", "passage"])
 
     return rows.mapInArrow(run, "shard long, id long, mark int, start int, passage binary")
 
 
+class Symbols(dict):
+    """Word -> character, in order of appearance; surrogates are left out."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = c = chr(n if n < 0xD800 else n + 0x800)
+        return c
+
+
 class Shard:
     """Passages in order of (shard key, document, start); automata over their words."""
 
     def __init__(self, window: int):
-        self.window, self.key, self.words, self.first = window, None, {}, {}
-
-    def symbols(self, passage: bytes) -> str:
-        """The passage with a character for each word."""
-        known = self.words
-        out = []
-        for w in passage.split():
-            n = known.get(w)
-            if n is None:
-                n = len(known) + 1
-                known[w] = n = n if n < 0xD800 else n + 0x800
-            out.append(n)
-        return "".join(map(chr, out))
+        self.window, self.key, self.words, self.first, self.lines = window, None, Symbols(), {}, {}
 
     def occurrences(self, keys: list, ids: list, starts: list, passages: list) -> list[tuple[int, int, int]]:
-        """(row, from, to) of the words in windows that started earlier. The rows' keys follow on from the last call's."""
+        """(row, from, to) of the words in windows that started earlier. The rows' keys follow on from the last call's.
+
+        Of passages that are the same word for word, one is searched; the rest share what was found.
+        """
         if keys[0] != self.key:  # else a long group goes on
-            self.words, self.first = {}, {}
-        w, lines, confirmed = self.window, [], {}
-        for r, (i, s, p) in enumerate(zip(ids, starts, passages, strict=True)):
-            line = self.symbols(p)
-            lines.append(line)
+            self.words, self.first, self.lines = Symbols(), {}, {}
+        self.key = keys[-1]
+        w, symbol, first, confirmed = self.window, self.words.__getitem__, self.first, {}
+        rows, again = [], self.lines  # line -> whether it has been met twice
+        for i, s, p in zip(ids, starts, passages, strict=True):
+            line = "".join(map(symbol, p.split()))
+            rows.append(line)
+            if again.get(line):
+                continue
             for k in range(len(line) - w + 1):
                 phrase = line[k : k + w]
-                known = self.first.get(phrase)
+                known = first.get(phrase)
                 if known is None:
-                    self.first[phrase] = (i, s + k)
-                elif phrase not in confirmed:
+                    first[phrase] = (i, s + k)
+                else:
                     confirmed[phrase] = known
+            again[line] = line in again
+        if not confirmed and not any(map(again.get, rows)):
+            return []
+        for line in {x for x in rows if again[x]}:  # of an earlier call, or met twice in this one
+            for k in range(len(line) - w + 1):
+                phrase = line[k : k + w]
+                confirmed[phrase] = first[phrase]
+        automaton = ahocorasick.Automaton()
+        for phrase, known in confirmed.items():
+            automaton.add_word(phrase, known)
+        automaton.make_automaton()
+        found = {line: self._spans([(end + 1 - w, known) for end, known in automaton.iter(line)]) for line in set(rows)}
         out = []
-        if confirmed:
-            automaton = ahocorasick.Automaton()
-            for phrase, first in confirmed.items():
-                automaton.add_word(phrase, first)
-            automaton.make_automaton()
-            for r, line in enumerate(lines):
-                low = high = -1
-                for end, first in automaton.iter(line):
-                    s = starts[r] + end + 1 - w
-                    if first < (ids[r], s):
-                        if s > high:
-                            if high > low:
-                                out.append((r, low, high))
-                            low = s
-                        high = s + w
-                if high > low:
-                    out.append((r, low, high))
-        self.key = keys[-1]
+        for r, line in enumerate(rows):
+            hits, latest, spans = found[line]
+            if not hits:
+                continue
+            if not latest < (ids[r], starts[r]):  # some may be this very occurrence, or a later one
+                _, _, spans = self._spans([(k, known) for k, known in hits if known < (ids[r], starts[r] + k)])
+            out += [(r, starts[r] + a, starts[r] + b) for a, b in spans]
         return out
 
+    def _spans(self, hits: list) -> tuple[list, tuple | None, list[tuple[int, int]]]:
+        """The hits (place, first occurrence), the latest of those occurrences, and the merged places."""
+        spans: list[tuple[int, int]] = []
+        for k, _ in hits:
+            if spans and k <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], k + self.window)
+            else:
+                spans.append((k, k + self.window))
+        return hits, max((known for _, known in hits), default=None), spans
+
 
 def _covered(passages: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +207,7 @@ def _covered(passages: DataFrame, window: int) -> DataFrame:
                 del x[:n]
             if shard.key is not None and part[0][0] == shard.key and part[0][-1] != shard.key:  # the end of a long group, then others
                 m = next(i for i, k in enumerate(part[0]) if k != shard.key)
-                found = [(r, a, b) for r, a, b in shard.occurrences(part[0][:m], part[1][:m], part[3][:m], part[4][:m])]
+                found = shard.occurrences(part[0][:m], part[1][:m], part[3][:m], part[4][:m])
                 found += [(r + m, a, b) for r, a, b in shard.occurrences(part[0][m:], part[1][m:], part[3][m:], part[4][m:])]
             else:
                 found = shard.occurrences(part[0], part[1], part[3], part[4])
@@ -247,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     rows = _anchor_rows(base, window, seed)
     counted = rows.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).where("n > 1")
-    found = counted.groupBy("id", "mark").agg(F.collect_list(F.struct("at", (F.col("n") > HOT).alias("hot"))).alias("found"))
+    found = counted.groupBy("id", "mark").agg(F.collect_list(F.when(F.col("n") > HOT, -1 - F.col("at")).otherwise(F.col("at"))).alias("found"))
     passages = _passages(base.join(found, ["id", "mark"]).select("id", "mark", "text", "found"), window, seed)
     gone = _covered(passages, window).groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     gone = materialize(gone, "repeats")
