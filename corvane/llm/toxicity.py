@@ -3,10 +3,11 @@
 Each class has interpolated Kneser-Ney probabilities of a byte after the ORDER - 1 before it in the same word. The highest
 order has counts of its own for each class; all lower orders are continuation counts that both classes share, so a rare
 expression is smoothed alike on both sides and only what is known to differ speaks. Counts come from every labelled
-training row. They are kept by hash in tables of fixed size (TABLE_BITS), which bounds what is broadcast whatever the
-corpus holds; longer tables cost memory, shorter ones collisions. A document's length-normalised log-likelihoods under
-both models are compared over the whole text and over its most telling words; a logistic curve, fitted on labelled rows
-that the models did not see, turns the comparison into a score.
+training row and are exact: the n-grams are dealt by the two bytes before their last one, so that all counts of order 3
+and more that an n-gram needs meet in one group, and the orders below have at most 65,536 counts, which are sent along.
+Documents are packed into chunks; each chunk asks for its distinct n-grams and gets their log-ratios back. A document's
+length-normalised log-likelihoods under both models are compared over the whole text and over its most telling words; a
+logistic curve, fitted on labelled rows that the models did not see, turns the comparison into a score.
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, small_enough
+from .common import materialize, small_enough
 
 ORDER = 8
-#: Log2 of the rows of a hashed table: the highest order's, and the others'.
-TOP_BITS, TABLE_BITS = 20, 18
+#: Bytes of text in a chunk of documents that are scored together.
+CHUNK_BYTES = 8 << 20
 DISCOUNT = 0.75
 #: Longer words are scored on so many bytes at a time, each piece a word of its own.
 PIECE = 48
@@ -90,61 +91,82 @@ def _suffix(g: np.ndarray, k: int) -> np.ndarray:
     return g & np.uint64((1 << (8 * k)) - 1)
 
 
-def _slot(g: np.ndarray, table: int, bits: int) -> np.ndarray:
-    return (mix64(g + np.uint64(table * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands in sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-#: Names of the tables: the top order's counts, totals and kinds by class; of each lower order k what continues, in all and kinds.
-TABLES = ["gram0", "gram1", "total0", "total1", "kinds0", "kinds1"] + [f"{x}{k}" for k in range(1, ORDER) for x in ("cont", "sum", "kind")]
+def _counts_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys; 0 where a key is unknown."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at, known = _at(keys, wanted)
+    return np.where(known, values[at], 0).astype(float)
 
 
-def table_bits(name: str) -> int:
-    return TOP_BITS if TABLES.index(name) < 6 else TABLE_BITS
+def _step(seen: np.ndarray, kinds: np.ndarray, total: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One order's interpolated probabilities over those of the order below; those where the context is unknown."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * kinds * p) / total
+    return np.where(total > 0, q, p)
 
 
-@dataclass
-class Model:
-    """Hashed tables of counts (float32, TABLES). They travel compressed: most slots are empty or small."""
+def low_orders(pairs: np.ndarray, cont: np.ndarray) -> np.ndarray:
+    """Probabilities of order 2 by the last two bytes (65,536), from the byte pairs seen and what continues each of them."""
+    every = np.arange(1 << 16)
+    cont2 = np.bincount(pairs, weights=cont, minlength=1 << 16)
+    p = (np.bincount(pairs & 255, minlength=256)[every & 255] + 0.5) / (max(len(pairs), 1) + 128)
+    context = pairs >> 8
+    return _step(cont2, np.bincount(context, minlength=256)[every >> 8], np.bincount(context, weights=cont, minlength=256)[every >> 8], p)
 
-    tables: dict[str, np.ndarray]
 
-    def __getstate__(self) -> dict:
-        return {n: zstandard.compress(x.astype(np.uint32).tobytes(), 3) for n, x in self.tables.items()}
+class Share:
+    """Training's n-grams that have the same bytes before the last (of one key or several), with counts of all orders from 3 on."""
 
-    def __setstate__(self, state: dict) -> None:
-        self.tables = {n: np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.float32) for n, x in state.items()}
+    def __init__(self, seen: np.ndarray, c0: np.ndarray, c1: np.ndarray):
+        """seen: sorted and distinct."""
+        self.orders = []
+        for k in range(3, ORDER):
+            s, cont = np.unique(_suffix(np.unique(_suffix(seen, k + 1)), k), return_counts=True)
+            context, of = np.unique(s >> np.uint64(8), return_inverse=True)
+            self.orders.append((k, s, cont, context, np.bincount(of, minlength=len(context)), np.bincount(of, weights=cont, minlength=len(context))))
+        context, of = np.unique(seen >> np.uint64(8), return_inverse=True)
+        self.sides = [(seen, c, context, np.bincount(of, weights=c > 0, minlength=len(context)), np.bincount(of, weights=c, minlength=len(context))) for c in (c0, c1)]
 
-    def word_ratios(self, words: list[bytes]) -> np.ndarray:
-        """Log-likelihood of each word as toxic less that as ordinary."""
+    def ratios(self, asked: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Log-ratio of each asked n-gram (toxic less ordinary); 0 where its context is unknown to both classes."""
+        p = low[_suffix(asked, 2).astype(np.int64)]
+        for k, s, cont, context, kinds, total in self.orders:
+            x = _suffix(asked, k)
+            p = _step(_counts_at(s, cont, x), _counts_at(context, kinds, x >> np.uint64(8)), _counts_at(context, total, x >> np.uint64(8)), p)
+        before = asked >> np.uint64(8)
+        q = [_step(_counts_at(s, c, asked), _counts_at(context, kinds, before), _counts_at(context, total, before), p) for s, c, context, kinds, total in self.sides]
+        return np.log(np.maximum(q[1], 1e-12)) - np.log(np.maximum(q[0], 1e-12))
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, those of the same place together."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 3)
+
+
+def _unsqueeze(x: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(x), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def look_up(raw: list[bytes], known: np.ndarray, ratios: np.ndarray, cache: dict[bytes, bytes]) -> None:
+    """Put (ratio, bytes) of the words in each raw string into the cache, packed; from the ratios of known n-grams, others' are 0."""
+    found = [tokens(x) for x in raw]
+    words = [w for x in found for w in x]
+    rows = np.zeros((0, 2), np.float32)
+    if words:
         g, of = grams(words)
-        t = self.tables
-        all_seen = max(float(t["sum1"].max()), 1.0)
-        p = (t["cont1"][_slot(_suffix(g, 1), 1, TABLE_BITS)] + 0.5) / (all_seen + 128)
-        for k in range(2, ORDER):
-            s = _suffix(g, k)
-            at = _slot(s >> np.uint64(8), 100 + k, TABLE_BITS)
-            total = t[f"sum{k}"][at]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                q = (np.maximum(t[f"cont{k}"][_slot(s, k, TABLE_BITS)] - DISCOUNT, 0) + DISCOUNT * t[f"kind{k}"][at] * p) / total
-            p = np.where(total > 0, q, p)
-        here, at = _slot(g, ORDER, TOP_BITS), _slot(g >> np.uint64(8), 100 + ORDER, TOP_BITS)
-        sides = []
-        for y in "01":
-            total = t[f"total{y}"][at]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                q = (np.maximum(t[f"gram{y}"][here] - DISCOUNT, 0) + DISCOUNT * t[f"kinds{y}"][at] * p) / total
-            sides.append(np.log(np.maximum(np.where(total > 0, q, p), 1e-12)))
-        return np.bincount(of, weights=sides[1] - sides[0], minlength=len(words))
-
-    def look_up(self, raw: list[bytes], cache: dict[bytes, bytes]) -> None:
-        """Put (ratio, bytes) of the words in each raw string into the cache, packed."""
-        found = [tokens(x) for x in raw]
-        words = [w for x in found for w in x]
-        rows = np.column_stack([self.word_ratios(words), list(map(len, words))]).astype(np.float32) if words else np.zeros((0, 2), np.float32)
-        at = 0
-        for x, ws in zip(raw, found, strict=True):
-            cache[x] = rows[at : at + len(ws)].tobytes()
-            at += len(ws)
+        rows = np.column_stack([np.bincount(of, weights=_counts_at(known, ratios, g), minlength=len(words)), list(map(len, words))]).astype(np.float32)
+    at = 0
+    for x, ws in zip(raw, found, strict=True):
+        cache[x] = rows[at : at + len(ws)].tobytes()
+        at += len(ws)
 
 
 #: What features() returns.
@@ -163,94 +185,130 @@ def features(ratios: np.ndarray, n_bytes: float) -> list[float]:
     return [float(x) for x in found]
 
 
-def _scan(docs: DataFrame, columns: list[str], model) -> DataFrame:
-    """The columns, and each row's features."""
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+def _key(g: np.ndarray, shares: int) -> np.ndarray:
+    """The share of n-grams that one belongs to, by the two bytes before its last."""
+    return ((_suffix(g, 3) >> np.uint64(8)) * np.uint64(40503) % np.uint64(65521) % np.uint64(shares)).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        cache: dict[bytes, bytes] = {}  # what stands between white space -> (ratio, bytes) of the words in it
+
+def _seen_grams(counts: DataFrame, shares: int) -> DataFrame:
+    """(key, gram, c0, c1) from (word, c0, c1); an n-gram may come in several rows, to be added up."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(len(columns)):
-                raw = (t.as_py() or b"").split()
-                missing = list({w for w in raw if w not in cache})
-                if missing:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                        missing = list(set(raw))
-                    for i in range(0, len(missing), 20_000):
-                        m.look_up(missing[i : i + 20_000], cache)
-                got = np.frombuffer(b"".join(map(cache.__getitem__, raw)), np.float32).reshape(-1, 2).astype(float)
-                out.append(features(got[:, 0], got[:, 1].sum() or 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.list_(pa.float64()))], names=[*columns, "features"])
+            words = b.column(0).to_pylist()
+            if not words:
+                continue
+            g, of = grams(words)
+            u, at = np.unique(g, return_inverse=True)
+            c = [np.bincount(at, weights=b.column(j).to_numpy()[of], minlength=len(u)).astype(np.int64) for j in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(_key(u, shares)), pa.array(u.view(np.int64)), *map(pa.array, c)], names=["key", "gram", "c0", "c1"])
 
-    return docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return counts.mapInArrow(split, "key int, gram long, c0 long, c1 long")
 
 
-def _tables(counts: DataFrame) -> dict[str, np.ndarray]:
-    """The hashed tables from (word, c0, c1)."""
+def _low_orders(counts: DataFrame) -> np.ndarray:
+    """low_orders() of training; at most 65,536 rows come to the driver."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column(0).to_pylist()
-            for i in range(0, len(words), 5000):
-                g, of = grams(words[i : i + 5000])
-                c = [b.column(j).to_numpy()[i : i + 5000][of] for j in (1, 2)]
-                u, at = np.unique(g, return_inverse=True)
-                rows = [(np.full(len(u), ORDER, np.int32), u, *(np.bincount(at, weights=x, minlength=len(u)).astype(np.int64) for x in c))]
-                for k in range(1, ORDER):
-                    v = np.unique(_suffix(u, k))
-                    rows.append((np.full(len(v), k, np.int32), v, *[np.zeros(len(v), np.int64)] * 2))
-                k, u, c0, c1 = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(u.view(np.int64)), pa.array(c0), pa.array(c1)], names=["k", "gram", "c0", "c1"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def add(name: str, slot: np.ndarray, weights=None) -> None:
-            if name not in held:
-                held[name] = np.zeros(1 << table_bits(name), np.float32)
-            np.add.at(held[name], slot, 1 if weights is None else weights.astype(np.float32))
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_suffix(grams(words)[0], 3)).astype(np.int64))], names=["three"])
+
+    pairs = counts.mapInArrow(split, "three long").distinct().groupBy(F.col("three").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.count("*").alias("n"))
+    got = pairs.toPandas()
+    return low_orders(got["pair"].to_numpy(np.int64), got["n"].to_numpy(float))
+
 
+def _scan(docs: DataFrame, columns: list[str], counts: DataFrame) -> DataFrame:
+    """The columns, and each row's features under the models of the training words in counts."""
+    low = _low_orders(counts)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
+    chunks = size // CHUNK_BYTES + 1
+    shares = min(32 * chunks, 1 << 16)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            held.clear()
+            packed = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(packed) - (1 << 63)], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "rows"])
+
+        n = 0
         for b in batches:
-            k, g, c0, c1 = (b.column(i).to_numpy() for i in range(4))
-            g = g.view(np.uint64)
-            for n in np.unique(k).tolist():
-                here = k == n
-                s, ctx = g[here], g[here] >> np.uint64(8)
-                if n == ORDER:
-                    at, up = _slot(s, ORDER, TOP_BITS), _slot(ctx, 100 + ORDER, TOP_BITS)
-                    for y, c in (("0", c0[here]), ("1", c1[here])):
-                        add(f"gram{y}", at, c)
-                        add(f"total{y}", up, c)
-                        add(f"kinds{y}", up, c > 0)
-                else:
-                    add(f"kind{n}", _slot(ctx, 100 + n, TABLE_BITS))
-                if n > 1:
-                    low = _suffix(s, n - 1)
-                    add(f"cont{n - 1}", _slot(low, n - 1, TABLE_BITS))
-                    add(f"sum{n - 1}", _slot(low >> np.uint64(8), 99 + n, TABLE_BITS))
-        for name, x in held.items():
-            at = np.flatnonzero(x)
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), TABLES.index(name), np.int32)), pa.array(part.astype(np.int32)), pa.array(x[part].astype(np.float64))], names=["name", "slot", "v"])
-
-    found = counts.mapInArrow(split, "k int, gram long, c0 long, c1 long").groupBy("k", "gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    placed = found.mapInArrow(place, "name int, slot int, v double").groupBy("name", "slot").agg(F.sum("v").alias("v"))
-    # at most 6 << TOP_BITS and 18 << TABLE_BITS slots, packed to 8 bytes each and fetched a table's part at a time
-    tables = {n: np.zeros(1 << table_bits(n), np.float32) for n in TABLES}
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, b.num_rows, 64):
+                held.append(b.slice(i, 64))
+                n += sum(t.as_py() or 0 for t in pa.compute.binary_length(held[-1].column(len(columns))))
+                if n >= CHUNK_BYTES:
+                    n = 0
+                    yield flush()
+        if held:
+            yield flush()
+
+    def asked_by(rows: pa.Table) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """The distinct n-grams of a chunk, sorted, and where those of each share stand."""
+        raw: set[bytes] = set()
+        for t in rows.column(len(columns)):
+            raw.update((t.as_py() or b"").split())
+        words = list({w for x in raw for w in tokens(x)})
+        g = np.unique(np.concatenate([np.unique(grams(words[i : i + 20_000])[0]) for i in range(0, len(words), 20_000)] or [np.zeros(0, np.uint64)]))
+        key = _key(g, shares)
+        order = np.argsort(key, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+        return g, [(int(key[x[0]]), x) for x in parts if len(x)]
+
+    def unpack(packed: bytes) -> pa.Table:
+        return pa.ipc.open_stream(packed).read_all()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, slot, v = (b.column(i).to_numpy() for i in range(3))
-            for n in np.unique(name):
-                here = name == n
-                yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int32()), pa.array([slot[here].astype("<i4").tobytes()]), pa.array([v[here].astype("<f4").tobytes()])], names=["name", "slots", "vs"])
+            for chunk, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g, parts = asked_by(unpack(packed.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([_squeeze(g[x]) for _, x in parts], pa.binary())], names=["key", "chunk", "grams"])
+
+    def answer(seen: pa.Table, asked: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"key": [], "chunk": [], "ratios": []}
+        if seen.num_rows and asked.num_rows:
+            g, at = np.unique(seen["gram"].to_numpy().view(np.uint64), return_inverse=True)
+            share = Share(g, *(np.bincount(at, weights=seen[c].to_numpy(), minlength=len(g)) for c in ("c0", "c1")))
+            for key, chunk, x in zip(asked["key"], asked["chunk"], asked["grams"], strict=True):
+                ratio = share.ratios(_unsqueeze(x.as_py(), np.uint64), low).astype(np.float32)
+                if ratio.any():
+                    for name, v in zip(out, (key.as_py(), chunk.as_py(), _squeeze(ratio)), strict=True):
+                        out[name].append(v)
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary()), strict=True)})
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        found = dict(zip(answers["key"].to_pylist(), answers["ratios"].to_pylist(), strict=True))
+        done = []
+        for packed in chunk["rows"]:
+            rows = unpack(packed.as_py())
+            known, parts = asked_by(rows)
+            ratios = np.zeros(len(known), np.float32)
+            for k, x in parts:
+                if k in found:
+                    ratios[x] = _unsqueeze(found[k], np.float32)
+            cache: dict[bytes, bytes] = {}  # what stands between white space -> (ratio, bytes) of the words in it
+            out = []
+            for t in rows.column(len(columns)):
+                raw = (t.as_py() or b"").split()
+                missing = list({w for w in raw if w not in cache})
+                if missing:
+                    look_up(missing, known, ratios, cache)
+                got = np.frombuffer(b"".join(map(cache.__getitem__, raw)), np.float32).reshape(-1, 2).astype(float)
+                out.append(features(got[:, 0], got[:, 1].sum() or 1))
+            done.append(rows.select(columns).append_column("features", pa.array(out, pa.list_(pa.float64()))))
+        return pa.concat_tables(done)
 
-    for row in placed.mapInArrow(pack, "name int, slots binary, vs binary").collect():
-        tables[TABLES[row["name"]]][np.frombuffer(row["slots"], "<i4")] = np.frombuffer(row["vs"], "<f4")
-    return tables
+    dealt = docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(deal, "chunk long, rows binary").repartition(chunks, "chunk")
+    asked = dealt.mapInArrow(ask, "key int, chunk long, grams binary")
+    answers = _seen_grams(counts, shares).repartition(2 * chunks, "key").groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, "key int, chunk long, ratios binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def fold_of(doc_id):
@@ -276,24 +334,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.concatenate(([w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray]:
-    """The model, broadcast, and the curve (bias, weights of the features) from labelled rows outside the held-out fold (fold_of(doc_id) = 0).
+def train(docs: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The columns of docs with each row's features, and the curve (bias, weights of the features) from labelled rows outside the held-out fold (fold_of(doc_id) = 0).
 
     Folds 1 to 3 give the counts, fold 4 the curve. Labels other than 0 and 1, null ids and ids without a text are left
     out; of labels that repeat an id the largest counts. Without any toxic row every score is the share of toxic rows.
     """
-    spark = docs.sparkSession
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = materialize(marks.where(fold_of(F.col("doc_id")) != 0), "labels")
     side = F.broadcast(marks) if small_enough(marks, BROADCAST_LABELS) else marks
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id")
     counts = materialize(word_counts(known.where(fold_of(F.col("doc_id")) != 4)), "words")
-    sent = spark.sparkContext.broadcast(Model(_tables(counts)))
+    scanned = materialize(_scan(docs, columns, counts), "features")
     sample = side.where(fold_of(F.col("doc_id")) == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    got = _scan(rows, ["doc_id", "toxic"], sent).select("features", "toxic").limit(4 * CURVE_ROWS).toPandas()
+    rows = scanned.select(F.col("doc_id").cast("long").alias("doc_id"), "features").join(F.broadcast(sample), "doc_id")
+    got = rows.select("features", "toxic").limit(4 * CURVE_ROWS).toPandas()
     x = np.array(got["features"].tolist(), float).reshape(-1, FEATURES)
-    return sent, fit_curve(x, got["toxic"].to_numpy(float))
+    return scanned, fit_curve(x, got["toxic"].to_numpy(float))
 
 
 def _score(curve: np.ndarray):
@@ -310,15 +367,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts and texts without words get the score of a text that says nothing. Repeated rows are scored
     each. A null doc_id keeps null held_out. An empty table gives no rows. No column but text enters a score.
     """
-    model, curve = train(docs, labels)
-    scanned = _scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], model)
+    scanned, curve = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, ["doc_id"])
     out = scanned.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), _score(curve).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, toxic: bool = True) -> DataFrame:
     """The rows of docs, all columns, whose score is 0.5 or more; or, with toxic=False, the others. Rows as in toxicity()."""
-    model, curve = train(docs, labels)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    scanned = _scan(packed, ["row"], model)
-    return scanned.where((_score(curve) >= 0.5) == F.lit(toxic)).select("row.*")
+    scanned, curve = train(docs, labels, docs.columns)
+    return scanned.where((_score(curve) >= 0.5) == F.lit(toxic)).select(*docs.columns)

@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import types as T
@@ -58,3 +60,59 @@ def test_probabilities_of_an_order_add_up():
 
 def test_curve_without_both_classes():
     assert tox.fit_curve(np.zeros((0, tox.FEATURES)), np.zeros(0))[1:].tolist() == [0.0] * tox.FEATURES
+
+
+def plain_ratios(words):
+    """word -> log-ratio, by dicts of every n-gram; words: (word, toxic)."""
+    tops = (Counter(), Counter())
+    for w, y in words:
+        x = tox.PAD * 7 + w + tox.END
+        tops[y].update(x[i - 7 : i + 1] for i in range(7, len(x)))
+    cont, total, kinds = Counter(), Counter(), Counter()
+    seen = set(tops[0]) | set(tops[1])
+    for k in range(7, 0, -1):
+        longer, seen = seen, {g[1:] for g in seen}
+        cont.update(g[1:] for g in longer)
+        kinds.update((k, g[:-1]) for g in seen)
+        for g in seen:
+            total[k, g[:-1]] += cont[g]
+    sums, sorts = (defaultdict(int), defaultdict(int)), (defaultdict(int), defaultdict(int))
+    for y in (0, 1):
+        for g, c in tops[y].items():
+            sums[y][g[:-1]] += c
+            sorts[y][g[:-1]] += 1
+
+    def ratio(w):
+        x, out = tox.PAD * 7 + w + tox.END, 0.0
+        for i in range(7, len(x)):
+            g = x[i - 7 : i + 1]
+            p = (cont[g[7:]] + 0.5) / (total[1, b""] + 128)
+            for k in range(2, 8):
+                s = g[8 - k :]
+                if total[k, s[:-1]]:
+                    p = (max(cont[s] - 0.75, 0) + 0.75 * kinds[k, s[:-1]] * p) / total[k, s[:-1]]
+            for y in (0, 1):
+                n = sums[y][g[:-1]]
+                out += (2 * y - 1) * np.log((max(tops[y][g] - 0.75, 0) + 0.75 * sorts[y][g[:-1]] * p) / n if n else p)
+        return out
+
+    return ratio
+
+
+def test_scores_are_those_of_exact_counts(spark):
+    # more distinct n-grams of an order than a table of 2^18 rows could keep apart
+    r = random.Random(5)
+    docs = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrst", k=9)) for _ in range(100)) + (" zorg vlimp" if i % 4 == 0 else ""), "", 0) for i in range(600)]
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(600)]
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in range(600)]
+    ratio = plain_ratios([(w, labels[i][2]) for i, t, *_ in docs if fold[i] in (1, 2, 3) for w in t.encode().split()])
+    x = {}
+    for i in [i for i in range(600) if fold[i] == 4] + [i for i in range(600) if fold[i] == 0][:10]:
+        words = docs[i][1].encode().split()
+        x[i] = tox.features(np.array([ratio(w) for w in words]), sum(map(len, words)))
+    fit = [i for i in x if fold[i] == 4]
+    curve = tox.fit_curve(np.array([x[i] for i in fit]), np.array([labels[i][2] for i in fit], float))
+    got = {row["doc_id"]: row["score"] for row in tox.toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    for i in x:
+        z = curve[0] + np.dot(curve[1:], x[i])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-3, i
