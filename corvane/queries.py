@@ -240,7 +240,7 @@ def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    return b.join(d.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(200)).alias("t")), "item_id").select("item_id", M.text_diff("text", "t").alias("diff"))
+    return b.join(d.select(F.col("doc_id").alias("item_id"), F.col("text").alias("t")), "item_id").select("item_id", M.text_diff("text", "t").alias("diff"))
 
 
 # --- evaluation

@@ -178,3 +178,14 @@ def test_csv_wav_and_receipts(spark, tmp_path):
 def test_strict_json(spark):
     rows = spark.createDataFrame([('{"a": 1.5}',), ('{"a": NaN}',), ("{",), ('{"a": 2, "s": "NaN"}',)], "t string")
     assert [x["a"] if x else None for (x,) in rows.select(B.parse_json(F.col("t"), "a double")).collect()] == [1.5, None, None, 2.0]
+
+
+def test_the_text_diff_query_compares_whole_texts(spark):
+    from corvane import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {x["doc_id"]: x["text"] for x in queries.table(spark, sf, "documents").collect()}
+    items = {x["item_id"]: x["text"] for x in queries.table(spark, sf, "benchmark").collect()}
+    got = {x["item_id"]: x["diff"] for x in queries.QUERIES["text_diff"](spark, sf).collect()}
+    some = sorted(i for i in got if len(texts[i] or "") > 200)[:20]
+    assert some and all(got[i] == M.diff_html(items[i], texts[i]) for i in some)
