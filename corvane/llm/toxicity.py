@@ -1,75 +1,85 @@
 """Toxicity by class-conditional Kneser-Ney models over the bytes of words.
 
 Each class has interpolated Kneser-Ney probabilities of a byte after the ORDER - 1 before it in the same word. The highest
-order has counts of its own for each class; all lower orders are continuation counts that both classes share, so a rare
+order has counts of its own for each class (in how many documents a word occurs), with discounts by count, so that what
+one document alone says counts for nothing; all lower orders are continuation counts that both classes share, so a rare
 expression is smoothed alike on both sides and only what is known to differ speaks. Counts come from every labelled
 training row and are exact: the n-grams are dealt by the two bytes before their last one, so that all counts of order 3
 and more that an n-gram needs meet in one group, and the orders below have at most 65,536 counts, which are sent along.
-Documents are packed into chunks; each chunk asks for its distinct n-grams and gets their log-ratios back. A document's
-length-normalised log-likelihoods under both models are compared over the whole text and over its most telling words; a
-logistic curve, fitted on labelled rows that the models did not see, turns the comparison into a score.
+
+A word's log-ratio (toxic less ordinary) depends on the word alone, so each distinct word of the corpus is scored once.
+Documents are read once, in chunks that keep their documents as word numbers; a chunk's words go to the buckets of the
+vocabulary, a bucket asks every share of the n-grams for what it holds, and the ratios go back to the chunks. A document's
+length-normalised log-ratios, over all its distinct words and over its most telling ones, enter a logistic curve that is
+fitted on labelled rows that the models did not see.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_enough
+from .common import BROADCAST_TEXTS, materialize, release, small_enough, text_marks
 
 ORDER = 8
 #: Bytes of text in a chunk of documents that are scored together.
-CHUNK_BYTES = 8 << 20
-DISCOUNT = 0.75
-#: Longer words are scored on so many bytes at a time, each piece a word of its own.
+CHUNK_BYTES = 16 << 20
+#: Buckets of the vocabulary and shares of the n-grams for so many MB of text to the power by which vocabularies grow; most of each.
+BUCKETS, SHARES, GROWTH, MOST = 1, 2, 0.7, 1 << 16
+#: What is taken off a count: of the shared orders; of the classes' own counts of one, two, and three or more documents.
+DISCOUNT, DISCOUNTS = 0.75, (0.0, 1.0, 1.5, 1.75)
+#: Longer words are scored on so many characters at a time, each piece a word of its own.
 PIECE = 48
 #: Most labelled rows that the logistic curve is fitted on, those of the lowest hash.
 CURVE_ROWS = 20_000
 #: Most label rows that are broadcast to find the training texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-TOKEN = re.compile(rb"[0-9a-z\x80-\xff']+")
+TOKEN = re.compile(r"[0-9a-z\x80-\U0010ffff']+")
 PAD, END = b"\x02", b"\x03"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words in lower case without punctuation; long ones in pieces."""
-    found = TOKEN.findall(text.decode("utf-8", "replace").lower().encode())
+def tokens(text: bytes | None) -> Counter[str]:
+    """How often each word occurs, in lower case without punctuation; long ones in pieces."""
+    found = Counter(TOKEN.findall((text or b"").decode("utf-8", "replace").lower()))
     if found and max(map(len, found)) > PIECE:
-        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
+        whole, found = found, Counter()
+        for w, n in whole.items():
+            for i in range(0, len(w), PIECE):
+                found[w[i : i + PIECE]] += n
     return found
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c0, c1) over rows (toxic, text): how often ordinary and toxic rows hold a word. Tasks add up before the shuffle."""
+    """(word, c0, c1) over rows (toxic, text): how many ordinary and toxic rows hold a word. Tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
             words = list(held[0].keys() | held[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in held)], names=["word", "c0", "c1"])
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in held)], names=["word", "c0", "c1"])
             for c in held:
                 c.clear()
             return out
 
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held[y].update(tokens(t.as_py() or b""))
+                held[y].update(tokens(t.as_py()).keys())
                 if len(held[0]) + len(held[1]) > 200_000:
                     yield flush()
         yield flush()
 
-    parts = texts.select(F.col("toxic").cast("int"), F.col("text").cast("binary")).mapInArrow(run, "word binary, c0 long, c1 long")
+    parts = texts.select(F.col("toxic").cast("int"), F.col("text").cast("binary")).mapInArrow(run, "word string, c0 long, c1 long")
     return parts.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
@@ -132,17 +142,29 @@ class Share:
             context, of = np.unique(s >> np.uint64(8), return_inverse=True)
             self.orders.append((k, s, cont, context, np.bincount(of, minlength=len(context)), np.bincount(of, weights=cont, minlength=len(context))))
         context, of = np.unique(seen >> np.uint64(8), return_inverse=True)
-        self.sides = [(seen, c, context, np.bincount(of, weights=c > 0, minlength=len(context)), np.bincount(of, weights=c, minlength=len(context))) for c in (c0, c1)]
+        self.sides = []
+        for c in (c0, c1):
+            off = np.array(DISCOUNTS)[np.minimum(c, len(DISCOUNTS) - 1).astype(np.int64)]
+            self.sides.append((seen, c - off, context, np.bincount(of, weights=off, minlength=len(context)), np.bincount(of, weights=c, minlength=len(context))))
 
-    def ratios(self, asked: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Log-ratio of each asked n-gram (toxic less ordinary); 0 where its context is unknown to both classes."""
+    def probabilities(self, asked: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+        """Of each asked n-gram's last byte after the others: in ordinary and in toxic text. The same where the context is unknown to both."""
         p = low[_suffix(asked, 2).astype(np.int64)]
         for k, s, cont, context, kinds, total in self.orders:
             x = _suffix(asked, k)
             p = _step(_counts_at(s, cont, x), _counts_at(context, kinds, x >> np.uint64(8)), _counts_at(context, total, x >> np.uint64(8)), p)
         before = asked >> np.uint64(8)
-        q = [_step(_counts_at(s, c, asked), _counts_at(context, kinds, before), _counts_at(context, total, before), p) for s, c, context, kinds, total in self.sides]
-        return np.log(np.maximum(q[1], 1e-12)) - np.log(np.maximum(q[0], 1e-12))
+        q = []
+        for s, left, context, off, total in self.sides:
+            n = _counts_at(context, total, before)
+            own = _counts_at(s, left, asked) + _counts_at(context, off, before) * p
+            q.append(np.where(n > 0, own / np.maximum(n, 1), p))
+        return q
+
+    def ratios(self, asked: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Log-ratio of each asked n-gram, toxic less ordinary."""
+        ordinary, toxic = self.probabilities(asked, low)
+        return np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -155,34 +177,25 @@ def _unsqueeze(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def look_up(raw: list[bytes], known: np.ndarray, ratios: np.ndarray, cache: dict[bytes, bytes]) -> None:
-    """Put (ratio, bytes) of the words in each raw string into the cache, packed; from the ratios of known n-grams, others' are 0."""
-    found = [tokens(x) for x in raw]
-    words = [w for x in found for w in x]
-    rows = np.zeros((0, 2), np.float32)
-    if words:
-        g, of = grams(words)
-        rows = np.column_stack([np.bincount(of, weights=_counts_at(known, ratios, g), minlength=len(words)), list(map(len, words))]).astype(np.float32)
-    at = 0
-    for x, ws in zip(raw, found, strict=True):
-        cache[x] = rows[at : at + len(ws)].tobytes()
-        at += len(ws)
-
-
-#: What features() returns.
-FEATURES = 8
+#: What features() returns; how often a word of a document counts at most among its telling words.
+FEATURES, REPEATS = 6, 3
 
 
-def features(ratios: np.ndarray, n_bytes: float) -> list[float]:
-    """Of one document, from its words' ratios: means a byte and a word, what telling words add up to, the largest, shares and number of telling words."""
+def features(ratios: np.ndarray, times: np.ndarray) -> list[float]:
+    """Of one document, from its distinct words' ratios and how often each occurs: the mean over all; the largest; the means of the two and the four largest, and of the four largest with repeats; how many words there are."""
     n = len(ratios)
     if not n:
         return [0.0] * FEATURES
-    top = np.partition(ratios, -min(3, n))[-3:]
-    sure = ratios > 2
-    telling = np.maximum(ratios - 1, 0)
-    found = [ratios.sum() / n_bytes, np.clip(ratios, -4, 4).mean(), np.log1p(telling.sum() / np.sqrt(n)), top.max(), top.sum() / 3, 10 * np.count_nonzero(telling) / n, 10 * sure.mean(), np.log1p(sure.sum())]
-    return [float(x) for x in found]
+    order = np.argsort(-ratios)[:4]
+    top, again = np.zeros(4), np.zeros(4)
+    top[: len(order)] = ratios[order]
+    repeated = np.repeat(ratios[order], np.minimum(times[order], REPEATS))[:4]
+    again[: len(repeated)] = repeated
+    return [float(x) for x in (ratios.mean(), top[0], top[:2].mean(), top.mean(), again.mean(), np.log1p(n))]
+
+
+def _words(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def _key(g: np.ndarray, shares: int) -> np.ndarray:
@@ -195,7 +208,7 @@ def _seen_grams(counts: DataFrame, shares: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
+            words = _words(b.column(0))
             if not words:
                 continue
             g, of = grams(words)
@@ -211,7 +224,7 @@ def _low_orders(counts: DataFrame) -> np.ndarray:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
+            words = _words(b.column(0))
             if words:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_suffix(grams(words)[0], 3)).astype(np.int64))], names=["three"])
 
@@ -220,95 +233,161 @@ def _low_orders(counts: DataFrame) -> np.ndarray:
     return low_orders(got["pair"].to_numpy(np.int64), got["n"].to_numpy(float))
 
 
-def _scan(docs: DataFrame, columns: list[str], counts: DataFrame) -> DataFrame:
-    """The columns, and each row's features under the models of the training words in counts."""
-    low = _low_orders(counts)
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
-    chunks = size // CHUNK_BYTES + 1
-    shares = min(32 * chunks, 1 << 16)
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+def _pack_words(words: list[str]) -> bytes:
+    return zstandard.compress("\n".join(words).encode(), 3)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            held.clear()
-            packed = sink.getvalue().to_pybytes()
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(packed) - (1 << 63)], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "rows"])
+def _unpack_words(packed: bytes) -> list[bytes]:
+    return zstandard.decompress(packed).split(b"\n")
 
-        n = 0
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                held.append(b.slice(i, 64))
-                n += sum(t.as_py() or 0 for t in pa.compute.binary_length(held[-1].column(len(columns))))
-                if n >= CHUNK_BYTES:
-                    n = 0
-                    yield flush()
-        if held:
-            yield flush()
 
-    def asked_by(rows: pa.Table) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """The distinct n-grams of a chunk, sorted, and where those of each share stand."""
-        raw: set[bytes] = set()
-        for t in rows.column(len(columns)):
-            raw.update((t.as_py() or b"").split())
-        words = list({w for x in raw for w in tokens(x)})
-        g = np.unique(np.concatenate([np.unique(grams(words[i : i + 20_000])[0]) for i in range(0, len(words), 20_000)] or [np.zeros(0, np.uint64)]))
-        key = _key(g, shares)
-        order = np.argsort(key, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
-        return g, [(int(key[x[0]]), x) for x in parts if len(x)]
+def word_ratios(blocks: DataFrame, counts: DataFrame, shares: int) -> DataFrame:
+    """(bucket, ratios) of blocks (bucket, words: packed), from the training words in counts: a number for each word, in order.
 
-    def unpack(packed: bytes) -> pa.Table:
-        return pa.ipc.open_stream(packed).read_all()
+    Blocks of the vocabulary and shares of the n-grams exchange packed arrays: an array for each block and share that have
+    n-grams in common.
+    """
+    low = _low_orders(counts)
+
+    def parts_of(packed: bytes) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """How many words a block has; its n-grams' places by word; the distinct n-grams; and where those of each share stand."""
+        raw = _unpack_words(packed)
+        g, at = [], []
+        for i in range(0, len(raw), 20_000):
+            x, of = grams(raw[i : i + 20_000])
+            g.append(x)
+            at.append(of + i)
+        u, inverse = np.unique(np.concatenate(g), return_inverse=True)
+        key = _key(u, shares)
+        order = np.argsort(key, kind="stable")
+        return len(raw), np.stack([np.concatenate(at), inverse]), u, np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                g, parts = asked_by(unpack(packed.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([_squeeze(g[x]) for _, x in parts], pa.binary())], names=["key", "chunk", "grams"])
+            for bucket, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, _, u, parts = parts_of(packed.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(_key(u[[x[0] for x in parts]], shares)), pa.array([bucket] * len(parts), pa.int32()), pa.array([_squeeze(u[x]) for x in parts], pa.binary())], names=["key", "bucket", "grams"])
 
     def answer(seen: pa.Table, asked: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"key": [], "chunk": [], "ratios": []}
+        out: dict[str, list] = {"key": [], "bucket": [], "ratios": []}
         if seen.num_rows and asked.num_rows:
             g, at = np.unique(seen["gram"].to_numpy().view(np.uint64), return_inverse=True)
             share = Share(g, *(np.bincount(at, weights=seen[c].to_numpy(), minlength=len(g)) for c in ("c0", "c1")))
-            for key, chunk, x in zip(asked["key"], asked["chunk"], asked["grams"], strict=True):
-                ratio = share.ratios(_unsqueeze(x.as_py(), np.uint64), low).astype(np.float32)
-                if ratio.any():
-                    for name, v in zip(out, (key.as_py(), chunk.as_py(), _squeeze(ratio)), strict=True):
+            wanted = [_unsqueeze(x.as_py(), np.uint64) for x in asked["grams"]]
+            ends = np.cumsum([len(x) for x in wanted])
+            found = np.split(share.ratios(np.concatenate(wanted), low).astype(np.float32), ends[:-1])
+            for key, bucket, x in zip(asked["key"].to_pylist(), asked["bucket"].to_pylist(), found, strict=True):
+                if x.any():
+                    for name, v in zip(out, (key, bucket, _squeeze(x)), strict=True):
                         out[name].append(v)
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary()), strict=True)})
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary()), strict=True)})
 
-    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         found = dict(zip(answers["key"].to_pylist(), answers["ratios"].to_pylist(), strict=True))
-        done = []
-        for packed in chunk["rows"]:
-            rows = unpack(packed.as_py())
-            known, parts = asked_by(rows)
-            ratios = np.zeros(len(known), np.float32)
-            for k, x in parts:
-                if k in found:
-                    ratios[x] = _unsqueeze(found[k], np.float32)
-            cache: dict[bytes, bytes] = {}  # what stands between white space -> (ratio, bytes) of the words in it
-            out = []
-            for t in rows.column(len(columns)):
-                raw = (t.as_py() or b"").split()
-                missing = list({w for w in raw if w not in cache})
-                if missing:
-                    look_up(missing, known, ratios, cache)
-                got = np.frombuffer(b"".join(map(cache.__getitem__, raw)), np.float32).reshape(-1, 2).astype(float)
-                out.append(features(got[:, 0], got[:, 1].sum() or 1))
-            done.append(rows.select(columns).append_column("features", pa.array(out, pa.list_(pa.float64()))))
-        return pa.concat_tables(done)
-
-    dealt = docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(deal, "chunk long, rows binary").repartition(chunks, "chunk")
-    asked = dealt.mapInArrow(ask, "key int, chunk long, grams binary")
-    answers = _seen_grams(counts, shares).repartition(2 * chunks, "key").groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, "key int, chunk long, ratios binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+        ratios = []
+        for packed in block["words"]:
+            n, (of, inverse), u, parts = parts_of(packed.as_py())
+            known = np.zeros(len(u), np.float32)
+            for x, key in zip(parts, _key(u[[x[0] for x in parts]], shares).tolist(), strict=True):
+                if key in found:
+                    known[x] = _unsqueeze(found[key], np.float32)
+            ratios.append(_squeeze(np.bincount(of, weights=known[inverse], minlength=n).astype(np.float32)))
+        return pa.table({"bucket": block["bucket"], "ratios": pa.array(ratios, pa.binary())})
+
+    asked = blocks.mapInArrow(ask, "key int, bucket int, grams binary")
+    answers = _seen_grams(counts, shares).repartition(shares, "key").groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, "key int, bucket int, ratios binary")
+    return blocks.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(add_up, "bucket int, ratios binary")
+
+
+def _scan(docs: DataFrame, columns: list[str], counts: DataFrame) -> DataFrame:
+    """The columns, and each row's features under the models of the training words in counts. Written once."""
+    size = (docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0) / (1 << 20)
+    buckets, shares = (min(MOST, int(k * size**GROWTH) + 1) for k in (BUCKETS, SHARES))
+    n = len(columns)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk and bucket with the chunk's words in it, in order; and one (bucket -1) with its rows and each one's words by number."""
+        held: list[pa.RecordBatch] = []
+        known: dict[str, int] = {}  # words by order of appearance
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # of each row, its words and how often they occur
+
+        def flush() -> pa.RecordBatch:
+            lists: list[list[str]] = [[] for _ in range(buckets)]
+            for w in known:
+                lists[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
+            number, n_words = np.zeros(len(known), np.int32), 0
+            for x in lists:
+                x.sort()
+                number[[known[w] for w in x]] = np.arange(n_words, n_words + len(x))
+                n_words += len(x)
+            lengths, codes, times = np.fromiter((len(x) for x, _ in found), np.int64, len(found)), [], []
+            for x, often in found:
+                at = number[x]
+                order = np.argsort(at)
+                codes.append(np.diff(at[order], prepend=np.int32(0)))
+                times.append(often[order])
+            sink = pa.BufferOutputStream()
+            rows = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            rows = sink.getvalue().to_pybytes()
+            chunk = xxhash.xxh64_intdigest(uuid.uuid4().bytes) - (1 << 63)
+            some = [i for i, x in enumerate(lists) if x]
+            sizes = np.fromiter(map(len, lists), np.int64, buckets)
+            packed = [None] * len(some) + [[rows, *map(_squeeze, (sizes, lengths, *(np.concatenate(x) if len(x) else np.zeros(0, k) for x, k in ((codes, np.int32), (times, np.uint8)))))]]
+            held.clear()
+            found.clear()
+            known.clear()
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(packed), pa.int64()), pa.array([*some, -1], pa.int32()), pa.array([*(_pack_words(lists[i]) for i in some), None], pa.binary()), pa.array(packed, pa.list_(pa.binary()))], names=["chunk", "bucket", "words", "rows"])
+
+        total = 0
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                held.append(part.select(list(range(n))))
+                for t in part.column(n):
+                    words = tokens(raw := t.as_py())
+                    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+                    found.append((ids, np.minimum(np.fromiter(words.values(), np.int64, len(words)), REPEATS).astype(np.uint8)))
+                    total += len(raw or b"")
+                if total >= CHUNK_BYTES:
+                    total = 0
+                    yield flush()
+        if held:
+            yield flush()
+
+    def distinct(key: tuple, asked: pa.Table) -> pa.Table:
+        words: set[bytes] = set()
+        for x in asked["words"]:
+            words.update(_unpack_words(x.as_py()))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([zstandard.compress(b"\n".join(sorted(words)), 3)], pa.binary())})
+
+    def answer(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        known = dict(zip(_unpack_words(blocks["words"][0].as_py()), _unsqueeze(blocks["ratios"][0].as_py(), np.float32).tolist(), strict=True))
+        found = [_squeeze(np.array([known[w] for w in _unpack_words(x.as_py())], np.float32)) for x in asked["words"]]
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "ratios": pa.array(found, pa.binary())})
+
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        known = dict(zip(answers["bucket"].to_pylist(), answers["ratios"].to_pylist(), strict=True))
+        rows, *arrays = chunks["rows"][0].as_py()
+        sizes, lengths, codes, times = (_unsqueeze(x, k) for x, k in zip(arrays, (np.int64, np.int64, np.int32, np.uint8), strict=True))
+        ratios = np.concatenate([_unsqueeze(known[i], np.float32) for i in np.flatnonzero(sizes).tolist()] or [np.zeros(0, np.float32)]).astype(float)
+        out, at = [], 0
+        for k in lengths.tolist():
+            out.append(features(ratios[np.cumsum(codes[at : at + k])], times[at : at + k]))
+            at += k
+        return pa.ipc.open_stream(rows).read_all().append_column("features", pa.array(out, pa.list_(pa.float64())))
+
+    parts = docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(deal, "chunk long, bucket int, words binary, rows array<binary>")
+    parts = materialize(parts, "chunks")
+    asked, chunks = parts.where("bucket >= 0").select("chunk", "bucket", "words"), parts.where("bucket < 0").select("chunk", "rows")
+    blocks = materialize(asked.groupBy("bucket").applyInArrow(distinct, "bucket int, words binary"), "blocks")
+    ratios = materialize(word_ratios(blocks, counts, shares), "ratios")
+    answers = asked.groupBy("bucket").cogroup(blocks.join(ratios, "bucket").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, ratios binary")
+    out = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "features")
+    release(parts, blocks, ratios)
+    return out
 
 
 def fold_of(doc_id):
@@ -345,10 +424,12 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataF
     side = F.broadcast(marks) if small_enough(marks, BROADCAST_LABELS) else marks
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id")
     counts = materialize(word_counts(known.where(fold_of(F.col("doc_id")) != 4)), "words")
-    scanned = materialize(_scan(docs, columns, counts), "features")
+    scanned = _scan(docs, columns, counts)
+    release(counts)
     sample = side.where(fold_of(F.col("doc_id")) == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     rows = scanned.select(F.col("doc_id").cast("long").alias("doc_id"), "features").join(F.broadcast(sample), "doc_id")
-    got = rows.select("features", "toxic").limit(4 * CURVE_ROWS).toPandas()
+    got = rows.groupBy("doc_id").agg(F.min("features").alias("features"), F.max("toxic").alias("toxic")).toPandas()  # CURVE_ROWS at most
+    release(marks)
     x = np.array(got["features"].tolist(), float).reshape(-1, FEATURES)
     return scanned, fit_curve(x, got["toxic"].to_numpy(float))
 
@@ -373,6 +454,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, toxic: bool = True) -> DataFrame:
-    """The rows of docs, all columns, whose score is 0.5 or more; or, with toxic=False, the others. Rows as in toxicity()."""
-    scanned, curve = train(docs, labels, docs.columns)
-    return scanned.where((_score(curve) >= 0.5) == F.lit(toxic)).select(*docs.columns)
+    """The rows of docs, all columns, whose score is 0.5 or more; or, with toxic=False, the others.
+
+    Rows as in toxicity(). A score depends on the text alone, so rows go or stay by their text: rows of equal texts alike,
+    null texts too; ids may be null or repeat, further columns may have any name. An empty table gives no rows.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_marks("text"))
+    scanned, curve = train(keyed, labels, ["doc_id", "m1", "m2"])
+    found = scanned.where(_score(curve) >= 0.5).select("m1", "m2").distinct()
+    found = F.broadcast(found) if small_enough(found, BROADCAST_TEXTS) else found
+    m1, m2 = text_marks(docs["text"])
+    return docs.join(found, (m1 == found["m1"]) & (m2 == found["m2"]), "left_semi" if toxic else "left_anti")

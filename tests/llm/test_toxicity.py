@@ -50,20 +50,31 @@ def test_no_labels_no_rows(spark):
     assert tox.toxicity(spark.createDataFrame([], DOCS), none).count() == 0
 
 
-def test_probabilities_of_an_order_add_up():
-    # without collisions, the interpolated probabilities of all bytes after a context sum to at most 1
-    words = [b"abc", b"abd", b"xbc"]
+def test_probabilities_add_up():
+    words = [b"abc", b"abd", b"xbc", b"abcde"]
     g, of = tox.grams(words)
-    assert len(g) == sum(map(len, words)) + 3 and of.tolist() == [0] * 4 + [1] * 4 + [2] * 4
+    assert len(g) == sum(map(len, words)) + 4 and of.tolist() == [0] * 4 + [1] * 4 + [2] * 4 + [3] * 6
     assert int(g[0]).to_bytes(8, "big") == tox.PAD * 7 + b"a" and int(g[3]).to_bytes(8, "big") == tox.PAD * 4 + b"abc" + tox.END
+    u, at = np.unique(g, return_inverse=True)
+    c0, c1 = (np.bincount(at, weights=np.array(c, float)[of], minlength=len(u)) for c in ([3, 1, 0, 2], [0, 2, 5, 1]))
+    three = np.unique(tox._suffix(u, 3)).astype(np.int64)
+    pairs, n = np.unique(three & 0xFFFF, return_counts=True)
+    low, share = tox.low_orders(pairs, n.astype(float)), tox.Share(u, c0, c1)
+    for context in np.unique(u >> np.uint64(8)).tolist():
+        every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        for p in share.probabilities(every, low):
+            assert np.isclose(p.sum(), 1) and (p > 0).all()
 
 
 def test_curve_without_both_classes():
     assert tox.fit_curve(np.zeros((0, tox.FEATURES)), np.zeros(0))[1:].tolist() == [0.0] * tox.FEATURES
 
 
+OFF = [0, 1.0, 1.5, 1.75]
+
+
 def plain_ratios(words):
-    """word -> log-ratio, by dicts of every n-gram; words: (word, toxic)."""
+    """word -> log-ratio, by dicts of every n-gram; words: (word, toxic), once for each document."""
     tops = (Counter(), Counter())
     for w, y in words:
         x = tox.PAD * 7 + w + tox.END
@@ -80,7 +91,7 @@ def plain_ratios(words):
     for y in (0, 1):
         for g, c in tops[y].items():
             sums[y][g[:-1]] += c
-            sorts[y][g[:-1]] += 1
+            sorts[y][g[:-1]] += OFF[min(c, 3)]
 
     def ratio(w):
         x, out = tox.PAD * 7 + w + tox.END, 0.0
@@ -93,7 +104,7 @@ def plain_ratios(words):
                     p = (max(cont[s] - 0.75, 0) + 0.75 * kinds[k, s[:-1]] * p) / total[k, s[:-1]]
             for y in (0, 1):
                 n = sums[y][g[:-1]]
-                out += (2 * y - 1) * np.log((max(tops[y][g] - 0.75, 0) + 0.75 * sorts[y][g[:-1]] * p) / n if n else p)
+                out += (2 * y - 1) * np.log((tops[y][g] - OFF[min(tops[y][g], 3)] + sorts[y][g[:-1]] * p) / n if n else p)
         return out
 
     return ratio
@@ -105,11 +116,11 @@ def test_scores_are_those_of_exact_counts(spark):
     docs = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrst", k=9)) for _ in range(100)) + (" zorg vlimp" if i % 4 == 0 else ""), "", 0) for i in range(600)]
     labels = [(i, 0, int(i % 4 == 0)) for i in range(600)]
     fold = [zlib.crc32(str(i).encode()) % 5 for i in range(600)]
-    ratio = plain_ratios([(w, labels[i][2]) for i, t, *_ in docs if fold[i] in (1, 2, 3) for w in t.encode().split()])
+    ratio = plain_ratios([(w, labels[i][2]) for i, t, *_ in docs if fold[i] in (1, 2, 3) for w in set(t.encode().split())])
     x = {}
     for i in [i for i in range(600) if fold[i] == 4] + [i for i in range(600) if fold[i] == 0][:10]:
-        words = docs[i][1].encode().split()
-        x[i] = tox.features(np.array([ratio(w) for w in words]), sum(map(len, words)))
+        words = Counter(docs[i][1].encode().split())
+        x[i] = tox.features(np.array([ratio(w) for w in words]), np.array(list(words.values())))
     fit = [i for i in x if fold[i] == 4]
     curve = tox.fit_curve(np.array([x[i] for i in fit]), np.array([labels[i][2] for i in fit], float))
     got = {row["doc_id"]: row["score"] for row in tox.toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
