@@ -10,6 +10,7 @@ lost task packs the same documents again.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's makers split text before pairs are merged (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
+#: White space as the vocabulary's makers mean it (fixed values). Runs of LONG and more are cut out before the pattern sees them.
+SPACE, LONG = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1 << 14
 #: Tokens that are packed together.
 CHUNK = 4 << 20
 
@@ -32,14 +35,24 @@ CHUNK = 4 << 20
 class Encoder:
     """Text to ids as little-endian bytes of kind, by the vocabulary's own encoder."""
 
-    def __init__(self, vocabulary: bytes, end: int = END, pattern: str = PATTERN):
+    def __init__(self, vocabulary: bytes, end: int = END, pattern: str = PATTERN, long: int = LONG):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind, self.code = ("<u2", "H") if max([end, *ranks.values()]) < 1 << 16 else ("<u4", "I")
         self.end = np.array([end], self.kind).tobytes()
+        self.runs = re.compile(f"[{SPACE}]{{{long},}}")
 
     def encode(self, text: str) -> bytes:
-        return array(self.code, self.encoding.encode_ordinary(text)).tobytes()
+        """The pattern's matcher gives up on a very long run of white space. It makes one piece of it, but for the last
+        character, which belongs to what follows, if anything does; that piece is merged here, and the ids are the same."""
+        out, at = [], 0
+        for m in self.runs.finditer(text):
+            last = m.end() - (m.end() < len(text))
+            out.append(array(self.code, self.encoding.encode_ordinary(text[at : m.start()])).tobytes())
+            out.append(array(self.code, self.encoding._encode_single_piece(text[m.start() : last])).tobytes())
+            at = last
+        out.append(array(self.code, self.encoding.encode_ordinary(text[at:])).tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)

@@ -73,3 +73,17 @@ def test_write_and_empty(spark, tmp_path):
     packing.write(packing.pack(df, length=8), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 1
     assert packing.pack(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \n\t\x85　ab'1.\x1c")), max_size=40))
+def test_runs_of_white_space_cut_out_beforehand(text):
+    short = Encoder(open(packing.VOCABULARY, "rb").read(), long=2) if not hasattr(packing, "_short") else packing._short
+    packing._short = short
+    assert short.encode(text) == ENCODER.encode(text)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000 + "b", "\t" * 5_000_000, "x\n" + "\n" * 5_000_000 + " y", "z" * 5_000_000])
+def test_very_long_runs(text):
+    ids = np.frombuffer(ENCODER.encode(text), ENCODER.kind).tolist()
+    assert ENCODER.encoding.decode(ids) == text
