@@ -23,90 +23,208 @@ TRAINING_PAGES, EPOCHS, SEED = 500, 4, 5
 #: Hashed features of the field.
 FEATURES = 1 << 14
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|canvas|head|select|textarea|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: A whole tag as most are written. No part of it can run past the next angle bracket, so trying it is linear.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[a-zA-Z_:@][-\w:.@]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+))?)*)\s*(/?)>""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content isn't text of the page. An unclosed script or style sheet runs to the page's end, as in browsers; of the others only the tag goes.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "title", "template", "iframe", "noframes", "noembed")}
+#: Elements that begin and end blocks; all others, unknown ones too, lie within a line.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
+    "noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements out of which the closing tag of an element within a line doesn't reach.
+SCOPES = frozenset("article main body nav footer aside header section".split())
 #: An opening tag that ends open ones, up to a holder of them.
 ENDS = {"p": ({"p"}, set()), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BLOCK_ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "linked", "inline")
+    """A leaf's text; its parent's tag; the tags of block elements around it; the words of classes and ids around it; the outermost article or main; linked characters."""
+
+    __slots__ = ("text", "parent", "tags", "names", "within", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], names: tuple[str, ...], linked: int):
-        self.text, self.path, self.names, self.linked = text, path, names, linked
+    def __init__(self, text: str, parent: str, tags: frozenset[str], names: frozenset[str], within: str, linked: int):
+        self.text, self.parent, self.tags, self.names, self.within, self.linked = text, parent, tags, names, within, linked
+
+
+class Open:
+    """The open elements. Each entry knows what holds for all around it, shared where it adds nothing; every step is O(1), amortised."""
+
+    def __init__(self):
+        self.entries: list[tuple[str, str, frozenset[str], frozenset[str], str]] = [("", "", frozenset(), frozenset(), "")]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, names: list[str]) -> None:
+        _, parent, tags, around, within = self.entries[-1]
+        at = len(self.entries)
+        if tag in BLOCK:
+            parent, tags = tag, tags if tag in tags else tags | {tag}
+            within = within or (tag if tag in ("article", "main") else "")
+            self.blocks.append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        if names and not around.issuperset(names):
+            around = around.union(names)
+        self.places.setdefault(tag, []).append(at)
+        self.entries.append((tag, parent, tags, around, within))
+
+    def cut(self, at: int) -> None:
+        """End all elements from a place on."""
+        while len(self.entries) > at:
+            tag = self.entries.pop()[0]
+            self.places[tag].pop()
+            for x in (self.blocks, self.scopes):
+                if x and x[-1] == len(self.entries):
+                    x.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.places.get(tag)
+        if at and (tag in BLOCK or not self.scopes or at[-1] > self.scopes[-1]):
+            self.cut(at[-1])
+
+    def make_room(self, tag: str) -> None:
+        """End what an opening block tag ends by itself."""
+        ended, holders = ENDS.get(tag) or ({"p"}, {"td", "li", "table"})
+        while self.blocks:
+            t = self.entries[self.blocks[-1]][0]
+            if t in holders or t not in ended:
+                return
+            self.cut(self.blocks[-1])
+            if tag not in ("tr", "dt", "dd", "li"):
+                return
+
+
+def _odd_tag(page: str, at: int, gone: set[str]) -> tuple[str, str, int]:
+    """Name, attributes and end of an opening tag that isn't written like most: quoted values may hold anything, unquoted ones quotes. gone: quotes that don't occur any more."""
+    name = NAME.match(page, at + 1)[0]
+    i = at + 1 + len(name)
+    start, n = i, len(page)
+    while i < n and page[i] != ">":
+        if page[i] == "=":
+            i += 1
+            while i < n and page[i].isspace():
+                i += 1
+            q = page[i : i + 1]
+            if q in ("'", '"') and q not in gone:
+                end = page.find(q, i + 1)
+                if end >= 0:
+                    i = end + 1
+                    continue
+                gone.add(q)
+            while i < n and page[i] != ">" and not page[i].isspace():
+                i += 1
+        else:
+            i += 1
+    return name, page[start:i], min(i + 1, n)
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order. Character references are decoded, white space is one space."""
+    """Leaf blocks with text, in page order. Character references are decoded, white space is one space. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags and the words of their classes and ids
+    held = Open()
     parts: list[str] = []
     linked = 0
+    in_head = False
+    gone: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                names = [w for _, n in stack for w in n]
-                out.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), tuple(names), linked))
+                _, parent, tags, names, within = held.entries[-1]
+                out.append(Block(text, parent, tags, names, within, linked))
             parts.clear()
         linked = 0
 
+    def add(text: str) -> None:
+        nonlocal linked
+        if text and not in_head:
+            parts.append(text)
+            if held.places.get("a"):
+                linked += len(text)
+
     at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if any(t == "a" for t, _ in stack):
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue  # comments, scripts, styles, forms' controls
-        tag = tag.lower()
-        if m["close"]:
-            if tag not in INLINE:
+    while True:
+        m = page.find("<", at)
+        if m < 0:
+            add(page[at:])
+            break
+        add(page[at:m])
+        t = TAG.match(page, m)
+        if t:
+            close, tag, attributes, empty = t[1], t[2].lower(), t[3], bool(t[4])
+            at = t.end()
+        elif page.startswith("<!--", m):
+            end = page.find("-->", m + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        elif page[m + 1 : m + 2] in ("!", "?") or page[m + 1 : m + 2] == "/":
+            if page[m + 1] == "/" and not page[m + 2 : m + 3].strip():  # no tag
+                add(page[m : m + 2])
+                at = m + 2
+                continue
+            end = page.find(">", m)
+            name = NAME.match(page, m + 2) if page[m + 1] == "/" else None
+            at = end + 1 if end >= 0 else len(page)
+            if not name or end < 0:
+                continue
+            close, tag, attributes, empty = "/", name[0].lower(), "", False
+        elif NAME.match(page, m + 1):
+            tag, attributes, at = _odd_tag(page, m, gone)
+            close, tag, empty = "", tag.lower(), attributes.endswith("/")
+        else:
+            add("<")
+            at = m + 1
+            continue
+        if close:
+            if tag == "head":
+                in_head = False
+            if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body", "nav", "footer", "aside", "header", "section") and tag in INLINE:
-                    break
+            held.close(tag)
             continue
-        if tag == "br":
-            parts.append(" ")
+        if in_head and tag not in IN_HEAD:
+            in_head = False
+        if tag in RAW and not empty:
+            end = None if tag in gone else RAW[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                break
+            else:
+                gone.add(tag)
+            continue
+        if tag == "head":
+            flush()
+            in_head = True
             continue
+        if tag == "br":
+            add(" ")
+        elif tag == "hr":
+            flush()
         if tag in VOID:
-            if tag == "hr":
-                flush()
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             flush()
-            over = ENDS.get(tag) or ({"p"}, {"td", "li", "table"}) if tag in ENDS or tag in BLOCK_ENDS_P else None
-            if over:
-                for i in range(len(stack) - 1, -1, -1):
-                    t = stack[i][0]
-                    if t in over[1] or t not in over[0] and t not in INLINE:
-                        break
-                    if t in over[0]:
-                        del stack[i:]
-                        if tag not in ("tr", "dt", "dd", "li"):
-                            break
-        names: tuple[str, ...] = ()
-        if m["attributes"]:
-            found = []
-            for name, *value in ATTRIBUTE.findall(m["attributes"]):
+            if tag in ENDS or tag in BLOCK_ENDS_P:
+                held.make_room(tag)
+        if empty and tag not in BLOCK:
+            continue  # as svg and the like have it
+        found: list[str] = []
+        if attributes:
+            for name, *value in ATTRIBUTE.findall(attributes):
                 v = next((x for x in value if x), "")
                 if name.lower() == "style":
                     found += ["hidden"] if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) else []
@@ -114,12 +232,7 @@ def blocks(page: str) -> list[Block]:
                     found.append("hidden")
                 else:
                     found += [w.lower() for w in WORDS.findall(v)]
-            names = tuple(found)
-        if not (m["attributes"] or "").endswith("/"):
-            stack.append((tag, names))
-    if at < len(page):
-        tail = page[at:]
-        parts.append(tail)
+        held.push(tag, found)
     flush()
     return out
 
@@ -140,18 +253,17 @@ def features(bs: list[Block]) -> list[np.ndarray]:
     """The hashed features that are on in each block."""
     out = []
     for k, b in enumerate(bs):
-        words = b.text.split()
-        n = len(words)
+        n = b.text.count(" ") + 1
         dense = b.linked / max(1, len(b.text))
-        on = ["bias", f"n{_bucket(n)}", f"link{min(4, int(dense * 5))}", f"parent={b.path[-1] if b.path else ''}", f"stop={b.text[-1] in '.!?…。'}{_bucket(n)}", "first" if k == 0 else "last" if k == len(bs) - 1 else "mid"]
-        on += [f"has={t}" for t in set(b.path)]
-        on += [f"name={w}" for w in set(b.names)]
-        if not any(w in CHROME for w in b.names) and not any(t in CHROME_TAGS for t in b.path):
-            on.append("plain")
-        if any(w in CHROME for w in b.names):
+        on = ["bias", f"n{_bucket(n)}", f"link{min(4, int(dense * 5))}", f"parent={b.parent}", f"stop={b.text[-1] in '.!?…。'}{_bucket(n)}", "first" if k == 0 else "last" if k == len(bs) - 1 else "mid"]
+        on += [f"has={t}" for t in b.tags]
+        on += [f"name={w}" for w in b.names]
+        named, tagged = not CHROME.isdisjoint(b.names), CHROME_TAGS & b.tags
+        if named:
             on.append("chrome")
-        within = next((t for t in b.path if t in ("article", "main")), "")
-        on += [f"{within}>{t}" for t in set(b.path) if t in CHROME_TAGS]
+        elif not tagged:
+            on.append("plain")
+        on += [f"{b.within}>{t}" for t in tagged]
         out.append(np.array(sorted({_slot(x) for x in on}), np.int64))
     return out
 

@@ -10,8 +10,70 @@ SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
 
 def test_blocks():
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href='x>y'>A</a><li>B</ul></nav><script>var a='<p>no</p>'</script><article><h1>T &amp;\n U</h1><p>one <b>t</b>wo<br>three<p>four<!-- no --></article>tail &lt;"
-    got = [(b.text, b.path[2:]) for b in H.blocks(page)]
-    assert got == [("A", ("nav", "ul", "li")), ("B", ("nav", "ul", "li")), ("T & U", ("article", "h1")), ("one two three", ("article", "p")), ("four", ("article", "p")), ("tail <", ())]
+    got = [(b.text, b.parent, b.tags - {"html", "body"}) for b in H.blocks(page)]
+    assert got == [("A", "li", {"nav", "ul", "li"}), ("B", "li", {"nav", "ul", "li"}), ("T & U", "h1", {"article", "h1"}), ("one two three", "p", {"article", "p"}), ("four", "p", {"article", "p"}), ("tail <", "body", set())]
+
+
+def text(page):
+    return " ".join(b.text for b in H.blocks(page))
+
+
+def test_nothing_but_the_listed_kinds_goes():
+    assert text("<p>Let <math><mi>x</mi></math> be.") == "Let x be."
+    assert text("<p>a <svg/> b <math/> c <button>d</button> <object>e</object> <noscript>f</noscript>g") == "a b c d e f g"
+    assert text("<p title=don't stop>Hello <a href='x>y' title=\"a>b\">you</a>") == "Hello you"
+    assert text("<head><title>t</title><p>no end of the head</p><select><option>a<option>b</select><textarea>c</textarea>") == "no end of the head a b c"
+    assert text("<p>before<iframe>after <title>too") == "beforeafter too"
+    assert text("1 < 2 </ 3 <p <b>x</b>y") == "1 < 2 </ 3 xy" and text("<p>a<!-- b") == "a" and text("a<script>b") == "a" and text("x<a y=\"z>w") == "xw"
+    assert text("a</p bogus>b<?php c ?>d<!DOCTYPE e>f&amp;&#x41;&nbsp;g") == "a bdf&A g"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n, field = 50_000, H.trained()
+    for page in ("<a " * 350_000, "<div>" * n + "x", "<b>" * n + "x" + "</i>" * n, "<div>" + "<b>" * n + "<p>x</p>" * n, "<p>" + "<b>" * n + "<p>" * n, "<iframe>" * n, "<a x='" * n, "</" * n, "<!-" * n, "<li>" * n + "</ul>" * n):
+        began = time.time()
+        H.main_text(page, H.trained())
+        assert time.time() - began < 2.5, page[:20]
+
+
+def test_extraction_against_a_tree_parser():
+    """Blocks against the standard library's parser over drawn pages: the same texts, in order."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.skip, self.held, self.out = 0, [], []
+
+        def cut(self):
+            if t := " ".join("".join(self.held).split()):
+                self.out.append(t)
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "title")
+            self.held += [" "] if tag == "br" else []
+            if tag in H.BLOCK:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "title")
+            if tag in H.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            self.held += [] if self.skip else [data]
+
+    r = random.Random(99)
+    for _ in range(150):
+        page, _ = H.drawn_page(r)
+        p = Texts()
+        p.feed(page)
+        p.close()
+        p.cut()
+        assert [b.text for b in H.blocks(page)] == p.out
 
 
 def test_viterbi_and_marginals_against_enumeration():
