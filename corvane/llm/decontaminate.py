@@ -1,96 +1,58 @@
 """Benchmark decontamination: rare n-gram seeds join passages of documents to test items; Smith-Waterman alignment scores them.
 
-One pass over all documents counts how often each word n-gram of the test items occurs in the corpus. An item's seeds are
-its rare n-grams: those that are not far more frequent than four fifths of the item's own. Rarity is measured within the
-item, as all n-grams of an item that has leaked a million times occur a million times. A second pass finds the seeds in
-the documents; around each run of seeds of one item the passage is aligned with the item word by word.
+One pass over the documents hashes every word n-gram and keeps those that a bitmap of the items' n-grams lets pass; a join
+with the items' n-grams drops what passed by chance. How often each n-gram occurs in the corpus is counted over the rest.
+An item's seeds are its rare n-grams: those that are not far more frequent than four fifths of the item's own. Rarity is
+measured within the item, as all n-grams of an item that has leaked a million times occur a million times. Seeds join
+their occurrences to items; only documents with a seed are read again, and around each run of seeds of one item the
+passage is aligned with the item word by word. The passes are the same however large the benchmark is.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import BROADCAST_TEXTS, Cache, bitmap, materialize, mix64, passing, release, small_enough, text_marks
 
 #: Words of a seed. N-grams more than FACTOR times as frequent as this share of the item's own are no seeds.
 SEED, SHARE, FACTOR = 3, 0.8, 4
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least alignment score against the item's own.
 LEAST = 0.5
-#: Bytes of items that one pass holds; more items go in blocks of this size.
-BLOCK_BYTES = 8 << 20
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return TOKEN.findall((text or b"").decode("utf-8", "replace").lower().encode())
 
 
-class Items:
-    """A block of test items with their words numbered; n-grams as tuples of numbers, hashed to one integer."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.ids, self.words = [], []
-        for i, t in rows:
-            w = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in tokens((t or "").encode())], np.int64)
-            if len(w):
-                self.ids.append(i)
-                self.words.append(w)
-        self.sets = [np.unique(w) for w in self.words]
-        self.base = len(self.vocabulary) + 2
-
-    def numbers(self, text: bytes | None, cache: Cache) -> np.ndarray:
-        """The numbers of the text's words, 0 for words of no item."""
-        return np.frombuffer(b"".join(map(cache.__getitem__, (text or b"").split())), np.int32).astype(np.int64)
-
-    def cache(self) -> Cache:
-        """What stands between white space -> the numbers of the words in it, packed."""
-        packed = {w: n.to_bytes(4, "little") for w, n in self.vocabulary.items()}
-        return Cache(lambda raw: b"".join([packed.get(w, b"\0\0\0\0") for w in tokens(raw)]), 400_000)
-
-    def grams(self, x: np.ndarray, n: int = SEED) -> np.ndarray:
-        """One number for each n consecutive words, -1 where a word is unknown. Exact while base ** n < 2 ** 63."""
-        m = len(x) - n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64)
-        out, known = np.zeros(m, np.int64), np.ones(m, bool)
-        for i in range(n):
-            out = out * self.base + x[i : i + m]
-            known &= x[i : i + m] > 0
-        return np.where(known, out, -1)
-
-    def all_grams(self) -> np.ndarray:
-        """Those of all items, sorted. Items of fewer words than a seed have one gram of what words there are, see short()."""
-        return np.unique(np.concatenate([self.grams(w) for w in self.words if len(w) >= SEED] or [np.zeros(0, np.int64)]))
-
-    def short(self) -> dict[int, list[int]]:
-        """Items of fewer words than a seed, by their first word."""
-        out = defaultdict(list)
-        for i, w in enumerate(self.words):
-            if len(w) < SEED:
-                out[int(w[0])].append(i)
-        return dict(out)
-
-    def seeds(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Gram -> (item, place) of the rare n-grams."""
-        out = defaultdict(list)
-        for i, w in enumerate(self.words):
-            g = self.grams(w).tolist()
-            if g:
-                n = [counts.get(x, 0) for x in g]
-                most = FACTOR * (1 + sorted(n)[min(len(n) - 1, int(SHARE * len(n)))])
-                for p, x in enumerate(g):
-                    if n[p] <= most:
-                        out[x].append((i, p))
-        return dict(out)
+def word_hashes(text: bytes | None, cache: Cache | None = None) -> np.ndarray:
+    """A 64-bit hash of each word; cache (see hashes_of) is by what stands between white space."""
+    raw = (text or b"").split() if cache is not None else [text or b""]
+    return np.frombuffer(b"".join(map(cache.__getitem__ if cache is not None else hashes_of, raw)), np.uint64)
+
+
+def hashes_of(raw: bytes) -> bytes:
+    return b"".join([xxhash.xxh3_64_digest(w) for w in tokens(raw)])
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every n consecutive words, other for each n."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(m, n, np.uint64)
+    for i in range(n):
+        out = out * BASE + h[i : i + m]
+    return mix64(out)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -118,114 +80,138 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
-def hits(items: Items, seeds: dict[int, list[tuple[int, int]]], keys: np.ndarray, short: dict[int, list[int]], x: np.ndarray) -> list[tuple[int, float, int, int]]:
-    """(item index, score, first word, end) of each item that a document (word numbers) holds: its best alignment, the first if equal."""
-    found: dict[int, list[int]] = defaultdict(list)  # item -> where it would begin
-    g = items.grams(x)
-    if len(g) and len(keys):
-        here = np.flatnonzero(g >= 0)
-        at = np.searchsorted(keys, g[here])
-        at[at == len(keys)] = 0
-        for p in here[keys[at] == g[here]].tolist():
-            for i, q in seeds[int(g[p])]:
-                found[i].append(p - q)
-    out = []
-    for i, begins in found.items():
-        item, n = items.words[i], len(items.words[i])
-        begins = sorted(set(begins))
-        best = None
-        k = 0
-        while k < len(begins):  # seeds near one another share a passage
-            m = k
-            while m + 1 < len(begins) and begins[m + 1] - begins[m] <= n:
-                m += 1
-            low, high = max(0, begins[k] - n // 2 - 2), min(len(x), begins[m] + n + n // 2 + 2)
-            part = x[low:high]
-            common = np.isin(part, items.sets[i]).sum()
-            if common >= LEAST * n:  # no alignment has more matches
-                score, a, b = align(item, part)
-                score /= n * MATCH
-                if score >= LEAST and (best is None or score > best[0]):
-                    best = (score, low + a, low + b)
-            k = m + 1
-        if best:
-            out.append((i, *best))
-    for p in np.flatnonzero(np.isin(x, list(short))).tolist() if short else []:
-        for i in short[int(x[p])]:
-            n = len(items.words[i])
-            if all(h[0] != i for h in out) and np.array_equal(x[p : p + n], items.words[i]):
-                out.append((i, 1.0, p, p + n))
-    return out
+def best_alignment(item: np.ndarray, words: np.ndarray, begins: list[int]) -> tuple[float, int, int] | None:
+    """(score, first word, end) of the best alignment of an item near the places where seeds say that it begins, the first if equal; None below LEAST."""
+    n, own = len(item), np.unique(item)
+    begins = sorted(set(begins))
+    if n < SEED:  # the seed is the whole item
+        return 1.0, begins[0], begins[0] + n
+    best, k = None, 0
+    while k < len(begins):  # seeds near one another share a passage
+        m = k
+        while m + 1 < len(begins) and begins[m + 1] - begins[m] <= n:
+            m += 1
+        low, high = max(0, begins[k] - n // 2 - 2), min(len(words), begins[m] + n + n // 2 + 2)
+        part = words[low:high]
+        if np.isin(part, own).sum() >= LEAST * n:  # no alignment has more matches
+            score, a, b = align(item, part)
+            score /= n * MATCH
+            if score >= LEAST and (best is None or score > best[0]):
+                best = (score, low + a, low + b)
+        k = m + 1
+    return best
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(gram, item, place, n_words) of items (item, text binary): n-grams of SEED words, or of all words of a shorter item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = word_hashes(t.as_py())
+                g = grams(h, min(SEED, len(h))) if len(h) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), i, np.int64)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(np.full(len(g), len(h), np.int32))], names=["gram", "item", "place", "n_words"])
+
+    return items.mapInArrow(run, "gram long, item long, place int, n_words int")
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, in order of their ids; rows without an id or words are left out."""
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
-    part, size = [], 0
-    for r in rows.toLocalIterator():
-        part.append((r[0], r[1]))
-        size += len(r[1].encode())
-        if size >= BLOCK_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def _block_hits(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    items = Items(rows)
-    sent, grams = sc.broadcast(items), sc.broadcast(items.all_grams())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, keys = sent.value.cache(), grams.value
-        total = np.zeros(len(keys), np.int64)
+def _occurrences(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) -> DataFrame:
+    """(gram, m1, m2, at) of the documents' n-grams that the bitmap lets pass; docs: m1, m2, text binary."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, bits = Cache(hashes_of, 400_000), sent.value
         for b in batches:
-            for t in b.column(0):
-                g = sent.value.grams(sent.value.numbers(t.as_py(), cache))
-                g = g[g >= 0]
-                if len(g) and len(keys):
-                    at = np.searchsorted(keys, g)
-                    at[at == len(keys)] = 0
-                    np.add.at(total, at[keys[at] == g], 1)
-        here = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[here]), pa.array(total[here])], names=["gram", "n"])
-
-    counted = base.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of the block at most
-    seeds = items.seeds({r["gram"]: r["n"] for r in counted})
-    plan = sc.broadcast((seeds, np.array(sorted(seeds), np.int64), items.short()))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, it = sent.value.cache(), sent.value
+            found, places, rows = [], [], []
+            for r, t in enumerate(b.column(2)):
+                h = word_hashes(t.as_py(), cache)
+                for n in widths:
+                    g = grams(h, n)
+                    here = np.flatnonzero(passing(bits, g))
+                    if len(here):
+                        found.append(g[here])
+                        places.append(here)
+                        rows.append(np.full(len(here), r))
+            if found:
+                at = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "m1", "m2", "at"])
+
+    return docs.mapInArrow(run, "gram long, m1 long, m2 long, at int")
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """(m1, m2, item, score, first_word, end_word) of rows (m1, m2, text, items: array of (item, begins, item_text)) that reach LEAST."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out += [(i, it.ids[k], score, a, z) for k, score, a, z in hits(it, *plan.value, it.numbers(t.as_py(), cache))]
+            for m1, m2, t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                words = word_hashes(t.as_py())
+                for x in items.as_py():
+                    best = best_alignment(word_hashes(x["item_text"]), words, x["begins"])
+                    if best:
+                        out.append((m1, m2, x["item"], *best))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-    return base.mapInArrow(find, "doc_id long, item_id long, score double, first_word int, end_word int")
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["m1", "m2", "item", "score", "first_word", "end_word"])
+
+    return rows.mapInArrow(run, "m1 long, m2 long, item long, score double, first_word int, end_word int")
+
+
+def _found(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(m1, m2, item_id, score, first_word, end_word) of the distinct texts (m1, m2, text) that hold an item."""
+    none = texts.sparkSession.createDataFrame([], "m1 long, m2 long, item_id long, score double, first_word int, end_word int")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+    items = materialize(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
+    of_items = materialize(_item_grams(items.select("item", "text")), "item-grams")
+    size = of_items.agg(F.count("*").alias("n"), F.collect_set(F.least("n_words", F.lit(SEED))).alias("widths")).first()
+    if not size["n"]:
+        return none
+    hits = _occurrences(texts.select("m1", "m2", F.col("text").cast("binary").alias("text")), bitmap(of_items.select("gram"), size["n"]), sorted(size["widths"]))
+    hits = materialize(hits.join(of_items.select("gram").distinct(), "gram", "left_semi"), "hits")
+    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    # an item's own n-grams, as many as it has words, meet in its row
+    counted = of_items.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    usual = counted.groupBy("item").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    place = F.least(F.size("ns") - 1, F.floor(F.lit(SHARE) * F.size("ns")).cast("int"))
+    usual = usual.select("item", (FACTOR * (1 + F.col("ns")[place])).alias("most"))
+    seeds = counted.join(usual, "item").where("n > 0 AND (n <= most OR n_words < %d)" % SEED).select("gram", "item", "place")
+    wanted = hits.join(seeds, "gram").select("m1", "m2", "item", (F.col("at") - F.col("place")).alias("begin"))
+    wanted = materialize(wanted.groupBy("m1", "m2", "item").agg(F.collect_set("begin").alias("begins")), "candidates")
+    release(hits)
+    per_text = wanted.join(items.select("item", F.col("text").alias("item_text")), "item").groupBy("m1", "m2").agg(F.collect_list(F.struct("item", "begins", "item_text")).alias("items"))
+    marks = wanted.select("m1", "m2").distinct()
+    side = F.broadcast(marks) if small_enough(marks, BROADCAST_TEXTS) else marks
+    seen = texts.join(side, ["m1", "m2"], "left_semi").groupBy("m1", "m2").agg(F.first(F.col("text").cast("binary")).alias("text"))
+    found = _aligned(seen.join(per_text, ["m1", "m2"]).select("m1", "m2", "text", "items"))
+    # items that share id and text are one; an id with several texts is held against all of them
+    out = found.join(items.select("item", "item_id"), "item").groupBy("m1", "m2", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
+    out = materialize(out.select("m1", "m2", "item_id", "b.*"), "found")
+    release(items, of_items, wanted)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): documents with a copy of a test item, exact or edited; no order.
 
     Words are lower-case runs of letters and digits. score is the best local alignment's (match 1, mismatch and gap
-    -0.5) over the item's words; 0.5 or more counts. Items of fewer than three words must occur whole. Null or empty
-    texts on either side match nothing; items without an id are left out; rows that repeat a doc_id answer each; a null
-    doc_id is returned as null. Empty tables give no rows.
+    -0.5) over the item's words; 0.5 or more counts. An item is found where three consecutive words of it that are rare
+    for it survive; items of fewer than three words must occur whole. Null or empty texts on either side match nothing;
+    items without an id are left out; rows that repeat a doc_id answer together, each item once; a null doc_id is
+    returned as null. Empty tables give no rows.
     """
-    out = None
-    for rows in _blocks(benchmark):
-        part = _block_hits(docs, rows)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word int, end_word int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_marks("text"))
+    found = _found(rows, benchmark)
+    out = rows.select("doc_id", "m1", "m2").join(found, ["m1", "m2"])
     return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which a test item was found. Rows with a null doc_id stay unless they hold one themselves."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    """docs without the rows whose text holds a test item, as contaminated() finds it.
+
+    Rows go by their text, not by their id: another row of the same doc_id, null or not, stays if its own text is clean.
+    Null texts stay; repeated rows go or stay together; all columns are kept whatever their names.
+    """
+    found = _found(docs.select("text", *text_marks("text")), benchmark).select("m1", "m2").distinct()
+    m1, m2 = text_marks(docs["text"])
+    return docs.join(found, (m1 == found["m1"]) & (m2 == found["m2"]), "left_anti")

@@ -56,9 +56,44 @@ def test_copies_edits_and_clean_documents(spark):
     assert sorted((x["doc_id"] for x in kept.collect())) == sorted({d for d, _ in docs if d is not None} - {d for d, _ in truth})
 
 
-def test_items_in_blocks_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(dec, "BLOCK_BYTES", 10)
+def test_every_item_against_every_document(spark):
+    """Exhaustive alignment of edited copies, by share of edited words."""
+    r = random.Random(11)
+    words = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(12)]
+    docs, share = [], {}
+    for d in range(144):
+        t = items[d % 12][1].split()
+        edits = d // 12
+        for k in r.sample(range(30), edits):
+            t[k] = f"new{k}"
+        body = [r.choice(words) for _ in range(40)]
+        docs.append((d, " ".join(body[:20] + t + body[20:])))
+        share[d] = edits
+    docs += [(1000 + k, " ".join(r.choice(words) for _ in range(80))) for k in range(30)]
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()])
+    want = {(d, i) for d, t in docs for i, u in items if slow_align(code(u), code(t)) / 30 >= dec.LEAST}
+    got = {(x["doc_id"], x["item_id"]) for x in dec.contaminated(spark.createDataFrame([(d, t, "", 0) for d, t in docs], DOCS), spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)).collect()}
+    assert got <= want
+    light = {p for p in want if share.get(p[0], 99) <= 6}
+    assert len(light) >= 80 and light <= got and len(got) >= 0.95 * len(want)
+
+
+def test_rows_stay_or_go_by_their_own_text(spark):
+    item = "one two three four five six seven"
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("a.b", T.StringType()), T.StructField("m1", T.LongType())])
+    rows = [(None, item, "x", 1), (None, "clean words only here", "y", 2), (None, None, "z", 3), (7, item, "x", 4), (7, "another clean text", "x", 5), (7, "another clean text", "x", 5)]
+    kept = dec.clean(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, item, 0)], ITEMS))
+    assert kept.columns == ["doc_id", "text", "a.b", "m1"]
+    assert sorted(tuple(x)[3] for x in kept.collect()) == [2, 3, 5, 5]
+
+
+def test_full_bitmap_and_empty_tables(spark, monkeypatch):
+    from corvane.llm import common
+
+    monkeypatch.setattr(common, "BITS_EACH", 0)
     df = spark.createDataFrame([(1, "a b c d e", "", 0), (2, "f g h", "", 0)], DOCS)
-    bench = spark.createDataFrame([(1, "b c d e", 0), (2, "f g h i", 0), (3, "q", 0)], ITEMS)
-    assert {(x[0], x[1]) for x in dec.contaminated(df, bench).collect()} == {(1, 1), (2, 2)}
+    bench = spark.createDataFrame([(1, "b c d e", 0), (2, "f g h i", 0), (3, "q", 0), (3, "d e", 0)], ITEMS)
+    assert {(x[0], x[1]) for x in dec.contaminated(df, bench).collect()} == {(1, 1), (2, 2), (1, 3)}
     assert dec.contaminated(df, bench.limit(0)).count() == 0 and dec.contaminated(df.limit(0), bench).count() == 0
