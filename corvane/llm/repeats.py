@@ -1,15 +1,15 @@
 """Substring dedup: words of 20-word passages that occurred earlier are removed.
 
 Method (repeated-phrase automata). A window of WINDOW words is named by an anchor: the SEED-word phrase in it whose hash
-is least, so equal windows have equal anchors. One pass gives each document's anchors; those met only once in the corpus
-can't be in a repeated window and go. Around the others, passages are dealt to shards by anchor. A shard reads its
-passages in order of (document, position), confirms the word sequences that recur, compiles them into an Aho-Corasick
-automaton over word symbols and streams all its passages through it, which locates every occurrence. Occurrences but
-the earliest mark the words that go.
+is least, so equal windows have equal anchors. One pass counts the anchors; those met only once in the corpus can't be in
+a repeated window. A second pass deals passages to shards by anchor where a bitmap of the recurring ones lets them pass. A
+shard reads its passages in order of (document, position), confirms the word sequences that recur, compiles them into an
+Aho-Corasick automaton over word symbols and streams all its passages through it, which locates every occurrence: a window
+with another anchor can't be equal to one of the shard's. Occurrences but the earliest mark the words that go.
 
 A shard holds SHARD_ROWS passages at a time. An anchor met more than HOT times is dealt by whole window instead, so a
-frequent phrase with ever different surroundings spreads over all tasks, and one with the same surroundings needs the
-memory of a few windows. Nothing is capped or sampled.
+frequent phrase with ever different surroundings spreads over all tasks. A window met more than HOT times is dealt out in
+SLICES by document, each led by the window's first occurrence, a grouped minimum. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, materialize, mix64
+from .common import NULL_ID, bitmap, materialize, mix64, passing, release
 
 WINDOW, SEED = 20, 5
-SHARD_ROWS, HOT = 4000, 20_000
+SHARD_ROWS, HOT, SLICES = 4000, 20_000, 64
+#: Most anchors that are dealt by whole window (8 bytes each are sent to all tasks); the threshold rises until no more are left.
+MOST_HOT = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,46 +63,54 @@ def anchors(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.n
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64), g
 
 
-def _anchor_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
+def _anchor_counts(docs: DataFrame, window: int, seed: int) -> DataFrame:
+    """(anchor, n) of the anchors that recur; docs: text binary. A document's anchors at different places count each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks, keys, places = b.column(0).to_numpy(), b.column(1).to_numpy(), [], []
-            for t in b.column(2):
+            keys = [np.zeros(0, np.int64)]
+            for t in b.column(0):
                 words = (t.as_py() or b"").split()
-                at, g = anchors(word_hashes(words), window, seed) if len(words) >= window else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                at = np.unique(at)
-                keys.append(g[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            n = np.fromiter(map(len, keys), np.int64, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(marks, n)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["id", "mark", "anchor", "at"])
+                if len(words) >= window:
+                    at, g = anchors(word_hashes(words), window, seed)
+                    keys.append(g[np.unique(at)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["anchor"])
 
-    return docs.mapInArrow(run, "id long, mark int, anchor long, at int")
+    return docs.mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _passages(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """rows: id, mark, text, found (places of recurring anchors; hot ones as -1 - place). The passages whose windows have such an anchor."""
+def _passages(rows: DataFrame, window: int, seed: int, bits: np.ndarray, hot: np.ndarray, whole: bool) -> DataFrame:
+    """rows: id, mark, text. The passages whose windows have an anchor that the bitmap lets pass, but for hot ones; or (whole) the windows with a hot one, each by itself."""
+    sent = rows.sparkSession.sparkContext.broadcast((bits, np.sort(hot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = sent.value
         for b in batches:
             out: list[tuple] = []
             texts: list[bytes] = []
-            for i, m, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                words = t.as_py().split()
-                at, g = anchors(word_hashes(words), window, seed)
-                kind = np.zeros(len(words), np.int8)  # 1: recurring, 2: and hot
-                places = found.values.to_numpy()
-                kind[places[places >= 0]] = 1
-                kind[-1 - places[places < 0]] = 2
-                line = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            for i, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = (t.as_py() or b"").split()
+                if len(words) < window:
+                    continue
+                h = word_hashes(words)
+                at, g = anchors(h, window, seed)
                 cut = np.flatnonzero(np.diff(at)) + 1
                 first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
-                run_kind = kind[at[first]]
-                a, z, key = first[run_kind == 1], last[run_kind == 1], g[at[first[run_kind == 1]]]
-                if (run_kind == 2).any():  # each window by itself
-                    alone = np.flatnonzero(kind[at] == 2)
-                    whole = phrase_hashes(word_hashes(words), window)
-                    a, z, key = np.concatenate((a, alone)), np.concatenate((z, alone + 1)), np.concatenate((key, whole[alone]))
+                key = g[at[first]]
+                some = np.flatnonzero(passing(bits, key))
+                if not len(some):
+                    continue
+                a, z, key = first[some], last[some], key[some]
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    a, z, key = (x[is_hot == whole] for x in (a, z, key))
+                    if not len(a):
+                        continue
+                if whole:
+                    a = np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), z.tolist(), strict=True)])
+                    z, key = a + 1, mix64(phrase_hashes(h, window))[a]
+                line = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 starts = np.where(a > 0, ends[a - 1], 0).tolist()
                 stops = (ends[z + window - 2] - 1).tolist()
                 texts += [line[x:y] for x, y in zip(starts, stops, strict=True)]
@@ -118,6 +127,17 @@ def _passages(rows: DataFrame, window: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "shard long, id long, mark int, start int, passage binary")
 
 
+def _sliced(alone: DataFrame) -> DataFrame:
+    """Windows; those that occur more than HOT times in slices by document, each with the window's first occurrence too."""
+    often = alone.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "mark", "start", "passage"), F.struct("id", "start", "mark")).alias("first")).where(F.col("n") > HOT)
+    often = materialize(often, "often")
+    of_slice = lambda k: F.xxhash64("shard", k)
+    firsts = often.select("shard", "first.*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("k")).select(of_slice(F.col("k")).alias("shard"), "id", "mark", "start", "passage")
+    marked = alone.join(often.select("shard", F.lit(True).alias("much")), "shard", "left")
+    slices = marked.withColumn("shard", F.when(F.col("much"), of_slice(F.pmod(F.xxhash64("id", "mark"), F.lit(SLICES)).cast("int"))).otherwise(F.col("shard")))
+    return slices.select(*firsts.columns).unionByName(firsts)
+
+
 class Symbols(dict):
     """Word -> character, in order of appearance; surrogates are left out."""
 
@@ -226,7 +246,7 @@ def _covered(passages: DataFrame, window: int) -> DataFrame:
             if (out := ready(True)) is not None:
                 yield out
 
-    parts = passages.repartition("shard").sortWithinPartitions("shard", "id", "start", "mark")
+    parts = passages.repartition("shard").sortWithinPartitions("shard", "id", "start", "mark").select("shard", "id", "mark", "start", "passage")
     return parts.mapInArrow(run, "id long, mark int, a int, b int")
 
 
@@ -262,10 +282,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     them aren't earlier than one another. Null and empty texts have no words; an empty table gives no rows.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    rows = _anchor_rows(base, window, seed)
-    counted = rows.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).where("n > 1")
-    found = counted.groupBy("id", "mark").agg(F.collect_list(F.when(F.col("n") > HOT, -1 - F.col("at")).otherwise(F.col("at"))).alias("found"))
-    passages = _passages(base.join(found, ["id", "mark"]).select("id", "mark", "text", "found"), window, seed)
+    counted = materialize(_anchor_counts(base.select("text"), window, seed), "anchors")
+    n, times = counted.agg(F.count("*"), F.sum("n")).first()
+    hot = counted.where(F.col("n") > max(HOT, (times or 0) // MOST_HOT)).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
+    bits = bitmap(counted.select("anchor"), n)
+    release(counted)
+    passages = _passages(base, window, seed, bits, hot.view(np.uint64), False)
+    if len(hot):
+        alone = materialize(_passages(base, window, seed, bits, hot.view(np.uint64), True), "windows")
+        passages = passages.unionByName(_sliced(alone))
     gone = _covered(passages, window).groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     gone = materialize(gone, "repeats")
     out = _strip(base.join(gone, ["id", "mark"], "left").select("id", "text", "gone"))
