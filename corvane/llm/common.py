@@ -112,6 +112,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every n consecutive ones, other for each n."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(m, n, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
+    return mix64(out)
+
+
 #: Bits of a bitmap for each key, and most bits in all (32 MB); a fuller bitmap lets more pass.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 

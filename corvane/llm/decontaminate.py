@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_TEXTS, Cache, bitmap, materialize, mix64, passing, release, small_enough, text_marks
+from .common import BROADCAST_TEXTS, Cache, bitmap, materialize, passing, release, rolling, small_enough, text_marks
 
 #: Words of a seed. N-grams more than FACTOR times as frequent as this share of the item's own are no seeds.
 SEED, SHARE, FACTOR = 3, 0.8, 4
@@ -27,7 +27,6 @@ MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least alignment score against the item's own.
 LEAST = 0.5
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -44,17 +43,6 @@ def hashes_of(raw: bytes) -> bytes:
     return b"".join([xxhash.xxh3_64_digest(w) for w in tokens(raw)])
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n consecutive words, other for each n."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(m, n, np.uint64)
-    for i in range(n):
-        out = out * BASE + h[i : i + m]
-    return mix64(out)
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman with linear gaps: best score, and where the aligned words of the passage begin and end."""
     n = len(passage)
@@ -109,7 +97,7 @@ def _item_grams(items: DataFrame) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = word_hashes(t.as_py())
-                g = grams(h, min(SEED, len(h))) if len(h) else np.zeros(0, np.uint64)
+                g = rolling(h, min(SEED, len(h))) if len(h) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), i, np.int64)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(np.full(len(g), len(h), np.int32))], names=["gram", "item", "place", "n_words"])
 
     return items.mapInArrow(run, "gram long, item long, place int, n_words int")
@@ -126,7 +114,7 @@ def _occurrences(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) -> Data
             for r, t in enumerate(b.column(2)):
                 h = word_hashes(t.as_py(), cache)
                 for n in widths:
-                    g = grams(h, n)
+                    g = rolling(h, n)
                     here = np.flatnonzero(passing(bits, g))
                     if len(here):
                         found.append(g[here])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import materialize, quoted, small_enough
 
 #: Exponents tried in a round of the search, and rounds: the exponent is found to (1 / 16) ** 6.
 POINTS, ROUNDS = 16, 6
@@ -123,12 +123,27 @@ def schedule(docs: DataFrame, seed: int = 17, budget_share: float = 1.0, entropy
     return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(seed), "block", "epoch").alias("block_order"), F.xxhash64("_key", "epoch").alias("doc_order"))
 
 
+#: Most keys whose rows are numbered that are broadcast (16 bytes each) to find them; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
 def mix(docs: DataFrame, seed: int = 17, budget_share: float = 1.0, entropy: float | None = 0.95, repetition: float | None = 4.0) -> DataFrame:
-    """docs as schedule() draws it: rows of scarce sources repeat, once an epoch, and rows beyond a source's budget are left out."""
+    """docs as schedule() draws it: rows of scarce sources repeat, once an epoch, and rows beyond a source's budget are left out.
+
+    Rows that are equal in doc_id, source and text share their draws evenly; only where these don't come out even, as may
+    be at a source's cut, are such rows numbered. Nulls, empty tables and sources without tokens as in schedule(); all
+    columns are kept, whatever their names.
+    """
     keys = ["doc_id", "source", "text"]
     drawn = _epochs(docs, seed, budget_share, entropy, repetition, keys).groupBy("_key").agg(F.count("*").alias("n"))
-    same = W.partitionBy("k")  # rows that are equal in the key take turns at its draws
-    rows = docs.select(F.xxhash64(F.lit(seed), *keys).alias("k"), F.struct(*docs.columns).alias("row")).withColumn("i", F.row_number().over(same.orderBy("k"))).withColumn("of", F.count("*").over(same))
-    times = F.floor((F.col("n") - F.col("i") + F.col("of")) / F.col("of")).cast("int")
-    out = rows.join(drawn, rows.k == drawn._key).withColumn("times", times).where("times > 0")
-    return out.withColumn("e", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    key = F.xxhash64(F.lit(seed), *keys)
+    copies = docs.groupBy(key.alias("_key")).agg(F.count("*").alias("of"))
+    plan = copies.join(drawn, "_key").select(F.col("_key").alias("k"), F.floor(F.col("n") / F.col("of")).cast("int").alias("times"), (F.col("n") % F.col("of")).cast("int").alias("more"))
+    plan = materialize(plan, "draws")
+    rows = docs.select(key.alias("_key"), F.struct(*quoted(docs.columns)).alias("row"))
+    even = rows.join(plan.where("more = 0"), F.col("_key") == F.col("k")).select("row", "times")
+    some = plan.where("more > 0")
+    some = F.broadcast(some) if small_enough(some, BROADCAST_KEYS) else some
+    odd = rows.join(some, F.col("_key") == F.col("k")).withColumn("i", F.row_number().over(W.partitionBy("k").orderBy("k")))
+    odd = odd.select("row", (F.col("times") + (F.col("i") <= F.col("more")).cast("int")).alias("times")).where("times > 0")
+    return even.unionByName(odd).withColumn("e", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

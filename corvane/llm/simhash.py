@@ -1,33 +1,47 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a few differing bits.
+"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a few differing bits; and groups by shingle similarity.
 
 Method (deletion-variant signatures): with k differing bits allowed, the fingerprint is cut into k // 2 + 1 segments, so
 that one of them differs in at most one bit. Each distinct fingerprint is indexed under every segment with one bit taken
-out (64 keys in all, whatever k is); equal keys meet, and the whole fingerprints are compared.
+out; equal keys meet, and the whole fingerprints are compared. Tables of very many fingerprints are cut into k + e
+segments instead, of which e are the same in both and one more differs in at most one bit: keys are as many bits longer.
+
+Similar texts (similar()) differ in more bits than segments of one fingerprint can bridge: at a similarity of 0.8 in 15 %
+of them. There a document has as many fingerprint words as it takes until RECALL of such pairs have one segment with at
+most one differing bit; keys and their join are the same, and pairs that meet are verified by their shingles' exact
+Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import connected_components, materialize
+from .common import BROADCAST_TEXTS, Cache, connected_components, materialize, mix64, release, rolling, small_enough, text_marks
 
-#: Buckets of more fingerprints are divided once more, by five blocks of bits.
-WIDE_BUCKET = 4096
+#: Distinct fingerprints up to which keys hold 0, 1, 2, ... whole segments beside the one with a bit taken out.
+WHOLE_SEGMENTS = [1 << 20, 1 << 27, 1 << 34]
+#: Buckets of more fingerprints give a spanning forest, smaller ones all pairs.
+FOREST = 16
+#: Share of the pairs at the least similarity that meet in similar(). How many unrelated texts may share a bucket, as a power of two.
+RECALL, CROWD = 0.95, 3
+#: Standard deviations above the mean by which similar texts may differ in their bits before their shingles are looked at.
+FAR = 3.6
+#: Buckets of more fingerprints are compared as blocks of a matrix, smaller ones place by place.
+MATRIX = 64
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The SimHash of a text, unsigned. No words (or null): 0; fewer than width words: the whole sequence is one shingle."""
+def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's shingles, in order. No words: none; fewer than width words: the whole sequence is one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= width:
         spans = [line]
@@ -35,12 +49,23 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate(([0], ends[:-width]))
         spans = [line[a:b] for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
-    digest, ones, step = xxhash.xxh64_digest, np.zeros(64, np.int64), 1 << 16
-    for i in range(0, len(spans), step):
-        part = spans[i : i + step]
-        bits = np.unpackbits(np.frombuffer(b"".join([digest(x, seed) for x in part]), np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(x, seed) for x in spans]), ">u8").astype(np.uint64)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Of hashes (shingles, words): each word's bits that are set in over half of them."""
+    raw = np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(len(h), -1)
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for i in range(0, len(h), 255):  # sums that fit in a byte
+        ones += np.add.reduce(np.unpackbits(raw[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text, unsigned. No words (or null): 0; fewer than width words: the whole sequence is one shingle."""
+    h = shingle_hashes(text, width, seed)
+    return int(majority(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -54,119 +79,149 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def segment_masks(bits: int) -> list[int]:
-    """Masks of the segments for a distance of so many bits."""
-    parts = bits // 2 + 1
+def segment_masks(bits: int, whole: int = 0) -> list[tuple[int, int]]:
+    """(mask of the segment that loses a bit, mask of the whole segments beside it), for a distance of so many bits."""
+    parts = bits + whole if whole else bits // 2 + 1
     cuts = [round(64 * i / parts) for i in range(parts + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(m, sum(others)) for m in masks for others in combinations([x for x in masks if x != m], whole)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
-def spanning_links(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+def sweep(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect whatever is linked among distinct fingerprints (uint64): a forest, not all pairs."""
-    out_u: list[int] = []
-    out_v: list[int] = []
-    if len(fps) > WIDE_BUCKET:
-        cuts = [round(64 * i / (bits + 1)) for i in range(bits + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):  # bits + 1 blocks: one is the same in both
-            block = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            order = np.argsort(block, kind="stable")
-            edge = np.flatnonzero(np.diff(block[order])) + 1
-            for part in np.split(fps[order], edge):
-                if len(part) > 1:
-                    u, v = _sweep(part, bits)
-                    out_u += u
-                    out_v += v
-        return out_u, out_v
-    return _sweep(fps, bits)
-
-
-def _sweep(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    out_u: list[int] = []
-    out_v: list[int] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     rest = fps
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            near = _popcount(rest ^ x) <= bits
+            near = _far(rest, x) <= bits
             if near.any():
                 found = rest[near]
-                out_u += [int(x)] * len(found)
-                out_v += found.tolist()
+                out.append((np.full(len(found), x), found))
                 todo += list(found)
                 rest = rest[~near]
-    return out_u, out_v
-
-
-def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """(u, v: long) edges between distinct fingerprints (column fp) at most bits apart: enough to connect all that are linked."""
-    masks = segment_masks(bits)
-    keys = [F.struct(F.lit(i).cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed(m & ~(1 << i)))).alias("key")) for m in masks for i in range(64) if m >> i & 1]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.bit", "k.key")
+    return _edges(out)
+
+
+def nearest_edges(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint with the closest before it and the closest behind it, up to so many bits apart."""
+    out, places = [], np.arange(len(fps))
+    for a in range(0, len(fps), 512):
+        far = _far(fps[a : a + 512, None], fps[None, :])
+        i = np.arange(a, min(a + 512, len(fps)))
+        for outside in (places[None, :] >= i[:, None], places[None, :] <= i[:, None]):
+            at = np.where(outside, np.uint8(99), far)
+            best = at.argmin(axis=1)
+            near = np.flatnonzero(at[np.arange(len(i)), best] <= bits)
+            out.append((fps[i[near]], fps[best[near]]))
+    return _edges(out)
+
+
+def _edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _all_near(key: np.ndarray, fp: np.ndarray, bits: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All pairs at most so many bits apart of buckets (runs of a key) of up to most fingerprints."""
+    out = []
+    for d in range(1, min(most, len(fp))):  # each with the one d places on in its bucket
+        same = np.flatnonzero(key[d:] == key[:-d])
+        if not len(same):
+            break
+        near = same[_far(fp[same], fp[same + d]) <= bits]
+        out.append((fp[near], fp[near + d]))
+    return out
+
+
+def _nearest(key: np.ndarray, fp: np.ndarray, bits: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """nearest_edges() of all such buckets at once."""
+    best, at = np.full((2, len(fp)), bits + 1, np.uint8), np.zeros((2, len(fp)), np.int64)
+    for d in range(1, min(most, len(fp))):
+        low = np.flatnonzero(key[d:] == key[:-d])
+        if not len(low):
+            break
+        far = _far(fp[low], fp[low + d])
+        near = np.flatnonzero(far <= bits)
+        low, far = low[near], far[near]
+        for side, i, j in ((0, low + d, low), (1, low, low + d)):
+            nearer = far < best[side, i]
+            best[side, i[nearer]], at[side, i[nearer]] = far[nearer], j[nearer]
+    found = [np.flatnonzero(best[side] <= bits) for side in (0, 1)]
+    return [(fp[i], fp[at[side, i]]) for side, i in enumerate(found)]
+
+
+def _meet(rows: DataFrame, bits: int, small, large, most: int) -> DataFrame:
+    """(u, v) of fingerprints at most so many bits apart that share a key, as small() gives them for buckets of up to most fingerprints and large() for others; rows: key, fp."""
+
+    def pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.flatnonzero(np.diff(key)) + 1
+        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
+        size = ends - starts
+        found = [large(np.unique(fp[a:b]), bits) for a, b in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True)]
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= most), size))
+        found += small(key[few], fp[few], bits, most)
+        return _edges([x for x in found if len(x[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the last bucket, not yet ended
-        held_key: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket, not yet ended
 
-        def emit(u: list, v: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"])
+        def emit(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            u, v = pairs(key, fp)
+            if len(u):
+                low, high = np.minimum(u.view(np.int64), v.view(np.int64)), np.maximum(u.view(np.int64), v.view(np.int64))
+                both = np.unique(np.stack([low, high]), axis=1)
+                both = both[:, both[0] != both[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            bit, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.view(np.uint64)
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(bit) != 0)) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-            out_u: list[int] = []
-            out_v: list[int] = []
-            if held_key != (bit[0], key[0]):
-                if sum(map(len, held)) > 1:
-                    u, v = spanning_links(np.unique(np.concatenate(held)), bits)
-                    out_u += u
-                    out_v += v
+            key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            last = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+            if held and (last or held[-1][0][-1] != key[0]):
+                if held[-1][0][-1] == key[0]:
+                    first = int(np.argmax(key != key[0]))
+                    held.append((key[:first], fp[:first]))
+                    key, fp, last = key[first:], fp[first:], last - first
+                yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
-            last = len(starts) - 1
-            for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0)):
-                part = fp[starts[i] : ends[i]]
-                if i == 0 and held:
-                    held.append(part.copy())
-                    if last > 0:
-                        u, v = spanning_links(np.unique(np.concatenate(held)), bits)
-                        out_u += u
-                        out_v += v
-                    continue
-                if i == last or len(part) < 2:
-                    continue
-                if len(part) == 2:
-                    if int(part[0] ^ part[1]).bit_count() <= bits and part[0] != part[1]:
-                        out_u.append(int(part[0]))
-                        out_v.append(int(part[1]))
-                else:
-                    u, v = spanning_links(np.unique(part), bits)
-                    out_u += u
-                    out_v += v
-            if last > 0 or not held:
-                held, held_key = [fp[starts[last] : ends[last]].copy()], (bit[last], key[last])
-            if out_u:
-                yield emit(out_u, out_v)
-        if sum(map(len, held)) > 1:
-            u, v = spanning_links(np.unique(np.concatenate(held)), bits)
-            if u:
-                yield emit(u, v)
-
-    parts = rows.repartition("bit", "key").sortWithinPartitions("bit", "key").select("bit", "key", "fp")
+            if last:
+                yield from emit(key[:last], fp[:last])
+            held.append((key[last:].copy(), fp[last:].copy()))
+        if held:
+            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    parts = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     return parts.mapInArrow(run, "u long, v long").distinct()
 
 
+def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
+    """(u, v: long) edges between distinct fingerprints (column fp) at most bits apart: enough to connect all that are linked.
+
+    Null fingerprints are left out; repeated ones count once; an empty table gives no rows.
+    """
+    n = distinct.count()
+    whole = sum(n > most for most in WHOLE_SEGMENTS) if bits else 0
+    keys = []
+    for k, (m, beside) in enumerate(segment_masks(bits, whole)):
+        for i in (i for i in range(64) if m >> i & 1):
+            value = F.col("fp").bitwiseAND(F.lit(_signed(m & ~(1 << i) | beside)))
+            keys.append(F.xxhash64(F.lit(k * 64 + i), value))
+    rows = distinct.where("fp IS NOT NULL").select("fp", F.explode(F.array(*keys)).alias("key"))
+    return _meet(rows, bits, _all_near, sweep, FOREST)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable by links) of every row of docs.
 
@@ -184,24 +239,136 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, seed: int =
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, bits: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one row for each group of linked fingerprints: that of the smallest doc_id.
+def agreement(similarity: float) -> float:
+    """How likely two texts of a Jaccard similarity (and equal size) agree in a bit."""
+    return 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def layout(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a segment, so that buckets of n texts stay small; and how many segments it takes."""
+    size, p = min(30, max(12, math.ceil(math.log2(n + 1)) - 1 - CROWD)), agreement(similarity)
+    meet = p**size + size * p ** (size - 1) * (1 - p)
+    return size, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
+
+
+def farthest(bits: int, similarity: float) -> int:
+    """In how many of so many bits similar texts differ at most, but for a few in 10,000."""
+    p = 1 - agreement(similarity)
+    return math.ceil(bits * p + FAR * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: bytes | None, width: int, cache: Cache) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles, as in shingle_hashes() but from hashes of words; cache: word to packed hash."""
+    words = (text or b"").lower().split()
+    h = rolling(np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint64), min(width, len(words))) if words else np.zeros(0, np.uint64)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
-    Of rows that repeat a doc_id, in text or not, one stays at most. Rows without an id go if their group has one; else
-    one stays for each fingerprint.
-    """
-    found = materialize(near_duplicates(docs, width, bits, seed), "groups")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    named = rows.join(ids, rows.id == ids.kept).withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("mark"))).where("i = 1")
-    lone = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+
+def _shingled(docs: DataFrame, width: int, seed: int, words: int) -> DataFrame:
+    """(id, m1, m2, node, fps, shingles) of docs (id, m1, m2, text binary): a hash of the set of shingles, its fingerprint words, and the set as packed sorted 32-bit hashes."""
+    salts = mix64(np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # the first is 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(lambda w: xxhash.xxh64_digest(w, seed), 400_000)
         for b in batches:
-            got = [f"{fingerprint(t.as_py(), width, seed):016x}" for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["row", "fingerprint"])
+            nodes, fps, sets = [], [], []
+            for t in b.column(3):
+                h = shingle_set(t.as_py(), width, cache)
+                many = h[:, None] ^ salts[None, :]
+                many[:, 1:] = mix64(many[:, 1:])
+                fps.append((majority(many) if len(h) else np.zeros(words, np.uint64)).view(np.int64))
+                nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                short = (h >> np.uint64(32)).astype(np.uint32)
+                sets.append((short[np.concatenate(([True], short[1:] != short[:-1]))] if len(h) else short).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["id", "m1", "m2", "node", "fps", "shingles"])
+
+    return docs.mapInArrow(run, "id long, m1 long, m2 long, node long, fps array<long>, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v: nodes) whose shingles' Jaccard similarity is so high; sets: node, shingles."""
 
-    nameless = docs.where("doc_id IS NULL").select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text"))
-    schema = T.StructType([nameless.schema["row"], T.StructField("fingerprint", T.StringType())])
-    nameless = nameless.mapInArrow(run, schema).join(lone, "fingerprint").withColumn("i", F.row_number().over(W.partitionBy("fingerprint").orderBy("fingerprint"))).where("i = 1")
-    return named.select("row.*").unionByName(nameless.select("row.*"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint32) for z in (x, y))
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(same >= similarity * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = F.broadcast(nodes) if small_enough(nodes, BROADCAST_TEXTS) else nodes
+    some = materialize(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    rows = pairs.join(some.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    out = materialize(rows.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "similar")
+    release(some)
+    return out
+
+
+def similar(sets: DataFrame, n: int, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """(u, v) of nodes whose sets of shingles are so similar; sets: _shingled().
+
+    Of the texts that meet in a bucket each is held against the closest before it and the closest behind it by their
+    fingerprints, so a group of copies gives a few edges a text, not all pairs. Of texts whose first words are the same
+    one stands for the rest, which are held against it.
+    """
+    size, segments = layout(n, similarity, recall)
+    one = sets.groupBy(F.col("fps")[0].alias("fp")).agg(F.min(F.struct("node", "fps")).alias("first")).select("fp", "first.node", "first.fps")
+    one = materialize(one, "fingerprints")
+    keys = []
+    for k in range(segments):
+        word, low = divmod(k, 64 // size)
+        mask = ((1 << size) - 1) << (low * size)
+        for i in range(size):
+            value = F.col("fps")[word].bitwiseAND(F.lit(_signed(mask & ~(1 << (low * size + i)))))
+            keys.append(F.xxhash64(F.lit(k * 64 + i), value))
+    met = _meet(one.select("fp", F.explode(F.array(*keys)).alias("key")), farthest(64, similarity), _nearest, nearest_edges, MATRIX)
+    a, b = (one.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("fps").alias(f"{x}_fps")) for x in ("u", "v"))
+    far = F.aggregate(F.zip_with("u_fps", "v_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    words = -(-segments // (64 // size))
+    pairs = met.join(a, "u").join(b, "v").where(far <= farthest(64 * words, similarity)).select(F.col("u_node").alias("a"), F.col("v_node").alias("b"))
+    rest = sets.select(F.col("fps")[0].alias("fp"), F.col("node").alias("b")).join(one.select("fp", "node"), "fp").where("b <> node").select(F.col("node").alias("a"), "b")
+    pairs = pairs.unionByName(rest).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    pairs = materialize(pairs, "pairs")
+    out = _verified(pairs, sets.select("node", "shingles"), similarity)
+    release(one, pairs)
+    return out
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """docs with one row for each group of texts that are linked by similar shingles: that of the smallest doc_id.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles (width lower-case words) is so high; about
+    1 - RECALL of the pairs right at it are missed, fewer above. Null texts and texts without words are one group. Texts
+    decide, not ids: of rows that share an id but not the group, each group's stays. Of a group's rows with the smallest
+    id, or without any id, the first by a hash of the text stays, and one of those that are the same in both. All columns
+    are kept, whatever their names; an empty table gives no rows.
+    """
+    n = docs.count()
+    size, segments = layout(n, similarity)
+    words = -(-segments // (64 // size))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), *text_marks("text"), F.col("text").cast("binary").alias("text"))
+    sets = materialize(_shingled(keyed, width, seed, words), "sets")
+    edges = similar(sets, n, similarity)
+    groups = connected_components(edges)
+    rows = sets.select("id", "m1", "m2", "node").join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "m1", "m2")
+    same = rows.groupBy("root", "id", "m1", "m2").agg(F.count("*").alias("n"))
+    best = same.groupBy("root").agg(F.min_by(F.struct("id", "m1", "m2", "n"), order).alias("b")).select("b.*")
+    best = materialize(best, "kept")
+    release(sets, edges)
+
+    def of(rows: DataFrame) -> DataFrame:
+        """The rows of docs that have the id and text of one in best."""
+        m1, m2 = text_marks(docs["text"])
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["id"]) & (m1 == rows["m1"]) & (m2 == rows["m2"]), "left_semi")
+
+    repeated = of(best.where("n > 1"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    alike = repeated.toDF(*names).withColumn("key", F.struct(F.col(names[docs.columns.index("doc_id")]).cast("long"), *text_marks(names[docs.columns.index("text")])))
+    alike = alike.groupBy("key").agg(F.first(F.struct(*names)).alias("row")).select("row.*").toDF(*docs.columns)
+    return of(best.where("n = 1")).unionByName(alike)
