@@ -1,18 +1,20 @@
 """Embedding near-dedup: sign hashes of random hyperplanes in several tables, exact cosines, connected components.
 
-Vectors that are the same in label and bytes are one class. Each class is hashed in TABLES tables of BITS signs; classes
+Vectors that are the same in label and bytes are one class. Each class is hashed in several tables of signs; classes
 that share a label and a table's signs meet in a bucket, and there the cosines are computed as blocks of a matrix
 product. A pair is counted in the first table in which it meets, so the counts of links add up without a list of pairs;
 for the components a bucket yields edges that connect what is linked in it, not all pairs. Buckets of more than BLOCK
 classes are dealt out as pairs of blocks, so no task holds more than two blocks and every pair of the bucket is still
 compared.
 
-A pair at cosine 0.98 (11.5 degrees) agrees in a sign with probability 0.936, in one table of 16 with 0.348, and meets
-in at least one of 24 with 0.99996.
+A table has as many signs as keep a bucket of unrelated vectors at about one, and there are as many tables as it takes
+for RECALL of the pairs right at the least cosine to meet in one. A pair at 0.98 (11.5 degrees) agrees in a sign with
+probability 0.936, in a table of 16 with 0.348, and meets in at least one of 24 such tables with 0.99996.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 
-TABLES, BITS, BLOCK = 24, 16, 2048
+RECALL, BLOCK = 0.9999, 2048
 
 
-def planes(dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 11) -> np.ndarray:
+def layout(n: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """Tables and signs of each for n classes and a least cosine."""
+    bits = min(30, max(8, math.ceil(math.log2(n + 1))))
+    meet = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** bits
+    return (1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))), bits
+
+
+def planes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
 
-def signs(unit: np.ndarray, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
+def signs(unit: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """(vectors, tables) of hashes."""
     one = (unit @ planes(unit.shape[1], tables, bits) > 0).reshape(len(unit), tables, bits)
     return (one * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
@@ -57,13 +66,16 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "raw"])
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        dims = b.column(2).to_numpy()
-        for d in np.unique(dims):
-            part = b.take(pa.array(np.flatnonzero(dims == d)))
-            got = signs(units(part.column(3).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got), pa.list_(pa.int32()))], names=[*part.schema.names, "sig"])
+def _hash(tables: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for d in np.unique(dims):
+                part = b.take(pa.array(np.flatnonzero(dims == d)))
+                got = signs(units(part.column(3).to_pylist()), tables, bits)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got), pa.list_(pa.int32()))], names=[*part.schema.names, "sig"])
+
+    return run
 
 
 def _linker(least: float):
@@ -154,11 +166,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK)
     null vec_id is never a component_id unless nothing else is reachable, and isn't kept. An empty table gives no rows.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = base.mapInArrow(_classes, "vec_id long, label long, dim int, raw binary").withColumn("node", F.when(F.col("raw").isNotNull(), F.xxhash64("label", "raw")))
-    rows = materialize(rows, "vectors")
-    classes = rows.where("raw IS NOT NULL").groupBy("node").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
-    classes = materialize(classes, "classes")
-    hashed = classes.select("node", "label", "dim", "raw", "size").mapInArrow(_hash, "node long, label long, dim int, raw binary, size long, sig array<int>")
+    rows = materialize(base.mapInArrow(_classes, "vec_id long, label long, dim int, raw binary"), "vectors")
+    plain = rows.where("raw IS NOT NULL").groupBy("label", "dim", "raw").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"))
+    for seed in range(9):  # classes are told apart by their bytes; their 64-bit numbers are drawn until no two are the same
+        node = F.xxhash64(F.lit(seed), "label", "raw")
+        classes = materialize(plain.select(node.alias("node"), "size", "first", "label", "dim", "raw"), "classes")
+        count = classes.agg(F.count("*").alias("n"), F.count_distinct("node").alias("different")).first()
+        if count["n"] == count["different"]:
+            break
+        release(classes)
+    else:
+        raise RuntimeError("classes can't be numbered")
+    rows = rows.withColumn("node", F.when(F.col("raw").isNotNull(), node))
+    hashed = classes.select("node", "label", "dim", "raw", "size").mapInArrow(_hash(*layout(count["n"], least)), "node long, label long, dim int, raw binary, size long, sig array<int>")
     hashed = materialize(hashed, "signs")
     keys = hashed.select("node", "label", "dim", F.posexplode("sig").alias("table", "bucket"))
     sizes = keys.groupBy("label", "dim", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
