@@ -13,7 +13,7 @@ REDACTIONS = [
     (r"(?U)\bgh[pousr]_[A-Za-z0-9]{16,}\b", "[凭据]"),
     (r"(?U)\bAKIA[0-9A-Z]{16}\b", "[凭据]"),
     (r"(?U)\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", "[凭据]"),
-    (r"(?iU)DASHSCOPE_API_KEY\s*=\s*\S+|(?-i:\bsk-)[A-Za-z0-9_-]{8,}\b", "[密钥]"),
+    (r"(?iU)DASHSCOPE_API_KEY\s*=\s*\S+|\bsk-[A-Za-z0-9_-]{8,}\b", "[密钥]"),
     (r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[邮箱]"),
     (r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)", "[手机号]"),
     (r"(?U)(?<!\d)\d{17}[\dXx](?!\d)", "[身份证]"),
@@ -22,20 +22,24 @@ REDACTIONS = [
 ]
 #: Han characters that carry no meaning alone.
 HAN_STOP = "的了是在和与及或我你他她它们这那一个有就也很都而及其为于把被到说"
+#: Fixed value: Latin words, numbers, runs of Han characters.
 TOKEN = r"[a-zA-Z][a-zA-Z0-9_.+-]*|\d+(?:\.\d+)?|[㐀-鿿]+"
 #: What makes a turn important, a closing, a question.
 IMPORTANT = r"决定|结论|承诺|下一步|行动项|负责人|截止|风险|问题|阻塞|指标|结果|完成|未完成|需要核实"
 CLOSING = r"以上就是|谢谢(?:大家|各位|老师)|欢迎(?:大家|各位|老师)?.{0,8}提问|(?:我的|本次|今天的)?.{0,8}(?:汇报|分享|介绍)(?:到此)?(?:完毕|结束)"
 QUESTION_WORDS = r"为什么|怎么(?:办|做|实现|部署)?|如何|能否|可否|是否|是不是|有没有|多少|谁|哪里|哪个|哪些|什么时候|几点"
 QUESTION_TAIL = r"[吗么呢嘛]\s*[。！!]?\s*$"
+#: Fixed value: numbers of chapters and sections before a title.
 SECTION_PREFIX = (
     r"(?U)^\s*(?:(?:第\s*)?[一二三四五六七八九十百]+\s*(?:章节|部分|[、.．:：-])+|(?:第\s*)?\d+\s*(?:章节|部分|[、.．:：-])+|第\s*[一二三四五六七八九十百]+)\s*"
 )
+#: Names of scenarios and their aliases.
 SCENARIOS = {
     "general": "general", "meeting": "general", "general_meeting": "general", "普通会议": "general", "会议": "general",
     "defense": "defense", "答辩": "defense", "group_meeting": "group_meeting", "组会": "group_meeting",
     "project_report": "project_report", "汇报": "project_report", "比赛汇报": "project_report", "custom": "custom", "自定义": "custom",
 }
+#: Where a turn may come from, and who may have spoken.
 TURN_SOURCES = ["unknown", "self_mic", "meeting_audio", "remote_audio", "manual_input", "microphone"]
 SPEAKER_ROLES = ["unknown", "self", "other", "reviewer"]
 SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -83,7 +87,13 @@ def tokens(x: Column) -> Column:
         pairs = F.filter(pairs, lambda p: ~((F.instr(stop, F.substring(p, 1, 1)) > 0) & (F.instr(stop, F.substring(p, 2, 1)) > 0)))
         return F.when(t.rlike("^[㐀-鿿]"), F.concat(ones, pairs)).otherwise(F.array(t))
 
-    return F.flatten(F.transform(found, split))
+    # only where there is Han text are tokens looked into one by one
+    return F.when(x.rlike("[㐀-鿿]"), F.flatten(F.transform(found, split))).otherwise(found)
+
+
+def token_count(x: Column) -> Column:
+    """size(tokens(x)); where there is no Han text, counted without making them."""
+    return F.when(x.rlike("[㐀-鿿]"), F.size(tokens(x))).otherwise(F.regexp_count(folded(x), F.lit(TOKEN)))
 
 
 def match_terms(x: Column) -> Column:

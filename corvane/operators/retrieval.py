@@ -36,12 +36,12 @@ def bm25(chunks: DataFrame, query: str, phrase_bonus: float = PHRASE_BONUS) -> D
     weights: dict[str, int] = {}
     for t in q["t"]:
         weights[t] = min(weights.get(t, 0) + 1, 2)
-    rows = chunks.select("chunk_id", T.tokens(F.col("text")).alias("t"), F.instr(T.folded(F.col("text")), q["phrase"]).alias("at"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    stats = chunks.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("text"))).alias("mean"))  # without making tokens
     if not weights:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     names = sorted(weights)
     wanted = F.array(*[F.lit(t) for t in names])
+    rows = chunks.select("chunk_id", T.tokens(F.col("text")).alias("t"), F.instr(T.folded(F.col("text")), q["phrase"]).alias("at"))
     hits = rows.where(F.arrays_overlap("t", wanted)).select("chunk_id", "at", F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains(wanted, x)).alias("t"))
     tf = hits.select("chunk_id", "at", "length", F.explode("t").alias("term")).groupBy("chunk_id", "at", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
@@ -61,12 +61,14 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def select_evidence(scored: DataFrame, chunks: DataFrame, top_k: int = 4, max_chars: int = 2200, per_document: int = 3) -> DataFrame:
     """(ref_id, chunk_id, document_id, score, excerpt): best first, at most so many of a document, within a budget of characters.
 
-    Only the last excerpt can be cut. A chunk whose redacted text is empty takes no place.
+    Only the last excerpt can be cut. A chunk whose redacted text is empty takes no place: that is one without a text, as
+    redaction puts something in place of what it takes. So chunks are ranked by key, and only those chosen are redacted.
     """
-    rows = scored.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").withColumn("excerpt", T.redact(F.col("text"))).where("excerpt <> ''")
+    rows = scored.join(chunks.where("text <> ''").select("chunk_id", "document_id"), "chunk_id")
     best = [F.desc("score"), F.asc(F.col("chunk_id").cast("string"))]
     capped = rows.withColumn("in_document", F.row_number().over(W.partitionBy("document_id").orderBy(*best))).where(F.col("in_document") <= per_document)
     few = capped.orderBy(*best).limit(top_k)  # the window below sees top_k rows
+    few = chunks.select("chunk_id", "text").join(F.broadcast(few), "chunk_id").withColumn("excerpt", T.redact(F.col("text")))
     one = W.orderBy(*best)
     few = few.withColumn("rank", F.row_number().over(one)).withColumn("before", F.coalesce(F.sum(F.length("excerpt")).over(one.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     few = few.where(F.col("before") < max_chars)
@@ -78,11 +80,19 @@ def retrieve(chunks: DataFrame, query: str, top_k: int = 4, max_chars: int = 220
     return select_evidence(bm25(chunks, query), chunks, top_k, max_chars)
 
 
-def overview(chunks: DataFrame, per_document: int = 520, total: int = 4800) -> DataFrame:
-    """(document_id, overview): each document's chunks in order, cut to so many characters, while a running budget lasts."""
-    joined = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("c"))
-    rows = joined.select("document_id", F.left(T.redact(F.array_join(F.transform("c", lambda x: x["text"]), " ")), F.lit(per_document)).alias("overview"))
-    # a running sum over all documents, 520 characters each: so many documents fit that a limit comes first
+def overview(chunks: DataFrame, per_document: int = 520, total: int = 4800, first: int = 64) -> DataFrame:
+    """(document_id, overview): each document's chunks in order, cut to so many characters, while a running budget lasts.
+
+    A document's first chunks nearly always are enough and are all that is redacted; where they aren't, as redaction
+    shortens them too much, all of its chunks are taken.
+    """
+    rank = F.row_number().over(W.partitionBy("document_id").orderBy("ordinal"))
+    shown = lambda c: c.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("c")).select("document_id", F.size("c").alias("n"), T.bounded(F.array_join(F.transform("c", lambda x: x["text"]), " "), per_document).alias("overview"))
+    some = shown(chunks.withColumn("_r", rank).where(F.col("_r") <= first))
+    enough = (F.length("overview") >= per_document) | (F.col("n") < first)
+    rest = shown(chunks.join(some.where(~enough).select("document_id"), "document_id", "left_semi"))
+    rows = some.where(enough).unionByName(rest)
+    # a running sum over all documents, at least a character each: so many documents fit that a limit comes first
     few = rows.where("overview <> ''").orderBy("document_id").limit(total)
     before = F.coalesce(F.sum(F.length("overview")).over(W.orderBy("document_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumn("before", before).where(F.col("before") < total)
@@ -129,28 +139,6 @@ def chunk(units: DataFrame, target: int = 750, most: int = 1000) -> DataFrame:
     return rows.withColumn("ordinal", ordinal).select("document_id", "locator", "ordinal", F.concat_ws(":", F.col("document_id").cast("string"), F.col("ordinal").cast("string")).alias("chunk_id"), "text")
 
 
-def ingest(files: DataFrame, max_bytes: int = 25 << 20, max_chars: int = 500_000, max_files: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Accepted files and refused ones, of files (path, content: binary).
-
-    Refused, in this order of reasons: unknown suffix, empty, too large, a content already seen in this batch (the first
-    path stays). accepted: document_id, path, suffix, content, reason null. The limits on files and characters of a
-    session are whole-batch rules: see admit().
-    """
-    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
-    rows = files.withColumn("suffix", suffix).withColumn("size", F.length("content")).withColumn("document_id", F.left(F.sha2("content", 256), F.lit(16)))
-    first = F.row_number().over(W.partitionBy("document_id").orderBy("path"))
-    reason = F.when(~F.col("suffix").isin(".txt", ".md", ".pptx", ".docx", ".pdf"), "suffix").when(F.col("size") == 0, "empty").when(F.col("size") > max_bytes, "size").when(F.col("copy") > 1, "duplicate")
-    marked = rows.withColumn("copy", first).withColumn("reason", reason)
-    return marked.where("reason IS NULL").drop("copy"), marked.where("reason IS NOT NULL").select("path", "document_id", "reason")
-
-
-def admit(accepted: DataFrame, units: DataFrame, max_files: int = 10, max_chars: int = 500_000) -> DataFrame:
-    """One row: files, chars, admitted. All or nothing: a batch over either limit isn't admitted."""
-    n = accepted.agg(F.count("*").alias("files"))
-    c = units.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
-    return n.crossJoin(c).withColumn("admitted", (F.col("files") <= max_files) & (F.col("chars") <= max_chars))
-
-
 NOISE = r"(?i)网页预设|测试专用|观察点|建议依次输入|测试说明|反馈观察表|不要上传|不理想："
 POINT_NOISE = r"(?U)观察点|停顿\s*\d|不要念|测试时只念|这份讲稿"
 BARE_LOCATOR = r"(?U)^(?:正文|第\s*\d+.*|段落\s*\d+|幻灯片\s*\d+)$"

@@ -124,12 +124,21 @@ def office_units(content: bytes, suffix: str) -> tuple[list[tuple[str, str]], li
             from pypdf import PdfReader
         except ImportError as e:
             raise Refused("pypdf is not installed") from e
-        reader = PdfReader(io.BytesIO(content))
-        if reader.is_encrypted and not reader.decrypt("") or len(reader.pages) > MAX_PAGES:
+        try:
+            reader = PdfReader(io.BytesIO(content))
+            closed = reader.is_encrypted and not reader.decrypt("")
+            pages = [] if closed else list(reader.pages)
+        except Exception as e:  # whatever a broken file makes the reader raise
+            raise Refused("not readable") from e
+        if closed or len(pages) > MAX_PAGES:
             raise Refused("encrypted or too long")
         units, warnings = [], []
-        for i, page in enumerate(reader.pages, 1):
-            text = " ".join((page.extract_text() or "").split())
+        for i, page in enumerate(pages, 1):
+            try:
+                text = " ".join((page.extract_text() or "").split())
+            except Exception:  # a broken page is a warning, not the end of the file
+                warnings.append(f"第 {i} 页无法提取文本。")
+                continue
             units += [(f"第 {i} 页", text)] if text else []
             warnings += [] if text else [f"第 {i} 页没有可提取文本，可能需要 OCR。"]
         return units, warnings

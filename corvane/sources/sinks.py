@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], sep: str = ",") -> None:
     """Columns in this order, with a header; nulls are empty."""
-    rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("emptyValue", "").csv(path, header=True, sep=sep)
+    rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("emptyValue", "").csv(path, header=True, sep=sep, escape='"')
 
 
 def write_once(rows: DataFrame, path: str, form: str = "json") -> bool:

@@ -47,8 +47,12 @@ def read_csv(spark: SparkSession, path: str, required: list[str], sep: str = ","
         raise SourceError(f"{path}: no columns {missing}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_broken"]])
     rows = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, enforceSchema=True, columnNameOfCorruptRecord="_broken", mode="PERMISSIVE", encoding="UTF-8")
-    if strict and not rows.cache().where("_broken IS NOT NULL").isEmpty():
-        raise SourceError(f"{path}: rows of the wrong length")
+    if strict:
+        rows.cache()  # broken rows can only be looked for in parsed ones
+        whole = rows.where("_broken IS NOT NULL").isEmpty()
+        rows.unpersist()
+        if not whole:
+            raise SourceError(f"{path}: rows of the wrong length")
     return rows.select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in names])
 
 

@@ -39,7 +39,7 @@ def test_normalized_rates(spark):
     rows = spark.createDataFrame([("ＡＢＣ１２３ Hello, 你好！", "abc123hello你好"), ("語音識別", "语因识别啊"), ("!!", "x"), ("会议", None)], "reference string, hypothesis string")
     out = M.error_rates(rows).collect()
     assert out[0]["normalized_reference"] == "abc123hello你好" and [x["cer"] for x in out] == [0.0, 0.5, None, 1.0]
-    assert M.diff_html("a b", "a c").startswith("<div class='diff'><span>a</span><span class='replace'><del>b")
+    assert M.render(M.operations("a b", "a c")).startswith("<div class='diff'><span>a</span><span class='replace'><del>b")
 
 
 def test_summary_golden(spark):
@@ -188,4 +188,4 @@ def test_the_text_diff_query_compares_whole_texts(spark):
     items = {x["item_id"]: x["text"] for x in queries.table(spark, sf, "benchmark").collect()}
     got = {x["item_id"]: x["diff"] for x in queries.QUERIES["text_diff"](spark, sf).collect()}
     some = sorted(i for i in got if len(texts[i] or "") > 200)[:20]
-    assert some and all(got[i] == M.diff_html(items[i], texts[i]) for i in some)
+    assert some and all(got[i] == M.render(M.operations(items[i], texts[i])) for i in some)
