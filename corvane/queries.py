@@ -665,6 +665,37 @@ def queue_drop_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.bounded_queue(e, "user_id", "event_id", 3, "drop_oldest")
 
 
+BLOCKS = "e AS (SELECT user_id, event_id, value::DOUBLE AS v, event_type = 'error' AS bad, event_type = 'purchase' AS mark FROM events)"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.array(F.col("value").cast("double")).alias("x"), (t == "error").alias("bad"), (t == "purchase").alias("mark"))
+
+
+@query(f"WITH {BLOCKS} SELECT user_id, event_id, CASE WHEN bool_or(mark) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0.0 ELSE v END AS v FROM e")
+def fault_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.isolate(_blocks(spark, sf_dir), "user_id", "event_id", "x", "mark").select("user_id", "event_id", (F.col("x")[0] + 0.0).alias("v"))
+
+
+@query(f"""
+    WITH {BLOCKS}, n AS (SELECT *, sum(mark::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY event_id) - 1 AS place FROM n)
+    SELECT user_id, event_id, epoch::BIGINT AS epoch, place::BIGINT AS place, CASE WHEN place < 3 THEN 0.0 ELSE v END AS v FROM p""")
+def resync_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.resync(_blocks(spark, sf_dir), "user_id", "event_id", "x", "mark")
+    return out.select("user_id", "event_id", "epoch", F.col("place").cast("long").alias("place"), (F.col("x")[0] + 0.0).alias("v"))
+
+
+@query("""
+    WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS x, len(embedding) AS n, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings WHERE label IS NOT NULL),
+    o AS (SELECT *, round_even(t * 3 / 7, 0)::INT AS total, (round_even(t * 3 / 7, 0) - round_even((t - n) * 3 / 7, 0))::INT AS k FROM e)
+    SELECT label, vec_id, total, k, round(x[1], 6) AS first, round(x[n], 6) AS last FROM o""")
+def streamed_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("label", "vec_id", G.doubles(F.col("embedding")).alias("x"))
+    out = B.resample_stream(e, "label", "vec_id", "x", 7, 3)
+    return out.select("label", "vec_id", "total", F.size("x").alias("k"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
+
+
 # --- meetings: knowledge, maps, requests
 
 

@@ -19,9 +19,14 @@ def priority(trigger: Column) -> Column:
 
 
 def drop_repeated_finals(events: DataFrame, order: str, *keys: str) -> DataFrame:
-    """Final events but the first of each key; partial ones pass. (order, is_final, keys...)"""
-    first = W.partitionBy("is_final", *keys).orderBy(order)
-    return events.withColumn("_n", F.row_number().over(first)).where("NOT is_final OR _n = 1").drop("_n")
+    """Final events but the first of each key; partial ones, and those not known to be final, pass. (order, is_final, keys...)
+
+    Only final events are dealt by key.
+    """
+    final = F.coalesce("is_final", F.lit(False))
+    first = W.partitionBy(*keys).orderBy(order)
+    kept = events.where(final).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return events.where(~final).unionByName(kept)
 
 
 def latest_partial(events: DataFrame, session: str, order: str) -> DataFrame:
@@ -124,3 +129,40 @@ def mode_blocks(blocks: DataFrame, modes: DataFrame, key: str, order: str) -> Da
     now = F.coalesce(F.last("mode", ignorenulls=True).over(line), F.lit("enhanced"))
     chosen = F.when(F.col("mode") == "raw", F.col("raw")).when(F.col("mode") == "quiet", F.coalesce("quiet", "raw")).otherwise(F.col("enhanced"))
     return both.withColumn("mode", now).where("NOT is_mode").select(key, order, "mode", chosen.alias("samples"))
+
+
+def isolate(blocks: DataFrame, key: str, order: str, samples: str, failed: str) -> DataFrame:
+    """Blocks whose samples are silence from a stream's first failure on: a failed worker never ends the stream."""
+    so_far = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    down = F.max(F.coalesce(failed, F.lit(False))).over(so_far)
+    return blocks.withColumn("_down", down).withColumn(samples, F.when(F.col("_down"), F.transform(samples, lambda v: v * 0)).otherwise(F.col(samples))).drop("_down")
+
+
+def resync(blocks: DataFrame, key: str, order: str, samples: str, mark: str, prefill: int = 3) -> DataFrame:
+    """(key, order, epoch, place, samples): at a marked block all state begins anew: blocks are numbered from 0, the first few are silence."""
+    so_far = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = blocks.withColumn("epoch", F.sum(F.coalesce(F.col(mark), F.lit(False)).cast("int")).over(so_far))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy(key, "epoch").orderBy(order)) - 1)
+    quiet = F.when(F.col("place") < prefill, F.transform(samples, lambda v: v * 0)).otherwise(F.col(samples))
+    return rows.select(key, order, "epoch", "place", quiet.alias(samples))
+
+
+def resample_stream(chunks: DataFrame, key: str, order: str, samples: str, rate_in: int, rate_out: int) -> DataFrame:
+    """(key, order, total, samples): chunks at another rate, by straight lines within a chunk; after each chunk a stream has as many samples as its time asks for.
+
+    What a chunk lacks for that comes first, as the differences of rounded running totals (half to even).
+    """
+    so_far = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = chunks.withColumn("_n", F.size(samples)).withColumn("_in", F.sum("_n").over(so_far))
+    due = lambda n: F.bround(n * rate_out / rate_in).cast("int")
+    rows = rows.withColumn("total", due(F.col("_in"))).withColumn("_out", F.col("total") - due(F.col("_in") - F.col("_n")))
+    step = (F.col("_n") - 1) / F.greatest(F.col("_out") - 1, F.lit(1))
+
+    def at(i: Column) -> Column:
+        p = i * step
+        low = F.floor(p).cast("int")
+        a, b = F.get(samples, low).cast("double"), F.get(samples, F.least(low + 1, F.col("_n") - 1)).cast("double")
+        return a + (b - a) * (p - low)
+
+    made = F.when((F.col("_out") > 0) & (F.col("_n") > 0), F.transform(F.sequence(F.lit(0), F.col("_out") - 1), at)).otherwise(F.array().cast("array<double>"))
+    return rows.select(key, order, "total", made.alias(samples))
