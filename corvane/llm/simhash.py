@@ -30,11 +30,11 @@ WHOLE_SEGMENTS = [1 << 20, 1 << 27, 1 << 34]
 #: Buckets of more fingerprints give a spanning forest, smaller ones all pairs.
 FOREST = 16
 #: Share of the pairs at the least similarity that meet in similar(). How many unrelated texts may share a bucket, as a power of two.
-RECALL, CROWD = 0.95, 3
+RECALL, CROWD = 0.95, 6
 #: Standard deviations above the mean by which similar texts may differ in their bits before their shingles are looked at.
-FAR = 3.6
+FAR = 3.0
 #: Buckets of more fingerprints are compared as blocks of a matrix, smaller ones place by place.
-MATRIX = 64
+MATRIX = 192
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def layout(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]
 
 
 def farthest(bits: int, similarity: float) -> int:
-    """In how many of so many bits similar texts differ at most, but for a few in 10,000."""
+    """In how many of so many bits similar texts differ at most, but for about one in 1,000."""
     p = 1 - agreement(similarity)
     return math.ceil(bits * p + FAR * math.sqrt(bits * p * (1 - p)))
 

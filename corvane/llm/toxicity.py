@@ -204,7 +204,7 @@ def _key(g: np.ndarray, shares: int) -> np.ndarray:
 
 
 def _seen_grams(counts: DataFrame, shares: int) -> DataFrame:
-    """(key, gram, c0, c1) from (word, c0, c1); an n-gram may come in several rows, to be added up."""
+    """(key, grams, c0, c1: packed) from (word, c0, c1); an n-gram may come in several rows, to be added up."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,9 +214,12 @@ def _seen_grams(counts: DataFrame, shares: int) -> DataFrame:
             g, of = grams(words)
             u, at = np.unique(g, return_inverse=True)
             c = [np.bincount(at, weights=b.column(j).to_numpy()[of], minlength=len(u)).astype(np.int64) for j in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(_key(u, shares)), pa.array(u.view(np.int64)), *map(pa.array, c)], names=["key", "gram", "c0", "c1"])
+            key = _key(u, shares)
+            order = np.argsort(key, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[[x[0] for x in parts]]), *(pa.array([_squeeze(v[x]) for x in parts], pa.binary()) for v in (u, *c))], names=["key", "grams", "c0", "c1"])
 
-    return counts.mapInArrow(split, "key int, gram long, c0 long, c1 long")
+    return counts.mapInArrow(split, "key int, grams binary, c0 binary, c1 binary")
 
 
 def _low_orders(counts: DataFrame) -> np.ndarray:
@@ -271,8 +274,9 @@ def word_ratios(blocks: DataFrame, counts: DataFrame, shares: int) -> DataFrame:
     def answer(seen: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {"key": [], "bucket": [], "ratios": []}
         if seen.num_rows and asked.num_rows:
-            g, at = np.unique(seen["gram"].to_numpy().view(np.uint64), return_inverse=True)
-            share = Share(g, *(np.bincount(at, weights=seen[c].to_numpy(), minlength=len(g)) for c in ("c0", "c1")))
+            rows = {c: np.concatenate([_unsqueeze(x.as_py(), kind) for x in seen[c]]) for c, kind in (("grams", np.uint64), ("c0", np.int64), ("c1", np.int64))}
+            g, at = np.unique(rows["grams"], return_inverse=True)
+            share = Share(g, *(np.bincount(at, weights=rows[c], minlength=len(g)) for c in ("c0", "c1")))
             wanted = [_unsqueeze(x.as_py(), np.uint64) for x in asked["grams"]]
             ends = np.cumsum([len(x) for x in wanted])
             found = np.split(share.ratios(np.concatenate(wanted), low).astype(np.float32), ends[:-1])

@@ -57,20 +57,24 @@ def test_trees_add_spans(spark):
         (4, "card: 4111.1111.1111.1111 visa", "card:6:25"),
         (5, "on 2024-05-12 we sold 12 345 678 of 1999 220 3333 things in 10,000,000,000", ""),
         (6, "call +1 (743) 555-3824", "phone:5:22"),
+        (7, "le 7536784127813050 4845168114407329 fin", "card:3:19,card:20:36"),
+        (8, "Des +1 (826) 555-4081 190.137.223.204 ok", "ip:22:37,phone:4:21"),
+        (9, "hash 681c09b8e90e7e8c9575180f595f646 v1.2.3.4.5.6 7536784127813051", "ip:38:45"),
+        (10, "write to ann at mail dot example now", "email:9:32"),
     ]
     out = {x["doc_id"]: x["spans"] for x in pii.digest(pii.find(spark.createDataFrame([(i, t, "", 0) for i, t, _ in rows], SCHEMA))).collect()}
     assert out == {i: s for i, _, s in rows}
-    red = {x["doc_id"]: x["text"] for x in pii.redact(spark.createDataFrame([(i, t, "", 0) for i, t, _ in rows] + [(9, None, "", 0)], SCHEMA)).collect()}
-    assert red[1] == "please call [phone] today" and red[5] == rows[4][1] and red[9] is None
+    red = {x["doc_id"]: x["text"] for x in pii.redact(spark.createDataFrame([(i, t, "", 0) for i, t, _ in rows] + [(99, None, "", 0)], SCHEMA)).collect()}
+    assert red[1] == "please call [phone] today" and red[7] == "le [card] [card] fin" and red[5] == rows[4][1] and red[99] is None
 
 
 def test_driver_and_column_features_agree(spark):
     from pyspark.sql import functions as F
 
-    examples = [("phone", "(743) 555-3824", "please call "), ("card", "4111.1111.1111.1111", "x"), ("ip", "10[.]2[.]3[.]4", "v"), ("phone", "2024 333 4444", "on:")]
-    for kind, hit, before in examples:
-        row = spark.range(1).select(*[v.cast("double").alias(k) for k, v in pii.features_of(F.lit(hit), F.lit(before), kind).items()]).first()
-        assert list(row) == pii.plain_features(hit, before, kind), (kind, hit)
+    examples = [("phone", "(743) 555-3824", "please call ", " now"), ("card", "4111.1111.1111.1111", "x", ".1"), ("ip", "10[.]2[.]3[.]4", "v", "é"), ("phone", "2024 333 4444", "on:", ""), ("card", "4111111111111111", "7 ", ". ")]
+    for kind, hit, before, after in examples:
+        row = spark.range(1).select(*[v.cast("double").alias(k) for k, v in pii.features_of(F.lit(hit), F.lit(before), F.lit(after), kind).items()]).first()
+        assert list(row) == pii.plain_features(hit, before, after, kind), (kind, hit)
 
 
 def test_held_out_examples():
@@ -78,7 +82,19 @@ def test_held_out_examples():
         prior, trees, threshold = pii.fitted(k)
         x, y = pii.drawn_examples(k, 2000, 77)
         said = prior + sum(pii.walk(t, x) for t in trees) >= threshold
-        assert y[said].mean() > 0.97 and said[y == 1].mean() > 0.5, (k, np.mean(y[said]), said[y == 1].mean())
+        assert y[said].mean() > 0.97 and said[y == 1].mean() > 0.9, (k, np.mean(y[said]), said[y == 1].mean())
+
+
+def test_overlapping_proposals_and_many_matches(spark):
+    import time
+
+    many = " ".join(f"u{i}@example.org" for i in range(16_000))
+    df = spark.createDataFrame([(1, many, "", 0), (2, "4111111111111111 " * 3000, "", 0)], SCHEMA)
+    began = time.time()
+    got = {x["doc_id"]: x for x in pii.digest(pii.find(df)).collect()}
+    assert got[1]["n_email"] == 16_000 and got[1]["spans"].startswith("email:0:14,email:15:29") and got[1]["spans"].endswith(f":{len(many)}")
+    assert got[2]["spans"].count("card") == 3000
+    assert time.time() - began < 40
 
 
 def test_empty(spark):
