@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..plans.folds import fold
 
 
 def clean_turns(turns: DataFrame) -> DataFrame:
@@ -72,26 +73,28 @@ def progress(strengths: DataFrame, session: str, order: str) -> DataFrame:
 
     A turn's best section at or behind the cursor (strongest, then first) becomes the current one if its title was said
     or the content matches strongly; skipped sections count as complete. The cursor depends on its own past, so a
-    session's turns are folded in order; sessions are independent.
+    session's turns are streamed in order, with one turn's sections and the cursor in memory; sessions are independent.
     """
     per_turn = strengths.groupBy(session, order).agg(F.array_sort(F.collect_list(F.struct("section", "strength", "hit", "overlap", "full"))).alias("_s"))
-    folded = per_turn.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_s").alias("s")))).alias("_turns"))
-    zero = F.struct(F.lit(0).cast("long").alias("current"), F.array().cast("array<long>").alias("started"), F.array().cast("array<long>").alias("completed"))
-
-    def step(acc: Column, turn: Column) -> Column:
-        open_ = F.filter(turn["s"], lambda x: x["section"] >= acc["current"])
-        best = F.array_max(F.transform(open_, lambda x: F.struct(x["strength"].alias("strength"), (-x["section"]).alias("neg"), x["hit"].alias("hit"), x["overlap"].alias("overlap"))))
-        at = -best["neg"]
-        jump = best.isNotNull() & (at > acc["current"]) & (best["hit"] | ((best["strength"] >= 0.72) & (best["overlap"] >= 5)))
-        now = F.when(jump, at).otherwise(acc["current"]).cast("long")
-        begun = best.isNotNull() & (at == now) & (best["hit"] | (best["strength"] >= 0.5))
-        skipped = F.when(jump, F.sequence(acc["current"], now - 1)).otherwise(F.array().cast("array<long>"))
-        full = F.exists(turn["s"], lambda x: (x["section"] == now) & x["full"])
-        add = lambda a, c: F.array_union(a, F.when(c, F.array(now)).otherwise(F.array().cast("array<long>")))
-        return F.struct(now.alias("current"), add(acc["started"], begun).alias("started"), add(F.array_union(acc["completed"], skipped), full).alias("completed"))
-
-    out = folded.select(session, F.aggregate("_turns", zero, step).alias("_p"))
-    return out.select(session, "_p.current", F.array_sort("_p.started").alias("started"), F.array_sort("_p.completed").alias("completed"))
+    kinds = dict(strengths.dtypes)
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        current, started, completed = state
+        ahead = [x for x in row[2] if x["section"] >= current]
+        best = max(ahead, key=lambda x: (x["strength"], -x["section"], x["hit"], x["overlap"])) if ahead else None
+        now = current
+        if best is not None and best["section"] > current and (best["hit"] or best["strength"] >= 0.72 and best["overlap"] >= 5):
+            now = int(best["section"])
+            completed = completed | set(range(current, now))
+        if best is not None and best["section"] == now and (best["hit"] or best["strength"] >= 0.5):
+            started = started | {now}
+        if any(x["section"] == now and x["full"] for x in row[2]):
+            completed = completed | {now}
+        return (now, started, completed), (row[0], row[1], now, sorted(started), sorted(completed))
+
+    turns = fold(per_turn.select(session, order, "_s"), session, order, lambda: (0, frozenset(), frozenset()), step, f"{session} {kinds[session]}, {order} {kinds[order]}, current bigint, started array<bigint>, completed array<bigint>")
+    last = turns.groupBy(session).agg(F.max_by(F.struct("current", "started", "completed"), order).alias("_p"))
+    return last.select(session, "_p.current", "_p.started", "_p.completed")
 
 
 def projection(state: DataFrame, covered: DataFrame, sections: DataFrame, points: DataFrame, session: str) -> DataFrame:
