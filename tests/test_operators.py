@@ -52,7 +52,7 @@ def test_summary_golden(spark):
 
 
 def test_number_keys(spark):
-    assert [one(spark, M.key_of_number(F.lit(x))) for x in ("5.0", "-5", " ", "n/a", "0.50", "-0.0")] == ["5", "-5", "not_applicable", "n/a", "0.5", "0"]
+    assert [one(spark, M.key_of_number(F.lit(x))) for x in ("5.0", "-5", " ", "n/a", "0.50", "-0.0", "inf", "NaN")] == ["5", "-5", "not_applicable", "n/a", "0.5", "-0", "inf", "NaN"]
 
 
 def test_manifest_rules(spark):
