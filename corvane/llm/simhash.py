@@ -92,7 +92,8 @@ def _signed(x: int) -> int:
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """In how many bits fingerprints differ; of several words (last axis) in all."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint8)
 
 
 def sweep(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,7 @@ def sweep(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            near = _far(rest, x) <= bits
+            near = np.bitwise_count(rest ^ x) <= bits
             if near.any():
                 found = rest[near]
                 out.append((np.full(len(found), x), found))
@@ -113,16 +114,18 @@ def sweep(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_edges(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint with the closest before it and the closest behind it, up to so many bits apart."""
+    """Each fingerprint (a row of words) with the closest before it and the closest behind it, up to so many bits apart; by their first words."""
     out, places = [], np.arange(len(fps))
     for a in range(0, len(fps), 512):
-        far = _far(fps[a : a + 512, None], fps[None, :])
-        i = np.arange(a, min(a + 512, len(fps)))
+        far = np.zeros((min(512, len(fps) - a), len(fps)), np.uint8)
+        for word in fps.T:
+            far += np.bitwise_count(word[a : a + 512, None] ^ word[None, :])
+        i = np.arange(a, a + len(far))
         for outside in (places[None, :] >= i[:, None], places[None, :] <= i[:, None]):
-            at = np.where(outside, np.uint8(99), far)
+            at = np.where(outside, np.uint8(255), far)
             best = at.argmin(axis=1)
             near = np.flatnonzero(at[np.arange(len(i)), best] <= bits)
-            out.append((fps[i[near]], fps[best[near]]))
+            out.append((fps[i[near], 0], fps[best[near], 0]))
     return _edges(out)
 
 
@@ -140,7 +143,7 @@ def _all_near(key: np.ndarray, fp: np.ndarray, bits: int, most: int) -> list[tup
         if not len(same):
             break
         near = same[_far(fp[same], fp[same + d]) <= bits]
-        out.append((fp[near], fp[near + d]))
+        out.append((fp[near, 0], fp[near + d, 0]))
     return out
 
 
@@ -158,17 +161,17 @@ def _nearest(key: np.ndarray, fp: np.ndarray, bits: int, most: int) -> list[tupl
             nearer = far < best[side, i]
             best[side, i[nearer]], at[side, i[nearer]] = far[nearer], j[nearer]
     found = [np.flatnonzero(best[side] <= bits) for side in (0, 1)]
-    return [(fp[i], fp[at[side, i]]) for side, i in enumerate(found)]
+    return [(fp[i, 0], fp[at[side, i], 0]) for side, i in enumerate(found)]
 
 
 def _meet(rows: DataFrame, bits: int, small, large, most: int) -> DataFrame:
-    """(u, v) of fingerprints at most so many bits apart that share a key, as small() gives them for buckets of up to most fingerprints and large() for others; rows: key, fp."""
+    """(u, v) of fingerprints at most so many bits apart that share a key, as small() gives them for buckets of up to most fingerprints and large() for others; rows: key, fp, and further words of it."""
 
     def pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
         size = ends - starts
-        found = [large(np.unique(fp[a:b]), bits) for a, b in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True)]
+        found = [large(fp[a:b], bits) for a, b in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True)]
         few = np.flatnonzero(np.repeat((size > 1) & (size <= most), size))
         found += small(key[few], fp[few], bits, most)
         return _edges([x for x in found if len(x[0])])
@@ -187,7 +190,7 @@ def _meet(rows: DataFrame, bits: int, small, large, most: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            key, fp = b.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in b.columns[1:]], axis=1)
             last = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
             if held and (last or held[-1][0][-1] != key[0]):
                 if held[-1][0][-1] == key[0]:
@@ -202,7 +205,7 @@ def _meet(rows: DataFrame, bits: int, small, large, most: int) -> DataFrame:
         if held:
             yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    parts = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    parts = rows.repartition("key").sortWithinPartitions("key", "fp")
     return parts.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -218,8 +221,8 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
         for i in (i for i in range(64) if m >> i & 1):
             value = F.col("fp").bitwiseAND(F.lit(_signed(m & ~(1 << i) | beside)))
             keys.append(F.xxhash64(F.lit(k * 64 + i), value))
-    rows = distinct.where("fp IS NOT NULL").select("fp", F.explode(F.array(*keys)).alias("key"))
-    return _meet(rows, bits, _all_near, sweep, FOREST)
+    rows = distinct.where("fp IS NOT NULL").select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
+    return _meet(rows, bits, _all_near, lambda fps, most: sweep(fps[:, 0], most), FOREST)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
@@ -326,10 +329,11 @@ def similar(sets: DataFrame, n: int, similarity: float = 0.8, recall: float = RE
         for i in range(size):
             value = F.col("fps")[word].bitwiseAND(F.lit(_signed(mask & ~(1 << (low * size + i)))))
             keys.append(F.xxhash64(F.lit(k * 64 + i), value))
-    met = _meet(one.select("fp", F.explode(F.array(*keys)).alias("key")), farthest(64, similarity), _nearest, nearest_edges, MATRIX)
+    rows = one.select("fp", F.col("fps")[1].alias("more"), F.explode(F.array(*keys)).alias("key")).select("key", "fp", "more")
+    met = _meet(rows, farthest(128, similarity), _nearest, nearest_edges, MATRIX)
     a, b = (one.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("fps").alias(f"{x}_fps")) for x in ("u", "v"))
     far = F.aggregate(F.zip_with("u_fps", "v_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    words = -(-segments // (64 // size))
+    words = max(2, -(-segments // (64 // size)))
     pairs = met.join(a, "u").join(b, "v").where(far <= farthest(64 * words, similarity)).select(F.col("u_node").alias("a"), F.col("v_node").alias("b"))
     rest = sets.select(F.col("fps")[0].alias("fp"), F.col("node").alias("b")).join(one.select("fp", "node"), "fp").where("b <> node").select(F.col("node").alias("a"), "b")
     pairs = pairs.unionByName(rest).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -350,7 +354,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     """
     n = docs.count()
     size, segments = layout(n, similarity)
-    words = -(-segments // (64 // size))
+    words = max(2, -(-segments // (64 // size)))
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), *text_marks("text"), F.col("text").cast("binary").alias("text"))
     sets = materialize(_shingled(keyed, width, seed, words), "sets")
     edges = similar(sets, n, similarity)

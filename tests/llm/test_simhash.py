@@ -98,14 +98,14 @@ def test_forests():
     want = groups(fps[i], fps[j])
     u, v = sweep(fps, 4)
     assert groups(u, v) == want and len(u) <= len(fps) - want
-    u, v = nearest_edges(fps, 4)
+    u, v = nearest_edges(fps[:, None], 4)
     got = set(zip(u.tolist(), v.tolist(), strict=True))
     assert all((a ^ b).bit_count() <= 4 for a, b in got) and len(u) <= 2 * len(fps)
     bits = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int) + 99 * np.eye(len(fps), dtype=int)
     for k in np.flatnonzero(bits.min(axis=1) <= 4).tolist():
         assert any((int(fps[k]), int(fps[j])) in got for j in np.flatnonzero(bits[k] == bits[k].min()))
     key = np.zeros(len(fps), np.int64)
-    same = simhash._edges(simhash._nearest(key, fps, 4, len(fps)))
+    same = simhash._edges(simhash._nearest(key, fps[:, None], 4, len(fps)))
 
     def closest(u, v):
         out = {}
@@ -115,6 +115,10 @@ def test_forests():
         return out
 
     assert closest(u, v) == closest(*same)
+    two = np.stack([fps, fps[::-1]], axis=1)  # of two words both count
+    u, v = nearest_edges(two, 8)
+    assert all(np.bitwise_count(two[np.flatnonzero(fps == a)[0]] ^ two[np.flatnonzero(fps == b)[0]]).sum() <= 8 for a, b in zip(u, v, strict=True))
+    assert closest(u, v) == closest(*simhash._edges(simhash._nearest(key, two, 8, len(fps))))
 
 
 def jaccard(a, b):
