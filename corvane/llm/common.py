@@ -124,7 +124,7 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Bits of a bitmap for each key, and most bits in all (32 MB); a fuller bitmap lets more pass.
-BITS_EACH, MOST_BITS = 16, 1 << 28
+BITS_EACH, MOST_BITS = 64, 1 << 28
 
 
 def bitmap(keys: DataFrame, count: int) -> np.ndarray:

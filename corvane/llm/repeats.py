@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, bitmap, materialize, mix64, passing, release
 
 WINDOW, SEED = 20, 5
-SHARD_ROWS, HOT, SLICES = 4000, 20_000, 64
+SHARD_ROWS, HOT, SLICES = 4000, 100_000, 64
 #: Most anchors that are dealt by whole window (8 bytes each are sent to all tasks); the threshold rises until no more are left.
 MOST_HOT = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
