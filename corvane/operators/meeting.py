@@ -132,7 +132,7 @@ def evidence(queries: DataFrame, chunks: DataFrame, key: str, top_k: int = 4, pe
     hits = tf.join(df, "term").join(q, "term").crossJoin(stats)
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("length") / F.greatest(F.col("mean"), F.lit(1.0)))) * F.col("w")
-    scored = hits.groupBy(key, "chunk_id", "document_id").agg(F.sum(part).alias("score"))
+    scored = hits.groupBy(key, "chunk_id", "document_id").agg(R.ordered_sum("term", part).alias("score"))
     best = [F.desc("score"), F.asc(F.col("chunk_id").cast("string"))]
     capped = scored.withColumn("_d", F.row_number().over(W.partitionBy(key, "document_id").orderBy(*best))).where(F.col("_d") <= per_document)
     return capped.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*best))).where(F.col("rank") <= top_k).select(key, "rank", "chunk_id", "document_id", "score")

@@ -25,6 +25,15 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def ordered_sum(term: Column | str, part: Column) -> Column:
+    """The sum of parts in the order of their terms: equal chunks get equal scores to the last bit, however rows are dealt.
+
+    An aggregate; it gathers a part for each term of a query that a chunk holds.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(F.col(term).alias("term") if isinstance(term, str) else term.alias("term"), part.alias("part"))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"])
+
+
 def bm25(chunks: DataFrame, query: str, phrase_bonus: float = PHRASE_BONUS) -> DataFrame:
     """(chunk_id, score) of the chunks that share a term with the query; a term counts twice at most.
 
@@ -50,7 +59,7 @@ def bm25(chunks: DataFrame, query: str, phrase_bonus: float = PHRASE_BONUS) -> D
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("mean"), F.lit(1.0)))) * weight[F.col("term")]
     bonus = F.when((F.col("at") > 0) & F.lit(len(q["phrase"]) >= 4), F.lit(float(phrase_bonus))).otherwise(0.0)
-    return joined.groupBy("chunk_id", "at").agg(F.sum(part).alias("s")).select("chunk_id", (F.col("s") + bonus).alias("score")).where("score > 0")
+    return joined.groupBy("chunk_id", "at").agg(ordered_sum("term", part).alias("s")).select("chunk_id", (F.col("s") + bonus).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

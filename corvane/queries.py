@@ -101,7 +101,7 @@ SCORES = f"""
     q AS (SELECT * FROM {values(WEIGHTS, "term, w")}),
     tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM d) JOIN q USING (term) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    sc AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) * w) AS score
+    sc AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) * w ORDER BY term) AS score
            FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY chunk_id)"""
 
 
@@ -136,7 +136,7 @@ PHRASE = "of the"
     s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
     tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN ('of', 'the') GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    sc AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0)))) AS score FROM tf JOIN df USING (term), s GROUP BY chunk_id)
+    sc AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) ORDER BY term) AS score FROM tf JOIN df USING (term), s GROUP BY chunk_id)
     SELECT chunk_id, round(score + CASE WHEN contains(low, '{PHRASE}') THEN 4.0 ELSE 0.0 END, 6) AS score FROM sc JOIN d USING (chunk_id)""")
 def bm25_phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(chunks(spark, sf_dir), PHRASE).select("chunk_id", F.round("score", 6).alias("score"))
@@ -764,7 +764,7 @@ def meeting_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT doc_id::VARCHAR AS chunk_id, source AS document_id, {TOKENS.format("text")} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
     tf AS (SELECT chunk_id, document_id, length, term, count(*) AS tf FROM (SELECT chunk_id, document_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    sc AS (SELECT conv_id, chunk_id, document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) * w), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL),
+    sc AS (SELECT conv_id, chunk_id, document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) * w ORDER BY term), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, document_id ORDER BY score DESC, chunk_id) AS c FROM sc)
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, document_id, score FROM k WHERE c <= 3 QUALIFY rank <= 4""")
 def session_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,37 @@ def test_the_text_diff_query_compares_whole_texts(spark):
     got = {x["item_id"]: x["diff"] for x in queries.QUERIES["text_diff"](spark, sf).collect()}
     some = sorted(i for i in got if len(texts[i] or "") > 200)[:20]
     assert some and all(got[i] == M.render(M.operations(items[i], texts[i])) for i in some)
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 211])
+def test_ranking_does_not_depend_on_how_rows_are_dealt(spark, partitions):
+    """Chunks of the same words in other orders tie to the last bit; ties go by id as text."""
+    from corvane.operators import meeting as MT
+
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
+    r = random.Random(5)
+    rows = [(str(i), f"d{i % 4}", " ".join(r.sample(words, 7) + r.sample(words, 3) * (i % 3))) for i in range(60)] + [(f"x{i}", "d9", "nothing of that") for i in range(40)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, text string").repartition(partitions, F.rand(partitions))
+        scores = {x["chunk_id"]: x["score"] for x in R.bm25(chunks, " ".join(words)).collect()}
+        by_words = {}
+        for c, _, text in rows[:60]:
+            by_words.setdefault(tuple(sorted(text.split())), set()).add(scores[c])
+        assert len(scores) == 60 and all(len(s) == 1 for s in by_words.values()) and 1 < len(by_words) < 60
+        want = sorted(scores, key=lambda c: (-scores[c], c))[:20]
+        assert [x["chunk_id"] for x in R.top(R.bm25(chunks, " ".join(words)), 20).collect()] == want
+        asked = spark.createDataFrame([(1, " ".join(words)), (2, "alpha zeta eta")], "q int, query string")
+        got = MT.evidence(asked, chunks, "q", top_k=9, per_document=3).where("q = 1").orderBy("rank").collect()
+        capped, seen = [], {}
+        for c in sorted(scores, key=lambda c: (-scores[c], c)):
+            d = next(x[1] for x in rows if x[0] == c)
+            seen[d] = seen.get(d, 0) + 1
+            if seen[d] <= 3:
+                capped.append(c)
+        assert [x["chunk_id"] for x in got] == capped[:9]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
