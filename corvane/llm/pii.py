@@ -2,7 +2,7 @@
 
 Everything that touches the corpus is a DataFrame expression, row by row, without a shuffle. The trees are small: they
 are fitted with numpy on the driver, on SAMPLE drawn examples of each kind (fixed seed; the corpus has no labelled
-spans), and become CASE expressions. Each kind's threshold is calibrated on examples that the trees did not see: the
+spans), and become one constant of the plan. Each kind's threshold is calibrated on examples that the trees did not see: the
 least score from which on the share of right proposals is PRECISION.
 """
 
@@ -20,6 +20,8 @@ SAMPLE, PRECISION, SEED = 3000, 0.99, 3
 ROUNDS, RATE, DEPTH = 25, 0.3, 3
 #: Code points of context that features see before a span.
 CONTEXT = 28
+#: Code points of the pieces that contexts are cut from; more than any proposal has.
+PIECE = 512
 
 #: Matches of a text that are placed together.
 BLOCK = 128
@@ -74,32 +76,62 @@ def joined(text: Column, kind: str) -> Column:
     return safe if BASE[kind][1] is None else F.regexp_replace(safe, BASE[kind][1], JOIN)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start: int, end: int, hit: string>> of a pattern's matches, leftmost without overlaps; code points.
+def bind(x: Column, use) -> Column:
+    """use(x) where x is computed once, however often use refers to it."""
+    return F.transform(F.array(x), use)[0]
 
-    What splitting leaves between the matches and the matches themselves add up to the text, which gives their places.
-    """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(hits.alias("hits"), gaps.alias("gaps")), lambda x: x["hits"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gaps"])
-        end = start + F.length(x["hits"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["hits"].alias("hit"))).alias("out"))
+def scan(items: Column, state: Column, step, kind: str) -> Column:
+    """array<kind> of what step(state, item) -> (state, out) gives for each item, in order.
+
+    Appending copies, so items are taken in blocks, and blocks are put together at the end.
+    """
+    none, rows = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
-    # appending copies, so matches are placed in blocks and blocks in the text; a variable binds an array once
     def blocks(p: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, F.lit(BLOCK)))
-        return F.transform(cut, lambda x: F.aggregate(x, zero, step))
+        last = F.greatest(F.floor((F.size(p) - 1) / BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(p, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def one(acc: Column, x: Column) -> Column:
+        now, out = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bind(done, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["rows"], r["out"]).alias("rows")))
+
+    return F.aggregate(bind(items, blocks), F.struct(state.alias("state"), rows.alias("rows")), block, lambda acc: F.flatten(acc["rows"]))
+
+
+MATCH = "struct<kind:int,start:int,end:int,hit:string,order:int>"
+
+
+def generated(text: Column) -> Column:
+    """array<MATCH> of the matches of all patterns, leftmost without overlaps for each; code points; order 0 for base patterns, then from -1 down.
+
+    What splitting leaves between the matches and the matches themselves add up to the text, which gives their places. All
+    patterns' matches are placed by the same expression, so the plan holds it once.
+    """
+    found = []
+    for k, kind in enumerate(KINDS):
+        need = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
+        more = text.rlike(r"(?i)(?:[\[({<]\x20?|\x20)(?:at|@)(?:\x20?[\])}>]|\x20)") if kind == "email" else text.rlike("[0-9]{2}")
+        safe = F.translate(text, JOIN, "~")
+        for order, (when, where, pattern) in enumerate([(need, joined(text, kind), BASE[kind][0]), *[(more, safe, p) for p in PROPOSE[kind]]]):
+            both = F.struct(F.regexp_extract_all(where, F.lit(pattern), F.lit(0)).alias("hits"), F.split(where, pattern, -1).alias("gaps"))
+            found.append(F.struct(F.lit(k).alias("kind"), F.lit(-order).alias("order"), F.when(when, both).alias("m")))
 
-    def placed(b: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(b, first, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
-        return F.flatten(F.zip_with(b, starts, lambda x, s: F.transform(x["out"], lambda m: F.struct((m["start"] + s).alias("start"), (m["end"] + s).alias("end"), m["hit"].alias("hit")))))
+    def placed(g: Column) -> Column:
+        pairs = F.filter(F.zip_with(g["m"]["hits"], g["m"]["gaps"], lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap"))), lambda x: x["hit"].isNotNull())
 
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.transform(F.array(pairs), lambda p: F.when(F.size(p) == 0, none).otherwise(F.when(F.size(p) <= BLOCK, F.aggregate(p, zero, step, lambda acc: acc["out"])).otherwise(F.transform(F.array(blocks(p)), placed)[0])))[0]
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            return end, F.struct(g["kind"].alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("hit"), g["order"].alias("order"))
+
+        return scan(pairs, F.lit(0), step, MATCH)
+
+    return F.flatten(F.transform(F.filter(F.array(*found), lambda g: F.size(g["m"]["hits"]) > 0), placed))
 
 
 def digits(x: Column) -> Column:
@@ -129,22 +161,24 @@ VALID = {
 }
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end>> of the base pattern's valid matches."""
-    need = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
-    found = F.filter(matches(joined(text, kind), BASE[kind][0]), lambda m: VALID[kind](m["hit"]))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(need, F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))).otherwise(none)
+def of_kind(kind: Column, values) -> Column:
+    """values[kind] by a kind's place in KINDS; values: columns."""
+    out = F.when(kind == 0, values[0])
+    for k, v in enumerate(values[1:], 1):
+        out = out.when(kind == k, v)
+    return out
 
 
-def features_of(hit: Column, before: Column, after: Column, kind: str) -> dict[str, Column]:
+def features_of(hit: Column, before: Column, after: Column, kind: str | Column) -> dict[str, Column]:
+    """The features of a span of a kind, which may be given as a column of its place in KINDS."""
     d = digits(hit)
+    cue = [F.lower(before).rlike(f"(?:{CUES[k]})") for k in ([kind] if isinstance(kind, str) else KINDS)]
     count = lambda c: F.length(hit) - F.length(F.translate(hit, c, ""))
     return {
         "digits": F.length(d),
         "length": F.length(hit),
         "groups": F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))),
-        "cue": F.lower(before).rlike(f"(?:{CUES[kind]})").cast("int"),
+        "cue": (cue[0] if isinstance(kind, str) else of_kind(kind, cue)).cast("int"),
         "bracket": hit.rlike(r"[(\[{<]").cast("int"),
         "luhn": F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False).cast("int"),
         "octets": F.forall(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0)), lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(999)) <= 255)).cast("int"),
@@ -245,6 +279,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     """Gradient boosting with logistic loss: prior, and trees ((feature, cut, below, above) or a leaf's value)."""
     prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     score, trees = np.full(len(y), prior), []
+    binned = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
 
     def grow(at: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         total_g, total_h = g[at].sum(), h[at].sum()
@@ -252,14 +287,15 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
         if depth == 0 or len(at) < 20:
             return leaf
         best = (1e-3, None, None)
-        for f in range(x.shape[1]):
-            values = np.unique(x[at, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                low = x[at, f] < cut
-                gl, hl = g[at][low].sum(), h[at][low].sum()
-                gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-                if gain > best[0]:
-                    best = (gain, f, float(cut))
+        for f, (values, place) in enumerate(binned):
+            here = np.bincount(place[at], minlength=len(values)) > 0
+            gl, hl = (np.cumsum(np.bincount(place[at], w[at], len(values))[here])[:-1] for w in (g, h))
+            if not len(gl):
+                continue
+            gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
+            if gain.max() > best[0]:
+                k = int(gain.argmax())
+                best = (float(gain[k]), f, float(values[here][k : k + 2].mean()))
         if best[1] is None:
             return leaf
         _, f, cut = best
@@ -292,53 +328,86 @@ def fitted(kind: str) -> tuple[float, list, float]:
     return prior, trees, float(score[order][ends[-1]]) if len(ends) else np.inf
 
 
-def score_of(features: dict[str, Column], prior: float, trees: list) -> Column:
-    def expr(tree) -> Column:
-        if not isinstance(tree, tuple):
-            return F.lit(float(tree))
-        f, cut, low, high = tree
-        return F.when(features[FEATURES[f]] < F.lit(cut), expr(low)).otherwise(expr(high))
+def flat(tree) -> list[float]:
+    """A tree as numbers: the features and the cuts of its DEPTH levels of nodes, level by level, then its leaves."""
+    features, cuts, level = [], [], [tree]
+    for _ in range(DEPTH):
+        nodes = [t if isinstance(t, tuple) else (0, 0.0, t, t) for t in level]
+        features += [float(n[0]) for n in nodes]
+        cuts += [float(n[1]) for n in nodes]
+        level = [x for n in nodes for x in n[2:]]
+    return features + cuts + [float(x) for x in level]
+
 
-    total = F.lit(prior)
-    for t in trees:
-        total = total + expr(t)
-    return total
+def score_of(x: Column, kind: Column) -> Column:
+    """The score of a span by its kind's trees; x: array<double> of its FEATURES.
 
+    The trees are one constant of the plan, and one expression walks them all.
+    """
+    models = [fitted(k) for k in KINDS]
+    trees = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in flat(t)) + ")" for t in m[1]) + ")" for m in models) + ")")
+    inner = 2**DEPTH - 1
 
-def proposed_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end>> of the proposals whose score reaches the kind's threshold; of those that overlap, the better ones."""
-    prior, trees, threshold = fitted(kind)
-    need = text.rlike(r"(?i)(?:[\[({<]\x20?|\x20)(?:at|@)(?:\x20?[\])}>]|\x20)") if kind == "email" else text.rlike("[0-9]{2}")
+    def leaf(t: Column) -> Column:
+        at = F.lit(0)
+        for _ in range(DEPTH):
+            right = F.get(x, F.get(t, at).cast("int")) >= F.get(t, at + inner)
+            at = at * 2 + F.when(right, 2).otherwise(1)
+        return F.get(t, at + inner)  # the leaves stand behind features and cuts: place at - inner of them
 
-    def scored(found: Column, order: int) -> Column:
-        def features(m: Column) -> Column:
-            first = F.greatest(m["start"] - CONTEXT, F.lit(0))
-            f = features_of(m["hit"], F.substring(text, first + 1, m["start"] - first), F.substring(text, m["end"] + 1, F.lit(2)), kind)
-            return F.struct(m["start"].alias("start"), m["end"].alias("end"), *[v.alias(k) for k, v in f.items()])
+    return F.aggregate(F.get(trees, kind), of_kind(kind, [F.lit(float(m[0])) for m in models]), lambda acc, t: acc + leaf(t))
 
-        def score(m: Column) -> Column:
-            return F.struct(m["start"].alias("start"), m["end"].alias("end"), score_of({k: m[k] for k in FEATURES}, prior, trees).alias("score"), F.lit(-order).alias("order"))
 
-        return F.filter(F.transform(F.transform(found, features), score), lambda m: m["score"] >= F.lit(threshold))
+SCORED = "struct<kind:int,start:int,end:int,score:double,order:int>"
 
-    safe = F.translate(text, JOIN, "~")
-    all_found = F.concat(*[scored(matches(safe, pattern), k) for k, pattern in enumerate(PROPOSE[kind])])
-    zero = F.array().cast("array<struct<start:int,end:int,score:double,order:int>>")
+
+def accepted(text: Column, proposals: Column) -> Column:
+    """array<SCORED> of the proposals (array<MATCH>) whose score reaches the kind's threshold; of those of a kind that overlap, the better ones."""
+
+    def seen(pieces: Column, m: Column) -> Column:
+        """A proposal with what stands before and after it, from the pieces of the text around its start: a long text isn't walked for each."""
+        at = F.floor(m["start"] / PIECE).cast("int")
+        near = F.concat(*[F.coalesce(F.get(pieces, at + k), F.lit("")) for k in (-1, 0, 1)])
+        skipped = F.greatest(at - 1, F.lit(0)) * PIECE
+        first = F.greatest(m["start"] - CONTEXT, F.lit(0))
+        return bind(near, lambda n: F.struct(m.alias("m"), F.substring(n, first - skipped + 1, m["start"] - first).alias("before"), F.substring(n, m["end"] - skipped + 1, F.lit(2)).alias("after")))
+
+    def features(s: Column) -> Column:
+        m = s["m"]
+        f = features_of(m["hit"], s["before"], s["after"], m["kind"])
+        return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["order"].alias("order"), F.array(*[f[k].cast("double") for k in FEATURES]).alias("x"))
+
+    def score(m: Column) -> Column:
+        return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score_of(m["x"], m["kind"]).alias("score"), m["order"].alias("order"))
+
+    least = lambda kind: of_kind(kind, [F.lit(float(fitted(k)[2])) for k in KINDS])
+    pieces = F.when(F.size(proposals) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    placed = bind(pieces, lambda p: F.transform(proposals, lambda m: seen(p, m)))
+    good = F.filter(F.transform(F.transform(placed, features), score), lambda m: m["score"] >= least(m["kind"]))
     rank = lambda m: F.struct(m["score"], m["order"], -m["start"])
 
-    def keep(held: Column, m: Column) -> Column:
-        last = F.try_element_at(held, F.lit(-1))
-        apart = last.isNull() | (last["end"] <= m["start"])
-        better = rank(m) > rank(last)
-        return F.when(apart, F.array_append(held, m)).when(better, F.array_append(F.slice(held, F.lit(1), F.size(held) - 1), m)).otherwise(held)
+    def keep(last: Column, m: Column) -> tuple[Column, Column]:
+        apart = last.isNull() | (last["kind"] != m["kind"]) | (last["end"] <= m["start"])
+        return F.when(apart | (rank(m) > rank(last)), m).otherwise(last), F.when(apart, last)
+
+    end = F.lit(None).cast("struct<kind:int>").isNull()  # what comes behind all gives the last one out
+    stop = F.when(end, F.struct(F.lit(len(KINDS)).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("order")))
+    kept = scan(F.array_append(F.array_sort(good), stop), F.lit(None).cast(SCORED), keep, SCORED)
+    return F.filter(kept, lambda m: m.isNotNull())
+
 
-    kept = F.aggregate(F.array_sort(all_found), zero, keep)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(need, F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))).otherwise(none)
+PLACED = "struct<start:int,own:int,end:int,kind:int>"
 
 
-def _tagged(spans: Column, kind: str, base: bool) -> Column:
-    return F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base")))
+def beside(base: Column, more: Column) -> Column:
+    """array<PLACED> of all base spans (own 0) and of those of more (own 1) that overlap none of them: a sweep forward and one back."""
+    as_placed = lambda a, own: F.transform(a, lambda m: F.struct(m["start"].alias("start"), F.lit(own).alias("own"), m["end"].alias("end"), m["kind"].alias("kind")))
+    some = lambda a: F.filter(a, lambda m: m.isNotNull())
+    both = F.array_sort(F.concat(as_placed(base, 0), as_placed(more, 1)))
+    is_base = lambda m: m["own"] == 0
+    clear = scan(both, F.lit(0), lambda reach, m: (F.when(is_base(m), F.greatest(reach, m["end"])).otherwise(reach), F.when(is_base(m) | (m["start"] >= reach), m)), PLACED)
+    back = scan(F.reverse(some(clear)), F.lit(2**31 - 1), lambda first, m: (F.when(is_base(m), F.least(first, m["start"])).otherwise(first), F.when(is_base(m) | (m["end"] <= first), m)), PLACED)
+    return F.when(F.size(more) == 0, as_placed(base, 0)).otherwise(some(back))
 
 
 def _base_count(kind: str) -> Column:
@@ -357,14 +426,13 @@ def find(docs: DataFrame) -> DataFrame:
     may be null or repeat. An empty table gives no rows.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[base_spans(t, k).alias(k) for k in KINDS], *[proposed_spans(t, k).alias(f"more_{k}") for k in KINDS])
-    all_base = F.concat(*[F.col(k) for k in KINDS])
-    parts = []
-    for k in KINDS:
-        more = F.filter(F.col(f"more_{k}"), lambda m: ~F.exists(all_base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        both = F.concat(_tagged(F.col(k), k, True), _tagged(more, k, False))
-        parts.append(F.when(F.size(f"more_{k}") > 0, F.array_sort(both)).otherwise(both))  # one kind: by start, then end
-    return rows.select("doc_id", "text", F.concat(*parts).cast(SPANS).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", generated(t).alias("m"))
+    valid = lambda m: of_kind(m["kind"], [VALID[k](m["hit"]) for k in KINDS])
+    rows = rows.select("doc_id", "text", F.filter("m", lambda m: (m["order"] == 0) & valid(m)).alias("base"), bind(F.filter("m", lambda m: m["order"] < 0), lambda p: accepted(t, p)).alias("more"))
+    rows = rows.select("doc_id", "text", beside(F.col("base"), F.col("more")).alias("s"))
+    names = F.array(*map(F.lit, KINDS))
+    spans = F.transform(F.array_sort(F.transform("s", lambda m: F.struct(m["kind"], m["start"], m["end"], m["own"] == 0))), lambda m: F.struct(F.get(names, m["kind"]).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["col4"].alias("base")))
+    return rows.select("doc_id", "text", spans.cast(SPANS).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -99,3 +99,16 @@ def test_overlapping_proposals_and_many_matches(spark):
 
 def test_empty(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_many_proposals_beside_many_base_spans(spark):
+    """Proposals are held against base spans in one sweep each way, not against each of them."""
+    import time
+
+    text = " ".join(f"u{i}@example.org or {'abcdef'[i % 6]}no [at] example [dot] org," for i in range(6000))
+    began = time.time()
+    x = pii.digest(pii.find(spark.createDataFrame([(1, text, "", 0)], SCHEMA))).first()
+    assert x["n_email"] == 6000 and x["spans"].count("email:") == 12_000
+    spans = [tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",")]
+    assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert time.time() - began < 40
