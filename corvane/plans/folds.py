@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fold(rows: DataFrame, key: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple | None]], schema: str) -> DataFrame:
-    """What step gives for each row: step(state, row) -> (state, output or None), rows of a key in order.
+def fold(rows: DataFrame, key: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple | list[tuple] | None]], schema: str) -> DataFrame:
+    """What step gives for each row: step(state, row) -> (state, an output, a list of them, or None), rows of a key in order.
 
     A key's rows lie in one task and are streamed, so memory is a batch and one state, however long a key's history is.
     The recurrence is the caller's; where a window function can express a thing, it is the better plan.
@@ -26,7 +26,7 @@ def fold(rows: DataFrame, key: str, order: str, start: Callable[[], Any], step:
                     at, state = k, start()
                 state, got = step(state, row)
                 if got is not None:
-                    out.append(got)
+                    out += got if isinstance(got, list) else [got]
             yield pd.DataFrame(out, columns=names)
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)

@@ -696,6 +696,47 @@ def streamed_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "vec_id", "total", F.size("x").alias("k"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
 
 
+QUEUED = """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'view' AS take, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    q(user_id, k, event_id, queue, due, gone, item, fate) AS (
+        SELECT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], false, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR FROM e GROUP BY user_id
+        UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN e.take AND q.due THEN [-1]::BIGINT[] WHEN e.take THEN q.queue[2:] WHEN len(q.queue) < 3 THEN list_append(q.queue, e.event_id) ELSE q.queue END,
+            CASE WHEN e.take THEN false ELSE q.due OR len(q.queue) >= 3 END, CASE WHEN e.take AND q.due THEN q.queue ELSE []::BIGINT[] END,
+            CASE WHEN e.take AND q.due THEN -1 WHEN e.take THEN q.queue[1] WHEN len(q.queue) >= 3 THEN e.event_id END,
+            CASE WHEN e.take AND (q.due OR q.queue[1] = -1) THEN 'silence' WHEN e.take AND len(q.queue) > 0 THEN 'taken' WHEN e.take THEN 'underrun' WHEN len(q.queue) >= 3 THEN 'dropped' END
+        FROM q JOIN e ON e.user_id = q.user_id AND e.k = q.k + 1),
+    f AS (SELECT user_id, event_id, nullif(item, -1) AS item, fate FROM q WHERE fate IS NOT NULL UNION ALL SELECT user_id, event_id, nullif(unnest(gone), -1), 'drained' FROM q)"""
+
+
+@query(f"{QUEUED} SELECT user_id, event_id, item, fate FROM f")
+def queue_drop_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "view", "take").otherwise("put").alias("op"), F.col("event_id").alias("item"))
+    return B.bounded_queue(e, "user_id", "event_id", 3, "drop_new", prefill=2, resync_on_drop=True)
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN event_id // 64 END AS now, CASE WHEN event_type <> 'purchase' THEN event_id // 64 - event_id % 3 END AS version FROM events),
+    s AS (SELECT *, last_value(now IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS since FROM e)
+    SELECT user_id, event_id, version FROM s WHERE since - version BETWEEN 0 AND 1""")
+def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = F.col("event_type") == "purchase"
+    at = F.floor(F.col("event_id") / 64)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(sets, at).alias("now"), F.when(~sets, at - F.col("event_id") % 3).alias("version"))
+    return B.current_at(e, "user_id", "event_id", most=1).select("user_id", "event_id", "version")
+
+
+@query("""
+    WITH f AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), s AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS pos FROM f),
+    c AS (SELECT label, vec_id, len(embedding) AS n, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings),
+    o AS (SELECT label, vec_id, t, unnest(range(round_even((t - n) * 3 / 7, 0)::BIGINT, round_even(t * 3 / 7, 0)::BIGINT)) AS k FROM c), p AS (SELECT *, (k + 0.5::DOUBLE) * 7 / 3 - 1 AS p FROM o),
+    y AS (SELECT p.*, a.v + (coalesce(b.v, a.v) - a.v) * (p.p - floor(p.p)) AS y FROM p JOIN s a ON a.label IS NOT DISTINCT FROM p.label AND a.pos = greatest(floor(p.p), 0) LEFT JOIN s b ON b.label IS NOT DISTINCT FROM p.label AND b.pos = floor(p.p) + 1)
+    SELECT label, vec_id, round_even(any_value(t) * 3 / 7, 0)::BIGINT AS total, count(*) AS n, round(sum(y), 6) AS sum, round(arg_min(y, k), 6) AS first, round(arg_max(y, k), 6) AS last FROM y GROUP BY label, vec_id""")
+def carried_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", G.doubles(F.col("embedding")).alias("x"))
+    out = B.resample_carried(e, "label", "vec_id", "x", 7, 3)
+    return out.select("label", "vec_id", "total", F.size("x").cast("long").alias("n"), F.round(G.total(F.col("x")), 6).alias("sum"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
+
+
 # --- meetings: knowledge, maps, requests
 
 

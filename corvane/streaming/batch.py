@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.folds import fold
+from .queues import Queue
 
 #: Priorities of waiting jobs, and least seconds between unasked advice.
 PRIORITIES = {"manual_answer": 100, "question": 95, "manual_next": 90, "next_line": 20}
@@ -68,23 +69,28 @@ def keep_current(results: DataFrame, versions: DataFrame, session: str, version:
     return results.join(versions.select(session, F.col("now").alias("_now")), session).where((F.col("_now") - F.col(version)).between(0, most)).drop("_now")
 
 
-def bounded_queue(schedule: DataFrame, key: str, order: str, capacity: int, policy: str) -> DataFrame:
-    """(key, order, item, fate) of a recorded schedule of puts and takes (op: put or take; item).
+def current_at(events: DataFrame, session: str, order: str, version: str = "version", now: str = "now", most: int = 0) -> DataFrame:
+    """Of a log of versions (now) and results (version), the results that were current when they came: at most so far behind, and not ahead.
 
-    policy drop_new: a put into a full queue is lost; drop_oldest: it pushes out the oldest. fate: taken, dropped, or
-    underrun for a take that finds nothing. Items still queued at the end have no row.
+    Before a session's first version nothing is current. A row that has both sets the version first.
+    """
+    so_far = W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = events.withColumn("_now", F.last(now, ignorenulls=True).over(so_far))
+    return rows.where(F.col(version).isNotNull() & (F.col("_now") - F.col(version)).between(0, most)).drop("_now")
+
+
+def bounded_queue(schedule: DataFrame, key: str, order: str, capacity: int, policy: str, prefill: int = 0, resync_on_drop: bool = False) -> DataFrame:
+    """(key, order, item, fate) of a recorded schedule of operations (op: put, take, resync or fail; item); see queues.Queue.
+
+    fate: taken, silence, dropped, drained, or underrun for a take that finds nothing. Items still queued at the end have
+    no row.
     """
     kinds = dict(schedule.dtypes)
 
-    def step(queue: list, row) -> tuple[list, tuple | None]:
-        at = (getattr(row, key), getattr(row, order))
-        if row.op == "take":
-            return (queue[1:], (*at, queue[0], "taken")) if queue else (queue, (*at, None, "underrun"))
-        if len(queue) < capacity:
-            return [*queue, row.item], None
-        return (queue, (*at, row.item, "dropped")) if policy == "drop_new" else ([*queue[1:], row.item], (*at, queue[0], "dropped"))
+    def step(queue: Queue, row) -> tuple[Queue, list[tuple]]:
+        return queue, [(getattr(row, key), getattr(row, order), item, fate) for item, fate in queue.apply(row.op, row.item)]
 
-    return fold(schedule.select(key, order, "op", "item"), key, order, list, step, f"{key} {kinds[key]}, {order} {kinds[order]}, item {kinds['item']}, fate string")
+    return fold(schedule.select(key, order, "op", "item"), key, order, lambda: Queue(capacity, policy, prefill, resync_on_drop), step, f"{key} {kinds[key]}, {order} {kinds[order]}, item {kinds['item']}, fate string")
 
 
 def reblock(chunks: DataFrame, key: str, order: str, samples: str, size: int) -> DataFrame:
@@ -166,3 +172,27 @@ def resample_stream(chunks: DataFrame, key: str, order: str, samples: str, rate_
 
     made = F.when((F.col("_out") > 0) & (F.col("_n") > 0), F.transform(F.sequence(F.lit(0), F.col("_out") - 1), at)).otherwise(F.array().cast("array<double>"))
     return rows.select(key, order, "total", made.alias(samples))
+
+
+def resample_carried(chunks: DataFrame, key: str, order: str, samples: str, rate_in: int, rate_out: int) -> DataFrame:
+    """(key, order, total, samples): a stream at another rate, by straight lines that run on over chunks; however it is cut, the samples are the same.
+
+    After each chunk a stream has round(samples in * rate_out / rate_in) samples (half to even). Sample k lies half a step
+    of its own behind place k, and one sample late, so it never needs one that hasn't come: all that a chunk needs of what
+    was before is the last sample. Before the first sample the signal is held.
+    """
+    line = W.partitionBy(key).orderBy(order)
+    rows = chunks.withColumn("_n", F.size(samples)).withColumn("_in", F.sum("_n").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("_n") > 0, F.element_at(samples, -1).cast("double")), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
+    due = lambda n: F.bround(n * rate_out / rate_in).cast("long")
+    rows = rows.withColumn("_before", last).withColumn("_start", F.col("_in") - F.col("_n")).withColumn("total", due(F.col("_in"))).withColumn("_from", due(F.col("_start")))
+
+    def at(k: Column) -> Column:
+        p = (k + 0.5) * rate_in / rate_out - 1
+        low = (F.floor(p) - F.col("_start")).cast("int")
+        value = lambda i: F.when(i < 0, F.coalesce("_before", F.get(samples, F.lit(0)).cast("double"))).otherwise(F.get(samples, i).cast("double"))
+        a = value(low)
+        return a + (F.coalesce(value(low + 1), a) - a) * (p - F.floor(p))
+
+    made = F.when(F.col("total") > F.col("_from"), F.transform(F.sequence("_from", F.col("total") - 1), at)).otherwise(F.array().cast("array<double>"))
+    return rows.select(key, order, "total", made.alias(samples))
