@@ -3,8 +3,9 @@
 Method (repeated-phrase automata). A window of WINDOW words is named by an anchor: the SEED-word phrase in it whose hash
 is least, so equal windows have equal anchors. One pass counts the anchors; those met only once in the corpus can't be in
 a repeated window. A second pass deals passages to shards by anchor where a bitmap of the recurring ones lets them pass. A
-shard reads its passages in order of (document, position), confirms the word sequences that recur, compiles them into an
-Aho-Corasick automaton over word symbols and streams all its passages through it, which locates every occurrence: a window
+shard reads its passages in order of (document, position); of those that have a window whose hash recurs (the others can't
+hold a repeated one) it confirms the word sequences, compiles them into an Aho-Corasick automaton over word symbols and
+streams the passages through it, which locates every occurrence: a window
 with another anchor can't be equal to one of the shard's. Occurrences but the earliest mark the words that go.
 
 A shard holds SHARD_ROWS passages at a time. An anchor met more than HOT times is dealt by whole window instead, so a
@@ -45,6 +46,26 @@ def phrase_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def window_sums(h: np.ndarray, window: int) -> np.ndarray:
+    """32 bits of a hash of every window, put together from spans of doubled length."""
+    out, have, rest = h, 1, []
+    power = int(BASE)
+    while True:
+        if window & have:
+            rest.append((out, have, power))
+        if 2 * have > window:
+            break
+        out = out[:-have] * np.uint64(power) + out[have:] if len(out) > have else out[:0]
+        have, power = 2 * have, power * power % 2**64
+    n = len(h) - window + 1
+    total, at = np.zeros(max(n, 0), np.uint64), 0
+    for part, length, factor in rest:
+        if n > 0:
+            total = total * np.uint64(factor) + part[at : at + n]
+        at += length
+    return (mix64(total) >> np.uint64(32)).astype("<u4")
+
+
 def anchors(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Of each window, in order: where its anchor starts; and every seed phrase's hash.
 
@@ -88,6 +109,7 @@ def _passages(rows: DataFrame, window: int, seed: int, bits: np.ndarray, hot: np
         for b in batches:
             out: list[tuple] = []
             texts: list[bytes] = []
+            sums: list[bytes] = []
             for i, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (t.as_py() or b"").split()
                 if len(words) < window:
@@ -114,25 +136,27 @@ def _passages(rows: DataFrame, window: int, seed: int, bits: np.ndarray, hot: np
                 starts = np.where(a > 0, ends[a - 1], 0).tolist()
                 stops = (ends[z + window - 2] - 1).tolist()
                 texts += [line[x:y] for x, y in zip(starts, stops, strict=True)]
-                out.append((key.view(np.int64), np.full(len(a), i, np.int64), np.full(len(a), m, np.int32), a.astype(np.int32)))
+                line = window_sums(h, window).tobytes()
+                sums += [line[x:y] for x, y in zip((4 * a).tolist(), (4 * z).tolist(), strict=True)]
+                out.append((key.view(np.int64), np.full(len(a), i, np.int64), np.full(len(a), m, np.int64), a.astype(np.int32)))
                 if len(texts) > 20_000:
-                    yield _rows(out, texts)
-                    out, texts = [], []
+                    yield _rows(out, texts, sums)
+                    out, texts, sums = [], [], []
             if out:
-                yield _rows(out, texts)
+                yield _rows(out, texts, sums)
 
-    def _rows(out: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), pa.array(texts, pa.binary())], names=["shard", "id", "mark", "start", "passage"])
+    def _rows(out: list[tuple], texts: list[bytes], sums: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), pa.array(texts, pa.binary()), pa.array(sums, pa.binary())], names=["shard", "id", "mark", "start", "passage", "sums"])
 
-    return rows.mapInArrow(run, "shard long, id long, mark int, start int, passage binary")
+    return rows.mapInArrow(run, "shard long, id long, mark long, start int, passage binary, sums binary")
 
 
 def _sliced(alone: DataFrame) -> DataFrame:
     """Windows; those that occur more than HOT times in slices by document, each with the window's first occurrence too."""
-    often = alone.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "mark", "start", "passage"), F.struct("id", "start", "mark")).alias("first")).where(F.col("n") > HOT)
+    often = alone.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "mark", "start", "passage", "sums"), F.struct("id", "start", "mark")).alias("first")).where(F.col("n") > HOT)
     often = materialize(often, "often")
     of_slice = lambda k: F.xxhash64("shard", k)
-    firsts = often.select("shard", "first.*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("k")).select(of_slice(F.col("k")).alias("shard"), "id", "mark", "start", "passage")
+    firsts = often.select("shard", "first.*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("k")).select(of_slice(F.col("k")).alias("shard"), "id", "mark", "start", "passage", "sums")
     marked = alone.join(often.select("shard", F.lit(True).alias("much")), "shard", "left")
     slices = marked.withColumn("shard", F.when(F.col("much"), of_slice(F.pmod(F.xxhash64("id", "mark"), F.lit(SLICES)).cast("int"))).otherwise(F.col("shard")))
     return slices.select(*firsts.columns).unionByName(firsts)
@@ -208,37 +232,51 @@ class Shard:
         return hits, max((known for _, known in hits), default=None), spans
 
 
+def _recurring(keys: list, sums: list) -> list[int]:
+    """Places of the passages with a window whose hash another window under the same key has: no other can hold a repeated one."""
+    lengths = np.fromiter(map(len, sums), np.int64, len(sums)) >> 2
+    both = mix64(np.repeat(np.array(keys, np.int64).view(np.uint64), lengths)) + np.frombuffer(b"".join(sums), "<u4")
+    order = np.argsort(both, kind="stable")
+    same = np.diff(both[order]) == 0
+    again = np.zeros(len(both), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return np.flatnonzero(np.bincount(np.repeat(np.arange(len(sums)), lengths), again, len(sums))).tolist()
+
+
 def _covered(passages: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(window), [[], [], [], [], []]
+        shard, held = Shard(window), [[] for _ in range(6)]
 
         def ready(last: bool) -> pa.RecordBatch | None:
             """Handle whole groups, or, if one alone is too many, what there is of it."""
             keys = held[0]
-            n = len(keys)
+            n, whole = len(keys), True
             if not last:
                 while n and keys[n - 1] == keys[-1]:
                     n -= 1
-                n = n or (len(keys) if len(keys) >= SHARD_ROWS else 0)
+                if not n and len(keys) >= SHARD_ROWS:
+                    n, whole = len(keys), False
             if not n:
                 return None
             part = [x[:n] for x in held]
             for x in held:
                 del x[:n]
-            if shard.key is not None and part[0][0] == shard.key and part[0][-1] != shard.key:  # the end of a long group, then others
-                m = next(i for i, k in enumerate(part[0]) if k != shard.key)
-                found = shard.occurrences(part[0][:m], part[1][:m], part[3][:m], part[4][:m])
-                found += [(r + m, a, b) for r, a, b in shard.occurrences(part[0][m:], part[1][m:], part[3][m:], part[4][m:])]
-            else:
-                found = shard.occurrences(part[0], part[1], part[3], part[4])
+            m = 0  # rows of a long group that goes on
+            while shard.key is not None and m < n and part[0][m] == shard.key:
+                m += 1
+            some = [m + k for k in _recurring(part[0][m:], part[5][m:])] if whole and m < n else list(range(m, n))
+            found = []
+            for rows in (list(range(m)), some):
+                if rows:
+                    found += [(rows[r], a, b) for r, a, b in shard.occurrences(*([part[c][r] for r in rows] for c in (0, 1, 3, 4)))]
             if not found:
                 return None
             r, a, b = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([part[1][i] for i in r], pa.int64()), pa.array([part[2][i] for i in r], pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "mark", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([part[1][i] for i in r], pa.int64()), pa.array([part[2][i] for i in r], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "mark", "a", "b"])
 
         for whole in batches:
             for i in range(0, whole.num_rows, SHARD_ROWS):
-                for x, c in zip(held, whole.slice(i, SHARD_ROWS).columns, strict=False):
+                for x, c in zip(held, whole.slice(i, SHARD_ROWS).columns, strict=True):
                     x += c.to_pylist()
                 if len(held[0]) >= SHARD_ROWS and (out := ready(False)) is not None:
                     yield out
@@ -246,8 +284,8 @@ def _covered(passages: DataFrame, window: int) -> DataFrame:
             if (out := ready(True)) is not None:
                 yield out
 
-    parts = passages.repartition("shard").sortWithinPartitions("shard", "id", "start", "mark").select("shard", "id", "mark", "start", "passage")
-    return parts.mapInArrow(run, "id long, mark int, a int, b int")
+    parts = passages.repartition("shard").sortWithinPartitions("shard", "id", "start", "mark").select("shard", "id", "mark", "start", "passage", "sums")
+    return parts.mapInArrow(run, "id long, mark long, a int, b int")
 
 
 def _strip(rows: DataFrame) -> DataFrame:
@@ -281,7 +319,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     in the same. A null doc_id counts as the smallest. Rows that repeat a doc_id are the same document: equal places in
     them aren't earlier than one another. Null and empty texts have no words; an empty table gives no rows.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     counted = materialize(_anchor_counts(base.select("text"), window, seed), "anchors")
     n, times = counted.agg(F.count("*"), F.sum("n")).first()
     hot = counted.where(F.col("n") > max(HOT, (times or 0) // MOST_HOT)).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
