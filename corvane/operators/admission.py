@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import math
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Keys of evidence that name places (by a part of the key), and those whose texts, booleans or numbers may be shown.
+PLACES = ["path", "dir", "cache", "file", "url", "uri"]
+SHOWN_TEXTS = ["code", "component", "exception_type", "module", "stage", "status"]
+SHOWN_BOOLEANS = ["recoverable", "retryable"]
+SHOWN_NUMBERS = ["attempt", "attempts", "count", "exit_code", "run_index"]
+#: What a shown text may not hold, how long it may be, and what stands for what is hidden.
+TELLING, MAX_SHOWN, HIDDEN = ["://", "\\", "/", "token=", "cache", "outputs"], 80, "<redacted>"
 #: The fields of a configuration that may be shown, by section, with their types.
 PUBLIC = {
     "audio": "target_sample_rate int, channels int, pcm_subtype string, min_duration_seconds double, max_duration_seconds double, peak_limit double",
@@ -45,6 +57,53 @@ def safe_details(x: Column) -> Column:
     return F.map_filter(F.transform_values(F.coalesce(raw, F.create_map().cast("map<string,string>")), value), lambda _, v: v.isNotNull())
 
 
+def _is_number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+
+
+def _may_show(key: str, x: Any) -> bool:
+    """Whether the value of a known key is of the kind that the key shows."""
+    if key in SHOWN_TEXTS:
+        return isinstance(x, str) and len(x) <= MAX_SHOWN and not any(t in x.lower() for t in TELLING) and all(c.isascii() and (c.isalnum() or c in "._:-") for c in x)
+    return isinstance(x, bool) if key in SHOWN_BOOLEANS else _is_number(x)
+
+
+def hide(x: Any, key: str | None = None) -> Any:
+    """A value of parsed JSON, at any depth, with what may not be shown hidden. key: the key under which it stands in an object, if any."""
+    low = None if key is None else key.lower()
+    if x is None:
+        return None
+    if low is not None and any(p in low for p in PLACES):
+        return HIDDEN
+    if low in (*SHOWN_TEXTS, *SHOWN_BOOLEANS, *SHOWN_NUMBERS):
+        return x if _may_show(low, x) else HIDDEN
+    if isinstance(x, dict):
+        return {k: hide(v, k) for k, v in x.items()}
+    if isinstance(x, list):
+        return [hide(v) for v in x]
+    return x if key is None and (isinstance(x, bool) or _is_number(x)) else HIDDEN
+
+
+def evidence(x: Column) -> Column:
+    """JSON text of evidence with what may not be shown hidden, at any depth; null for what is no JSON.
+
+    Values under keys that name places go, whatever they are; known keys show texts, booleans or numbers of their kind;
+    objects and lists are gone through; bare numbers and booleans in lists stay; nulls stay; all else is hidden.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(hide(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one, na_action="ignore")
+
+    return run(x)
+
+
 def warning_counts(warnings: DataFrame, code: str = "code") -> DataFrame:
     """(code, n) of warnings, by code; blank ones are unknown."""
     return warnings.groupBy(F.coalesce(F.nullif(F.trim(code), F.lit("")), F.lit("unknown")).alias(code)).agg(F.count("*").alias("n")).orderBy(code)

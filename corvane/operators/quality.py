@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import paths as P
 from ..functions.lineage import is_digest
 from ..functions.text import truthy
 
@@ -152,3 +153,28 @@ def preview(codes: Column, most: int = 5) -> Column:
 def latest_by(rows: DataFrame, key: str, order: str, keep: int) -> DataFrame:
     """The newest rows of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= keep).drop("_n")
+
+
+def conversion_plan(ledger: DataFrame, folder: str) -> DataFrame:
+    """(asset_id, code) of what keeps a ledger (asset_id, source, output, sha256, current_sha256) from being converted below folder.
+
+    Blank assets, sources and outputs, paths that leave the folder, a source that is its output, assets, sources and
+    outputs that repeat (all but the first by asset_id; assets all), and sources that changed since they were listed.
+    """
+    c, top = F.col, F.lit(folder)
+    rows = ledger.select("asset_id", F.trim(F.coalesce("source", F.lit(""))).alias("source"), F.trim(F.coalesce("output", F.lit(""))).alias("output"), F.lower(F.trim(F.coalesce("sha256", F.lit("")))).alias("listed"), F.lower(F.coalesce("current_sha256", F.lit(""))).alias("now"))
+    rows = rows.withColumn("from", P.in_folder(top, c("source"))).withColumn("to", P.in_folder(top, c("output")))
+    rules = [
+        rule((c("source") == ""), "SOURCE_BLANK"),
+        rule((c("output") == ""), "OUTPUT_BLANK"),
+        rule((c("source") != "") & c("from").isNull(), "SOURCE_OUTSIDE"),
+        rule((c("output") != "") & c("to").isNull(), "OUTPUT_OUTSIDE"),
+        rule(F.coalesce(c("from") == c("to"), F.lit(False)), "SAME_PATH"),
+        rule((c("listed") != "") & (c("listed") != c("now")), "SOURCE_CHANGED"),
+    ]
+    own = check_rows(rows, "asset_id", rules).select("asset_id", "code")
+    again = rows.groupBy("asset_id").agg(F.count("*").alias("n")).where("n > 1").select("asset_id", F.lit("ASSET_REPEATED").alias("code"))
+    for path, code in (("from", "SOURCE_REPEATED"), ("to", "OUTPUT_REPEATED")):
+        placed = rows.where(c(path).isNotNull()).select("asset_id", path)
+        again = again.unionByName(duplicates(placed, path, "asset_id").select("asset_id", F.lit(code).alias("code")))
+    return own.unionByName(again)

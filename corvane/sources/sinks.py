@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .media import png_bytes
+
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], sep: str = ",") -> None:
     """Columns in this order, with a header; nulls are empty."""
@@ -66,6 +68,17 @@ def encode_wav(rows: DataFrame, key: str, samples: str, rate: int = 48_000) -> D
     return rows.select(key, samples).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, content binary")
 
 
+def encode_png(rows: DataFrame, key: str, samples: str, width: int) -> DataFrame:
+    """(key, content): each row's samples, from -1 to 1, as a grey picture of so many columns; what doesn't fill a line goes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pixels = [((np.clip(np.asarray(x, float), -1, 1) + 1) * 127.5).astype(np.uint8)[: len(x) // width * width].tobytes() for x in b[samples]]
+            yield pd.DataFrame({key: b[key], "content": [png_bytes(p, width) for p in pixels]})
+
+    return rows.select(key, samples).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, content binary")
+
+
 def expired(files: DataFrame, now: str, seconds: int) -> DataFrame:
     """Files (path, modified) older than so many seconds at a time."""
     return files.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("modified") > seconds)

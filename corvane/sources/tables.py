@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import paths as P
+
 MANIFEST = [
     "sample_id", "dataset_version", "split", "speaker_id", "sentence_id", "reference_text", "reference_normalized", "source_type", "clean_path", "noise_path", "mixed_path", "noise_type", "noise_source",
     "consent_or_license", "snr_db", "mix_seed", "noise_offset_seconds", "mix_alpha", "final_gain", "sample_rate", "channels", "duration_seconds", "recording_device", "recording_distance_cm", "sha256",
@@ -56,6 +58,18 @@ def read_csv(spark: SparkSession, path: str, required: list[str], sep: str = ","
     return rows.select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in names])
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, original_path, enhanced_path) of a pair list; relative paths start in the list's folder, all are in normal form.
+
+    A blank sample_id is a SourceError.
+    """
+    rows = read_csv(spark, path, ["sample_id", "original_path", "enhanced_path"])
+    if not rows.where("sample_id = ''").isEmpty():
+        raise SourceError(f"{path}: a sample_id is blank")
+    folder = F.lit(path.rpartition("/")[0] or ".")
+    return rows.select("sample_id", *[P.resolved(folder, F.col(c)).alias(c) for c in ("original_path", "enhanced_path")])
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of files, hashed where they are read."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
