@@ -32,7 +32,7 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "title", "template", "iframe", "noframes", "noembed")}
 #: Elements that begin and end blocks; all others, unknown ones too, lie within a line.
 BLOCK = frozenset(
-    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
+    "address article aside blockquote body button caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
     "noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -395,8 +395,8 @@ def drawn_page(r: random.Random) -> tuple[str, list[str]]:
 
     def article() -> str:
         got = []
-        if r.random() < 0.85:
-            got.append(f"<h1>{keep(words(2, 12).capitalize())}</h1>" if r.random() < 0.8 else f"<header><h1>{keep(words(2, 12).capitalize())}</h1></header>")
+        if r.random() < 0.85 and not main:
+            got.append(r.choice([bare_title, bare_title, bare_title, lambda: f"<header>{bare_title()}</header>", headed_title])())
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
             kind = r.random()
             text = " ".join(sentence(1, 25) for _ in range(r.choice([1, 1, 2, 4, 8])))
@@ -418,13 +418,37 @@ def drawn_page(r: random.Random) -> tuple[str, list[str]]:
                 got.append(f"<figure><figcaption>{keep(sentence())}</figcaption></figure>")
             if r.random() < 0.06:
                 got.append(chrome(r.choice(["advert", "share", "sidebar", "form", "notice"])))
+            if r.random() < 0.06:
+                got.append(control())
         return "".join(got)
 
+    def bare_title() -> str:
+        return f"<h1>{keep(words(2, 12).capitalize())}</h1>"
+
+    def headed_title() -> str:
+        """A title in a header of the article, not of the page."""
+        return f'<{(t := r.choice(["div", "header", "section"]))} class="{r.choice(["article", "entry", "post", "story"])}{r.choice(["-", "_", "__"])}{r.choice(["header", "header", "head", "title"])}">{bare_title()}</{t}>'
+
+    def control() -> str:
+        """Parts of a form that stand by themselves."""
+        return r.choice([lambda: f"<button>{words(1, 3)}</button>", lambda: f"<p>{keep(sentence())} <button type='button'>{words(1, 2)}</button></p>", lambda: "<select>" + "".join(f"<option>{words(1, 3)}</option>" for _ in range(r.randint(1, 4))) + "</select>", lambda: f"<textarea>{words(1, 8)}</textarea>"])()
+
+    if r.random() < 0.12:  # a short page of nothing but text
+        drawing = r.choice(["", "", "<svg viewBox='0 0 1 1'><path d='M0'/></svg>", "<img src=x>"])
+        line = lambda: keep(r.choice([sentence(1, 25), sentence(1, 25), words(1, 12)]))
+        if r.random() < 0.2:
+            out.append(r.choice([bare_title, headed_title])())
+        for _ in range(r.randint(1, 3)):
+            out += [r.choice([lambda: f"<p>{line()}</p>", lambda: f"<p>{line()}", lambda: f"<div>{line()}</div>"])(), drawing]
+        return "".join(out) + r.choice(["", "</body></html>"]), main
+
     before = [k for k, p in (("notice", 0.2), ("header", 0.5), ("menu", 0.75), ("advert", 0.4), ("form", 0.2), ("sidebar", 0.15)) if r.random() < p]
     after = [k for k, p in (("share", 0.25), ("sidebar", 0.4), ("comments", 0.4), ("advert", 0.25), ("form", 0.15), ("menu", 0.15), ("notice", 0.1), ("footer", 0.8)) if r.random() < p]
     if r.random() < 0.3:
         r.shuffle(before)
     out += [chrome(k) for k in before]
+    if r.random() < 0.1:
+        out.append(headed_title())
     tag, attr = r.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("div", ' class="entry-content"'), ("section", ' class="story"'), ("div", ' class="post-text"'), ("td", "")])
     wrap = r.choice(["", "", "<main>", '<div class="container">', '<div id="page">'])
     out += [wrap, f"<{tag}{attr}>", article()]

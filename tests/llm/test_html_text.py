@@ -118,3 +118,18 @@ def test_whole_articles_of_the_test_pages(spark):
         s = re.search(r"<article>(.*?)(</article>|\Z)", p["html"], re.S)[1]
         s = re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", s))
         assert H.main_text(p["html"], H.trained()) == " ".join(html.unescape(s).split())
+
+
+def test_form_parts_titles_and_short_pages():
+    f = H.trained()
+    body = "<article><h1>Title</h1><p>Body text of some length stands here, and it goes on.</p>{}<p>And more of it follows here.</p></article><footer>&copy; me</footer>"
+    want = "Title Body text of some length stands here, and it goes on. And more of it follows here."
+    for part in ("<select><option>pick</option><option>another</option></select>", "<button>Buy now</button>", "<textarea>type here</textarea>", "<form><label>Name</label><input><button>Go</button></form>"):
+        assert H.main_text(body.format(part), f) == want, part
+    for name in ("article-header", "entry-header", "post-header"):
+        page = f"<nav><a href=/>Home</a></nav><div class='{name}'><h1>Title of the story</h1></div><div class='content'><p>Body text of some length stands here.</p></div><footer>&copy; me</footer>"
+        assert H.main_text(page, f) == "Title of the story Body text of some length stands here.", name
+        page = f"<nav><a href=/>Home</a></nav><article><header class='{name}'><h1>Title of the story</h1></header><p>Body text of some length stands here.</p></article>"
+        assert H.main_text(page, f) == "Title of the story Body text of some length stands here.", name
+    assert H.main_text("<p>One short page.</p><svg><path d='M0'/></svg><p>It has no menu at all.</p>", f) == "One short page. It has no menu at all."
+    assert H.main_text("<p>A single line</p>", f) == "A single line"
