@@ -55,6 +55,21 @@ def identity(table: DataFrame, *columns: str) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), together(of_group).alias("identity"))
 
 
+def code_fingerprint(files: DataFrame, bundle: str, paths: list[str]) -> DataFrame:
+    """(bundle, fingerprint): SHA-256 over a bundle's listed files (bundle, path, content: binary), in the list's order.
+
+    Each path and what it holds end with a zero byte; a listed file that isn't there, or whose content is null, is
+    "<missing>". Of files that share a path the least content counts. Only listed files are gathered, one content for each
+    entry of the list.
+    """
+    held = files.where(F.col("path").isin(paths)).groupBy(bundle, "path").agg(F.min("content").alias("content"))
+    there = held.groupBy(bundle).agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("held"))
+    zero = F.unhex(F.lit("00"))
+    parts = [x for p in paths for x in (F.encode(F.lit(p), "UTF-8"), zero, F.coalesce(F.try_element_at("held", F.lit(p)), F.encode(F.lit("<missing>"), "UTF-8")), zero)]
+    every = files.select(bundle).distinct().join(there, bundle, "left")
+    return every.select(bundle, F.sha2(F.concat(F.unhex(F.lit("")), *parts), 256).alias("fingerprint"))
+
+
 def byte_range(header: Column, size: Column) -> Column:
     """struct<status, first, last> for an HTTP range header over size bytes: 200 whole, 206 part, 416 unsatisfiable."""
     whole = F.struct(F.lit(200).alias("status"), F.lit(0).cast("long").alias("first"), F.greatest(size - 1, F.lit(0).cast("long")).alias("last"))

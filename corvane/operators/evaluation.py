@@ -86,24 +86,37 @@ def coverage(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     return missing.unionByName(have.select(key).distinct().join(want.select(key), key, "left_anti").withColumn("side", F.lit("unexpected")))
 
 
+def mixes(speakers: DataFrame, sentences: list[str] = SENTENCES, noises: list[str] = NOISES, snrs: list[int] = SNRS, locked: str = "S03") -> DataFrame:
+    """(speaker, sentence, noise, snr, split): every speaker (speaker, i from 0) with each sentence at each SNR.
+
+    Noises follow a Latin square: in a row of as many speakers or sentences as there are noises, each occurs once. The
+    short lists are unfolded beside the speakers' rows; nothing is joined.
+    """
+    said = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("sentence")) for j, x in enumerate(sentences)])
+    rows = speakers.select("speaker", "i", F.inline(said)).select("*", F.explode(F.array(*map(F.lit, snrs))).alias("snr"))
+    noise = F.element_at(F.array(*map(F.lit, noises)), ((F.col("i") + F.col("j")) % len(noises) + 1).cast("int"))
+    return rows.select("speaker", "sentence", noise.alias("noise"), "snr", F.when(F.col("sentence") == locked, "locked_test").otherwise("dev").alias("split"))
+
+
 def matrix(spark: SparkSession) -> DataFrame:
-    """The 27 mixes: speaker, sentence, noise by the Latin square, snr, split. 3 x 3 x 3 by construction."""
-    axis = lambda name, values, kind: spark.createDataFrame(list(enumerate(values)), f"{name}_i int, {name} {kind}")
-    grid = axis("speaker", SPEAKERS, "string").crossJoin(axis("sentence", SENTENCES, "string")).crossJoin(axis("snr", SNRS, "int"))
-    noise = F.element_at(F.array(*map(F.lit, NOISES)), (F.col("speaker_i") + F.col("sentence_i")) % 3 + 1)
-    return grid.select("speaker", "sentence", noise.alias("noise"), "snr", F.when(F.col("sentence") == "S03", "locked_test").otherwise("dev").alias("split"))
+    """The 27 mixes of the fixed speakers, sentences and SNRs."""
+    return mixes(spark.createDataFrame(list(enumerate(SPEAKERS)), "i int, speaker string"))
 
 
-def artifacts(spark: SparkSession) -> DataFrame:
-    """(kind, path, split) of all 42 files: clean takes, noises, mixes, real takes."""
-    m = matrix(spark)
+def artifacts_of(mixed: DataFrame, real: DataFrame) -> DataFrame:
+    """(kind, path, split) of all files that mixes() and real takes (speaker, noise) need: clean takes, noises, mixes, real takes."""
     low = F.lower("sentence")
-    snr = F.when(F.col("snr") == 5, "snrp05").when(F.col("snr") == 0, "snr000").otherwise("snrm05")
-    clean = m.select("speaker", "sentence").distinct().select(F.lit("clean").alias("kind"), F.concat(F.lit("raw/clean/spk"), "speaker", F.lit("/clean_spk"), "speaker", F.lit("_"), low, F.lit(".wav")).alias("path"), F.lit("").alias("split"))
-    noise = m.select("noise").distinct().select(F.lit("noise"), F.concat(F.lit("raw/noise/noise_"), "noise", F.lit("_take01.wav")), F.lit(""))
-    mix = m.select(F.lit("mix"), F.concat(F.lit("controlled/"), "split", F.lit("/mix_spk"), "speaker", F.lit("_"), low, F.lit("_"), "noise", F.lit("_"), snr, F.lit(".wav")), F.col("split"))
-    real = spark.createDataFrame(list(REAL.items()), "speaker string, noise string").select(F.lit("real"), F.concat(F.lit("raw/real/real_spk"), "speaker", F.lit("_"), "noise", F.lit("_r01.wav")), F.lit("real"))
-    return clean.union(noise).union(mix).union(real)
+    snr = F.concat(F.when(F.col("snr") > 0, "snrp").when(F.col("snr") < 0, "snrm").otherwise("snr0"), F.lpad(F.abs("snr").cast("string"), 2, "0"))
+    clean = mixed.select("speaker", "sentence").distinct().select(F.lit("clean").alias("kind"), F.concat(F.lit("raw/clean/spk"), "speaker", F.lit("/clean_spk"), "speaker", F.lit("_"), low, F.lit(".wav")).alias("path"), F.lit("").alias("split"))
+    noise = mixed.select("noise").distinct().select(F.lit("noise"), F.concat(F.lit("raw/noise/noise_"), "noise", F.lit("_take01.wav")), F.lit(""))
+    mix = mixed.select(F.lit("mix"), F.concat(F.lit("controlled/"), "split", F.lit("/mix_spk"), "speaker", F.lit("_"), low, F.lit("_"), "noise", F.lit("_"), snr, F.lit(".wav")), F.col("split"))
+    takes = real.select(F.lit("real"), F.concat(F.lit("raw/real/real_spk"), "speaker", F.lit("_"), "noise", F.lit("_r01.wav")), F.lit("real"))
+    return clean.union(noise).union(mix).union(takes)
+
+
+def artifacts(spark: SparkSession) -> DataFrame:
+    """artifacts_of() the fixed matrix: all 42 files."""
+    return artifacts_of(matrix(spark), spark.createDataFrame(list(REAL.items()), "speaker string, noise string"))
 
 
 def blind_assignments(pairs: DataFrame, raters: list[str], order: str, phase: int = 0) -> DataFrame:

@@ -14,36 +14,52 @@ from . import sessions as S
 #: What a file may be, and what a session holds.
 SUFFIXES = [".txt", ".md", ".pptx", ".docx", ".pdf"]
 MAX_BYTES, MAX_CHARS, MAX_FILES, MAX_SECTIONS = 25 << 20, 500_000, 10, 16
+SLICES = 64
 TRIGGERS = ["question", "manual_answer", "manual_next", "next_line", "manual"]
 
 
 def ingest(files: DataFrame, documents: DataFrame | None = None, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks, problems) that a batch of files (path, content: binary) adds; nothing is added if there is any problem.
+    """(documents, chunks, problems) that one batch of files (path, content: binary) adds; see ingest_all()."""
+    one = lambda d: d if d is None else d.withColumn("_batch", F.lit(0))
+    return tuple(t.drop("_batch") for t in ingest_all(one(files), "_batch", one(documents), max_bytes, max_chars, max_files))
 
-    A document is its content: copies in the batch are one (the first path's), and what documents (document_id) holds
-    already is passed over. problems: path, reason (suffix, empty, size, unreadable, chars, files). documents:
-    document_id, name, kind, sha256, chunk_count. chunks: as retrieval.chunk(). A null content is empty.
+
+def ingest_all(files: DataFrame, batch: str, documents: DataFrame | None = None, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, problems) that batches of files (batch, path, content: binary) add, each to a knowledge base of its own.
+
+    Nothing of a batch is added if there is any problem in it; others don't suffer. A document is its content: copies in a
+    batch are one (the first path's), and what documents (batch, document_id) holds already is passed over. problems:
+    batch, path, reason (suffix, empty, size, unreadable, chars, files). documents: batch, document_id, name, kind, sha256,
+    chunk_count. chunks: batch and the columns of retrieval.chunk(). A null content is empty; files of no batch (null) are
+    left out. A batch's files are counted, not gathered.
     """
     c = F.col
-    rows = files.select("path", "content", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).alias("suffix"), F.coalesce(F.length("content"), F.lit(0)).alias("size"), F.sha2("content", 256).alias("sha256"))
+    rows = files.where(c(batch).isNotNull()).select(batch, "path", "content", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).alias("suffix"), F.coalesce(F.length("content"), F.lit(0)).alias("size"), F.sha2("content", 256).alias("sha256"))
     reason = F.when(~c("suffix").isin(SUFFIXES), "suffix").when(c("size") == 0, "empty").when(c("size") > max_bytes, "size")
-    rows = rows.withColumn("reason", reason).withColumn("document_id", F.left("sha256", F.lit(16)))
-    fresh = rows.where("reason IS NULL").groupBy("document_id").agg(F.min_by(F.struct("path", "content", "suffix", "sha256"), "path").alias("f")).select("document_id", "f.*")
+    rows = rows.withColumn("reason", reason)
+    fresh = rows.where("reason IS NULL").groupBy(batch, F.left("sha256", F.lit(16)).alias("own_id")).agg(F.min_by(F.struct("path", "content", "suffix", "sha256"), "path").alias("f")).select(batch, "own_id", "f.*")
     if documents is not None:
-        fresh = fresh.join(documents.select("document_id"), "document_id", "left_anti")
+        fresh = fresh.join(documents.select(batch, c("document_id").alias("own_id")), [batch, "own_id"], "left_anti")
+    # one id for a document of a batch, while units and chunks are made
+    fresh = fresh.withColumn("document_id", F.concat(c(batch).cast("string"), F.lit("/"), "own_id"))
     units = read_units(fresh)
     long = units.groupBy("document_id").agg(F.sum(F.length("text")).alias("chars")).where(c("chars") > max_chars)
     closed = read_office(fresh.where(~c("suffix").isin(".txt", ".md"))).where("problem LIKE 'refused%'").select("document_id").distinct()
-    path_of = lambda d, why: d.join(fresh.select("document_id", "path"), "document_id").select("path", F.lit(why).alias("reason"))
-    held = fresh.agg(F.count("*").alias("n")) if documents is None else fresh.agg(F.count("*").alias("n")).crossJoin(documents.agg(F.count("*").alias("m"))).select((c("n") + c("m")).alias("n"))
-    many = held.where(c("n") > max_files).select(F.lit("").alias("path"), F.lit("files").alias("reason"))
-    problems = rows.where("reason IS NOT NULL").select("path", "reason").unionByName(path_of(closed, "unreadable")).unionByName(path_of(long, "chars")).unionByName(many)
-    clear = F.broadcast(problems.agg((F.count("*") == 0).alias("clear")))  # one row
-    chunks = R.chunk(units)
+    path_of = lambda d, why: d.join(fresh.select("document_id", batch, "path"), "document_id").select(batch, "path", F.lit(why).alias("reason"))
+    held = fresh.groupBy(batch).agg(F.count("*").alias("n"))
+    if documents is not None:
+        held = held.join(documents.groupBy(batch).agg(F.count("*").alias("m")), batch, "left").select(batch, (c("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    many = held.where(c("n") > max_files).select(batch, F.lit("").alias("path"), F.lit("files").alias("reason"))
+    problems = rows.where("reason IS NOT NULL").select(batch, "path", "reason").unionByName(path_of(closed, "unreadable")).unionByName(path_of(long, "chars")).unionByName(many)
+    # a batch may hold most of all rows, so its documents meet its verdict in so many slices
+    slices = lambda d: d.withColumn("_slice", F.pmod(F.xxhash64("document_id"), F.lit(SLICES)).cast("int"))
+    faulty = problems.select(batch).distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    chunks = R.chunk(units).join(fresh.select("document_id", batch, "own_id"), "document_id")
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     name = T.bounded(F.regexp_extract("path", r"([^/]+)$", 1), 180)
-    new = fresh.join(counts, "document_id", "left").select("document_id", name.alias("name"), F.substring("suffix", 2, 9).alias("kind"), "sha256", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    only = lambda d: d.crossJoin(clear).where("clear").drop("clear")
+    new = fresh.join(counts, "document_id", "left").select(batch, c("own_id").alias("document_id"), name.alias("name"), F.substring("suffix", 2, 9).alias("kind"), "sha256", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    chunks = chunks.select(batch, c("own_id").alias("document_id"), "locator", "ordinal", F.concat_ws(":", "own_id", c("ordinal").cast("string")).alias("chunk_id"), "text")
+    only = lambda d: slices(d).join(faulty, [batch, "_slice"], "left_anti").drop("_slice")
     return only(new), only(chunks), problems
 
 
@@ -61,20 +77,20 @@ def listing(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def meeting_map(spark: SparkSession, agenda: list[str], focus: list[str], chunks: DataFrame) -> DataFrame:
     """(section, title, points) of an agenda, sixteen entries at most; without one, of the focus points as one section.
 
-    An entry's own points count; else what retrieval finds under its title (chunks: chunk_id, document_id, locator,
-    ordinal, text); else the title stands for itself. Empty entries are left out, numbers stay those of the agenda.
+    An entry's own points count; else what retrieval finds under its title (chunks: chunk_id, document_id, locator, text);
+    else the title stands for itself. Empty entries are left out, numbers stay those of the agenda. All sections are
+    ranked in one plan: chunks are tokenised once, whatever the number of sections.
     """
     entries = agenda[:MAX_SECTIONS] or (["会议重点：" + "；".join(focus[:6])] if focus else [])
     e = F.col("entry")
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(entries)], "section int, entry string").select("section", T.agenda_title(e).alias("title"), T.agenda_points(e).alias("points")).where("title <> ''")
-    out = rows.where(F.size("points") > 0)
-    for r in rows.where(F.size("points") == 0).collect():  # sixteen at most
-        hits = R.retrieve(chunks, r["title"], top_k=10, max_chars=8000).select("chunk_id", F.col("excerpt").alias("text"), F.substring("ref_id", 2, 9).cast("int").alias("ordinal"))
-        points = R.section_points(hits.join(chunks.select("chunk_id", "locator"), "chunk_id"), r["title"])
-        found = points.agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "text"))), lambda p: p["text"]).alias("points"))
-        own = T.bounded(F.lit(r["title"]), 160)
-        out = out.unionByName(found.select(F.lit(r["section"]).alias("section"), F.lit(r["title"]).alias("title"), F.when(F.size("points") > 0, F.slice("points", 1, 6)).otherwise(F.array(own)).alias("points")))
-    return out
+    asked = rows.where(F.size("points") == 0).select("section", F.col("title").alias("query"))
+    hits = evidence(asked, chunks, "section", top_k=10, phrase_bonus=R.PHRASE_BONUS)
+    records = excerpts(hits, chunks.select("chunk_id", "locator", "text"), "section", 8000).join(F.broadcast(rows.select("section", "title")), "section")
+    points = R.points_of(records.select("section", "title", F.col("rank").alias("ordinal"), "locator", F.col("excerpt").alias("text")), "section")
+    found = points.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "text"))), lambda p: p["text"]).alias("found"))
+    own = F.array(T.bounded(F.col("title"), 160))
+    return rows.join(F.broadcast(found), "section", "left").select("section", "title", F.when(F.size("points") > 0, F.col("points")).otherwise(F.coalesce(F.slice("found", 1, 6), own)).alias("points"))
 
 
 def task(trigger: Column, remaining: Column, next_title: Column, closing_allowed: Column) -> Column:
@@ -119,20 +135,42 @@ def requests(turns: DataFrame, progress: DataFrame, session: str, order: str, tr
     )
 
 
-def evidence(queries: DataFrame, chunks: DataFrame, key: str, top_k: int = 4, per_document: int = 3) -> DataFrame:
-    """(key, rank, chunk_id, document_id, score) for many queries (key, query) at once: BM25 without the phrase bonus, capped by document.
+def evidence(queries: DataFrame, chunks: DataFrame, key: str, top_k: int = 4, per_document: int = 3, phrase_bonus: float = 0.0) -> DataFrame:
+    """(key, rank, chunk_id, document_id, score) for many queries (key, query) at once: BM25, capped by document.
 
-    Postings of the queries' terms meet the terms by a join; a query's hits are ranked by themselves.
+    Postings of the queries' terms meet the terms by a join; a query's hits are ranked by themselves. With a phrase_bonus
+    the queries must be few (an agenda): their texts go to every chunk as one row, and a chunk that holds a whole query of
+    four characters or more gets the bonus.
     """
-    q = queries.select(key, F.explode(T.tokens(T.bounded(F.col("query"), 4000))).alias("term")).groupBy(key, "term").agg(F.least(F.count("*"), F.lit(2)).alias("w"))
-    rows = chunks.select("chunk_id", "document_id", T.tokens(F.col("text")).alias("t"))
+    text = T.bounded(F.col("query"), 4000)
+    q = queries.select(key, F.explode(T.tokens(text)).alias("term")).groupBy(key, "term").agg(F.least(F.count("*"), F.lit(2)).alias("w"))
+    rows = chunks.select("chunk_id", "document_id", T.tokens(F.col("text")).alias("t"), "text")
+    said = F.array().cast(f"array<{dict(queries.dtypes)[key]}>")
+    if phrase_bonus:
+        phrases = queries.select(key, T.folded(T.clean(text)).alias("phrase")).where(F.length("phrase") >= 4)
+        rows = rows.crossJoin(F.broadcast(phrases.agg(F.collect_list(F.struct(key, "phrase")).alias("phrases"))))  # one row
+        said = F.array_sort(F.transform(F.filter("phrases", lambda p: F.instr(T.folded(F.col("text")), p["phrase"]) > 0), lambda p: p[key]))
     stats = F.broadcast(chunks.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("text"))).alias("mean")))  # one row
-    tf = rows.select("chunk_id", "document_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "document_id", "length", "term").agg(F.count("*").alias("tf"))
+    rows = rows.select("chunk_id", "document_id", said.alias("said"), "t")  # a step of its own: beside explode() it would run for every token
+    rows = rows.select("chunk_id", "document_id", "said", F.size("t").alias("length"), F.explode("t").alias("term"))
+    tf = rows.join(q.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "document_id", "said", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = tf.join(df, "term").join(q, "term").crossJoin(stats)
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("length") / F.greatest(F.col("mean"), F.lit(1.0)))) * F.col("w")
-    scored = hits.groupBy(key, "chunk_id", "document_id").agg(R.ordered_sum("term", part).alias("score"))
+    scored = hits.groupBy(key, "chunk_id", "document_id", F.array_contains("said", F.col(key)).alias("whole")).agg(R.ordered_sum("term", part).alias("score"))
+    scored = scored.withColumn("score", F.col("score") + F.when(F.col("whole"), F.lit(float(phrase_bonus))).otherwise(0.0))
     best = [F.desc("score"), F.asc(F.col("chunk_id").cast("string"))]
     capped = scored.withColumn("_d", F.row_number().over(W.partitionBy(key, "document_id").orderBy(*best))).where(F.col("_d") <= per_document)
     return capped.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*best))).where(F.col("rank") <= top_k).select(key, "rank", "chunk_id", "document_id", "score")
+
+
+def excerpts(hits: DataFrame, chunks: DataFrame, key: str, max_chars: int = 2200) -> DataFrame:
+    """hits (key, rank, chunk_id) with the chunks' other columns and an excerpt instead of the text: redacted, best first, while each key's budget of characters lasts.
+
+    Only the last excerpt of a key can be cut; ranks stay.
+    """
+    shown = chunks.join(hits, "chunk_id").withColumn("excerpt", T.redact(F.col("text"))).drop("text")
+    before = F.coalesce(F.sum(F.length("excerpt")).over(W.partitionBy(key).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shown = shown.withColumn("before", before).where(F.col("before") < max_chars)
+    return shown.withColumn("excerpt", F.left("excerpt", (F.lit(max_chars) - F.col("before")).cast("int"))).drop("before")

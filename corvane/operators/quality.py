@@ -178,3 +178,83 @@ def conversion_plan(ledger: DataFrame, folder: str) -> DataFrame:
         placed = rows.where(c(path).isNotNull()).select("asset_id", path)
         again = again.unionByName(duplicates(placed, path, "asset_id").select("asset_id", F.lit(code).alias("code")))
     return own.unionByName(again)
+
+
+def consent_problems(ledger: DataFrame, expected: DataFrame, originals: DataFrame, root: str, masters: str = "source_original") -> DataFrame:
+    """(asset_id, code) of all that keeps a consent ledger from covering the expected assets exactly.
+
+    ledger: asset_id, source_original_path, relative_path, consent_status, source_original_sha256, standardized_sha256;
+    expected: asset_id, path, sha256 (of the standardised file); originals: path, sha256. Paths are absolute, or start in
+    root. Codes: ASSET_BLANK, ASSET_REPEATED, ASSET_MISSING, ASSET_UNEXPECTED; of rows that meet an asset CONSENT, PATH,
+    SOURCE_BLANK, SOURCE_OUTSIDE (of the masters' folder), SOURCE_MISSING, SOURCE_DIGEST and STANDARD_DIGEST (none),
+    SOURCE_CHANGED, STANDARD_CHANGED. A null is blank; a repeated id is reported once and its rows are judged each.
+    An expected id or an original's path that is listed twice counts by its least path and digest. No rows, no problems
+    but what is missing.
+    """
+    c = F.col
+    text = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    top = P.normal(F.lit(root))
+    absolute = lambda x: P.resolved(top, x)
+    names = ["source_original_path", "relative_path", "consent_status", "source_original_sha256", "standardized_sha256"]
+    rows = ledger.select(text(c("asset_id")).alias("asset_id"), *[text(c(n)).alias(n) for n in names])
+    known = rows.where("asset_id <> ''")
+    want = expected.groupBy("asset_id").agg(F.min(F.struct(absolute(c("path")).alias("path"), F.lower("sha256").alias("sha256"))).alias("want"))
+    there = originals.groupBy(absolute(c("path")).alias("original")).agg(F.min(F.lower("sha256")).alias("original_sha256"))
+    code = lambda d, name: d.select("asset_id", F.lit(name).alias("code"))
+    joined = known.withColumn("original", F.when(c("source_original_path") != "", absolute(c("source_original_path")))).join(want, "asset_id").join(there, "original", "left")
+    folder = P.normal(F.concat(top, F.lit("/" + masters)))
+    inside = P.within(folder, c("original"))
+    source, standard = F.lower("source_original_sha256"), F.lower("standardized_sha256")
+    found = inside & c("original_sha256").isNotNull()
+    rules = [
+        rule(F.lower("consent_status") != "yes", "CONSENT"),
+        rule(absolute(c("relative_path")) != c("want.path"), "PATH"),
+        rule(c("source_original_path") == "", "SOURCE_BLANK"),
+        rule(F.coalesce(~inside, F.lit(False)), "SOURCE_OUTSIDE"),
+        rule(F.coalesce(inside & c("original_sha256").isNull(), F.lit(False)), "SOURCE_MISSING"),
+        rule(~is_digest(source), "SOURCE_DIGEST"),
+        rule(~is_digest(standard), "STANDARD_DIGEST"),
+        rule(F.coalesce(found & is_digest(source) & (source != c("original_sha256")), F.lit(False)), "SOURCE_CHANGED"),
+        rule(is_digest(standard) & ~standard.eqNullSafe(c("want.sha256")), "STANDARD_CHANGED"),
+    ]
+    out = check_rows(joined, "asset_id", rules).select("asset_id", "code")
+    for part in (
+        code(rows.where("asset_id = ''"), "ASSET_BLANK"),
+        code(repeated(known, "asset_id"), "ASSET_REPEATED"),
+        code(want.join(known, "asset_id", "left_anti"), "ASSET_MISSING"),
+        code(known.select("asset_id").distinct().join(want, "asset_id", "left_anti"), "ASSET_UNEXPECTED"),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+def licence_problems(tracked: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, code): tracked files (path, sha256: null if the file is gone) against licence records (path, public, sha256) of exactly the same path.
+
+    NO_RECORD ends the matter; else NOT_PUBLIC (anything but yes), FILE_MISSING, DIGEST. Of records that share a path the
+    last in order (line) counts, as in a mapping.
+    """
+    c = F.col
+    last = records.where("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct("public", "sha256"), "line").alias("record"))
+    joined = tracked.select("path", c("sha256").alias("now")).join(last, "path", "left")
+    has = c("record").isNotNull()
+    rules = [
+        rule(~has, "NO_RECORD"),
+        rule(has & ~c("record.public").eqNullSafe("yes"), "NOT_PUBLIC"),
+        rule(has & c("now").isNull(), "FILE_MISSING"),
+        rule(has & c("now").isNotNull() & ~c("record.sha256").eqNullSafe(c("now")), "DIGEST"),
+    ]
+    return check_rows(joined, "path", rules).select("path", "code")
+
+
+def fingerprint_problems(actual: DataFrame, expected: DataFrame, row: str, key: str, digests: list[str]) -> DataFrame:
+    """(row, field, code): digests that runs (row, key) have against those expected for the key; whatever isn't known to agree fails.
+
+    EXPECTATION_EMPTY where none is given (a key without any expectation too), else MISMATCH. Case and white space around
+    don't count; a null is empty. One row of expectations for each key; runs are judged each.
+    """
+    said = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    joined = actual.join(expected.select(key, F.struct(*digests).alias("want")), key, "left")
+    one = lambda f: F.when(said(F.col(f"want.{f}")) == "", "EXPECTATION_EMPTY").when(said(F.col(f"want.{f}")) != said(F.col(f)), "MISMATCH")
+    found = F.array(*[F.struct(F.lit(f).alias("field"), one(f).alias("code")) for f in digests])
+    return joined.select(row, F.inline(found)).where("code IS NOT NULL")

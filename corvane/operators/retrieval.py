@@ -154,31 +154,35 @@ BARE_LOCATOR = r"(?U)^(?:正文|第\s*\d+.*|段落\s*\d+|幻灯片\s*\d+)$"
 
 
 def section_points(records: DataFrame, title: str, most: int = 4) -> DataFrame:
-    """(point, text): speaking points for a section, drawn from records (ordinal, locator, text).
+    """(point, text): speaking points for one section, drawn from records (ordinal, locator, text); see points_of()."""
+    return points_of(records.select(F.lit(0).alias("section"), F.lit(title).alias("title"), "ordinal", "locator", "text"), "section", most).drop("section")
 
-    Records under the heading closest to each part of the title come first; else any whose heading matches; else the
-    first two under a real heading; else the first. Their sentences are taken in turns, one of each record, without
-    repeats.
+
+def points_of(records: DataFrame, section: str, most: int = 4) -> DataFrame:
+    """(section, point, text): speaking points for many sections at once, drawn from records (section, title, ordinal, locator, text).
+
+    Each section by itself: records under the heading closest to each part of its title come first; else any whose heading
+    matches; else the first two under a real heading; else the first. Their sentences are taken in turns, one of each
+    record, without repeats. Ordinals are distinct in a section.
     """
-    key = T.section_title(F.lit(title))
-    parts = F.filter(F.transform(F.split(F.lit(title), "以及|与|和|及|/", -1), T.section_title), lambda p: F.length(p) >= 2)
     head = F.element_at(F.split("locator", "·", -1), 1)
     has = lambda a, b: (F.instr(b, a) > 0) | (F.instr(a, b) > 0)
-    rows = records.withColumn("at", T.section_title(head)).withColumn("key", key).withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.filter(F.array(key), lambda k: k != "")))
-    rows = rows.where(~F.concat_ws("\n", "locator", F.left("text", F.lit(100))).rlike(NOISE))
-    hit = (F.col("key") != "") & (F.col("at") != "") & (has(F.col("key"), F.col("at")) | F.exists(parts, lambda p: has(p, F.col("at"))))
-    rows = rows.withColumn("hit", hit).withColumn("bare", T.clean(head).rlike(BARE_LOCATOR))
+    key = F.col("key")
+    some = F.filter(F.transform(F.split("title", "以及|与|和|及|/", -1), T.section_title), lambda p: F.length(p) >= 2)
+    rows = records.where(~F.concat_ws("\n", "locator", F.left("text", F.lit(100))).rlike(NOISE))
+    rows = rows.withColumns({"at": T.section_title(head), "key": T.section_title(F.col("title")), "parts": some})
+    hit = (key != "") & (F.col("at") != "") & (has(key, F.col("at")) | F.exists("parts", lambda p: has(p, F.col("at"))))
+    rows = rows.withColumns({"hit": hit, "bare": T.clean(head).rlike(BARE_LOCATOR), "parts": F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.filter(F.array(key), lambda k: k != ""))})
     near = rows.where("hit").select("*", F.posexplode("parts").alias("part_at", "part")).where((F.instr("at", F.col("part")) > 0) | (F.instr("part", F.col("at")) > 0))
     order = F.struct((F.col("at") != F.col("part")).alias("a"), F.abs(F.length("at") - F.length("part")).alias("b"), F.col("ordinal").alias("c"))
-    closest = near.groupBy("part_at").agg(F.min_by("ordinal", order).alias("ordinal")).groupBy("ordinal").agg(F.min("part_at").alias("place"))
-    one = W.partitionBy("class").orderBy("ordinal")
-    tagged = rows.join(closest, "ordinal", "left").withColumn("class", F.when(F.col("place").isNotNull(), 0).when(F.col("hit"), 1).when(~F.col("bare"), 2).otherwise(3))
-    tagged = tagged.withColumn("nth", F.row_number().over(one))
+    closest = near.groupBy(section, "part_at").agg(F.min_by("ordinal", order).alias("ordinal")).groupBy(section, "ordinal").agg(F.min("part_at").alias("place"))
+    tagged = rows.join(closest, [section, "ordinal"], "left").withColumn("class", F.when(F.col("place").isNotNull(), 0).when(F.col("hit"), 1).when(~F.col("bare"), 2).otherwise(3))
+    tagged = tagged.withColumn("nth", F.row_number().over(W.partitionBy(section, "class").orderBy("ordinal")))
     # unmatched records: two under a real heading, or, if there are none, the first of all
     tagged = tagged.where((F.col("class") < 2) | ((F.col("class") == 2) & (F.col("nth") <= 2)) | ((F.col("class") == 3) & (F.col("nth") == 1)))
-    chosen = tagged.join(F.broadcast(tagged.agg(F.min("class").alias("class"))), "class").withColumn("place", F.coalesce("place", "ordinal"))
+    chosen = tagged.withColumn("least", F.min("class").over(W.partitionBy(section))).where(F.col("class") == F.col("least")).withColumn("place", F.coalesce("place", "ordinal"))
     sentences = F.split(T.strip_heading(F.col("text"), F.col("locator")), r"(?U)(?<=[。！？!?；;])\s*", -1)
     points = F.array_distinct(F.filter(F.transform(sentences, lambda s: T.bounded(F.regexp_replace(s, r"^[ >\-*•\t]+", ""), 240)), lambda p: (F.length(p) >= 10) & ~p.rlike(POINT_NOISE) & (T.section_title(p) != key)))
-    flat = chosen.select("place", F.posexplode(points).alias("turn", "text"))
-    kept = flat.groupBy("text").agg(F.min(F.struct("turn", "place")).alias("o")).orderBy("o").limit(most)
-    return kept.select(F.row_number().over(W.orderBy("o")).alias("point"), "text")
+    flat = chosen.select(section, "place", F.posexplode(points).alias("turn", "text"))
+    kept = flat.groupBy(section, "text").agg(F.min(F.struct("turn", "place")).alias("o"))
+    return kept.withColumn("point", F.row_number().over(W.partitionBy(section).orderBy("o"))).where(F.col("point") <= most).select(section, "point", "text")

@@ -2,8 +2,7 @@
 
 The tables stand in for an operator's shape, not for its domain: documents are chunks, sources are documents,
 conversations are sessions, embeddings are sample arrays, events are streams. Where a rule can't fire on the tables' own
-text (questions, secrets, codes), the query puts what fires it around the tables' texts and numbers; a few fixed
-enumerations (han_tokens, the frozen matrix) have literal rows.
+text (questions, secrets, codes), the query puts what fires it around the tables' texts and numbers.
 """
 
 from __future__ import annotations
@@ -253,12 +252,17 @@ def question_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_question(text).alias("question"), T.is_closing(text).alias("closing"))
 
 
-HAN = [(1, "语音识别的结果", ["语", "音", "识", "别", "结", "果", "语音", "音识", "识别", "别的", "的结", "结果"]), (2, "我的", []), (3, "v2.0 API测试 3.14", ["v2.0", "api", "测", "试", "测试", "3.14"]), (4, "Straße", ["strasse"])]
+HAN = "语音识别的结果和我的数据是在这里"
 
 
-@query("SELECT * FROM " + values([(i, "|".join(t)) for i, _, t in HAN], "id, tokens"))
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, text, string_split(substring('{HAN}', 1 + (turn % 11)::BIGINT, 1 + (conv_id % 6)::BIGINT), '') AS h FROM conversations),
+    k AS (SELECT *, {TOKENS.format("text")} || list_filter(h, lambda c: NOT contains('{T.HAN_STOP}', c)) || list_filter(list_transform(range(1, len(h)), lambda i: h[i] || h[i + 1]), lambda p: NOT (contains('{T.HAN_STOP}', p[1]) AND contains('{T.HAN_STOP}', p[2]))) AS x FROM t)
+    SELECT conv_id, turn, len(x)::INTEGER AS n, array_to_string(x, '|') AS tokens FROM k""")
 def han_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, [r[:2] for r in HAN], "id int, text string").select("id", F.array_join(T.tokens(F.col("text")), "|").alias("tokens"))
+    han = F.substring(F.lit(HAN), (F.col("turn") % 11 + 1).cast("int"), (F.col("conv_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.concat("text", F.lit(" "), han)).alias("x"))
+    return rows.select("conv_id", "turn", F.size("x").alias("n"), F.array_join("x", "|").alias("tokens"))
 
 
 @query("SELECT doc_id, source AS title, lang || '|a' || doc_id % 5 AS points FROM documents")
@@ -336,17 +340,30 @@ def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-MATRIX = [(s, n, ["fan", "keyboard", "traffic"][(i + j) % 3], q, "locked_test" if n == "S03" else "dev") for i, s in enumerate("ABC") for j, n in enumerate(["S01", "S02", "S03"]) for q in (5, 0, -5)]
+def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("speaker"), F.col("c_custkey").alias("i"))
+
 
+MIXES = """m AS (SELECT 'c' || c_custkey AS speaker, sentence, ['fan', 'keyboard', 'traffic'][(c_custkey + j) % 3 + 1] AS noise, snr, CASE sentence WHEN 'S03' THEN 'locked_test' ELSE 'dev' END AS split
+    FROM customer, (VALUES (0, 'S01'), (1, 'S02'), (2, 'S03')) x(j, sentence), (VALUES (5), (0), (-5)) y(snr))"""
 
-@query("SELECT speaker, sentence, noise, snr, split FROM " + values(MATRIX, "speaker, sentence, noise, snr, split"))
+
+@query(f"WITH {MIXES} SELECT * FROM m")
 def latin_square_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.matrix(spark)
+    return E.mixes(_speakers(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('clean', 9), ('noise', 3), ('mix', 27), ('real', 3)) v(kind, n)")
+@query(f"""
+    WITH {MIXES},
+    a AS (SELECT DISTINCT 'clean' AS kind, 'raw/clean/spk' || speaker || '/clean_spk' || speaker || '_' || lower(sentence) || '.wav' AS path FROM m UNION ALL SELECT DISTINCT 'noise', 'raw/noise/noise_' || noise || '_take01.wav' FROM m
+        UNION ALL SELECT 'mix', 'controlled/' || split || '/mix_spk' || speaker || '_' || lower(sentence) || '_' || noise || '_' || CASE snr WHEN 5 THEN 'snrp05' WHEN 0 THEN 'snr000' ELSE 'snrm05' END || '.wav' FROM m
+        UNION ALL SELECT 'real', 'raw/real/real_spkc' || c_custkey || '_' || ['fan', 'keyboard', 'traffic'][c_custkey % 3 + 1] || '_r01.wav' FROM customer)
+    SELECT kind, count(*) AS n, count(DISTINCT path) AS paths, min(path) AS first_path, max(path) AS last_path FROM a GROUP BY kind""")
 def frozen_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.artifacts(spark).distinct().groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+    speakers = _speakers(spark, sf_dir)
+    noise = F.array(*map(F.lit, E.NOISES))[(F.col("i") % 3).cast("int")]
+    files = E.artifacts_of(E.mixes(speakers), speakers.select("speaker", noise.alias("noise")))
+    return files.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
 @query("""
@@ -764,10 +781,27 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("document_id", "name", "kind", "sha256")
 
 
-@query("SELECT '' AS path, 'files' AS reason, 0::BIGINT AS added FROM documents LIMIT 1")
+BATCHES = """
+    f AS (SELECT doc_id // 16 * 2 + CASE WHEN doc_id % 16 < 5 THEN 0 ELSE 1 END AS session, printf('%08d', doc_id) || CASE WHEN doc_id % 97 = 0 THEN '.bin' ELSE '.txt' END AS name, text, CASE WHEN doc_id % 97 = 0 THEN 'suffix' WHEN coalesce(text, '') = '' THEN 'empty' END AS reason FROM documents),
+    u AS (SELECT session, sha256(text) AS sha256, min(name) AS name FROM f WHERE reason IS NULL GROUP BY ALL),
+    p AS (SELECT session, 'in/' || name AS path, reason FROM f WHERE reason IS NOT NULL UNION ALL SELECT session, '', 'files' FROM u GROUP BY session HAVING count(*) > 10)"""
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of sessions, five and eleven by turns, each with a knowledge base of its own."""
+    d = F.col("doc_id")
+    session = F.floor(d / 16) * 2 + F.when(d % 16 < 5, 0).otherwise(1)
+    return table(spark, sf_dir, "documents").select(session.alias("session"), F.concat(F.format_string("in/%08d", d), F.when(d % 97 == 0, ".bin").otherwise(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+@query(f"WITH {BATCHES} SELECT session, left(sha256, 16) AS document_id, name, sha256 FROM u WHERE session NOT IN (SELECT session FROM p)")
+def ingest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MT.ingest_all(_batches(spark, sf_dir), "session")[0].select("session", "document_id", "name", "sha256")
+
+
+@query(f"WITH {BATCHES} SELECT * FROM p")
 def ingest_too_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, _, problems = MT.ingest(_files(spark, sf_dir))
-    return problems.crossJoin(new.agg(F.count("*").alias("added")))
+    return MT.ingest_all(_batches(spark, sf_dir), "session")[2]
 
 
 @query("""
@@ -780,13 +814,31 @@ def knowledge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.listing(documents, rest)
 
 
-PLANNED = [(0, "一、背景", "现状|问题"), (2, "zqxj vkwp", "zqxj vkwp"), (3, "Plan", "build|ship")]
+AGENDA_MAP = ["一、背景：现状；问题；现状", "  ", "zqxj vkwp", "Plan: build; ship", "the thing and that reed", "sur la nder"]
+PLANNED = [(0, "一、背景", "现状|问题"), (2, "zqxj vkwp", None), (3, "Plan", "build|ship"), (4, "the thing and that reed", None), (5, "sur la nder", None)]
 
 
-@query("SELECT section::INTEGER AS section, title, points FROM " + values(PLANNED, "section, title, points"))
+@query(rf"""
+    WITH a AS (SELECT section, title, points AS own FROM {values(PLANNED, "section, title, points")}),
+    q AS (SELECT section, lower(title) AS phrase, term, least(count(*), 2) AS w FROM (SELECT section, title, unnest({TOKENS.format("title")}) AS term FROM a WHERE own IS NULL) GROUP BY ALL),
+    d AS (SELECT doc_id::VARCHAR AS chunk_id, source AS document_id, CASE WHEN doc_id % 3 = 0 THEN '正文' ELSE 'part ' || doc_id || ' · x' END AS locator, text, {TOKENS.format("text")} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+    tf AS (SELECT chunk_id, document_id, length, term, count(*) AS tf FROM (SELECT chunk_id, document_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    sc AS (SELECT section, phrase, chunk_id, document_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean, 1.0))) * w ORDER BY term) AS s FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY ALL),
+    sb AS (SELECT section, chunk_id, document_id, locator, text, s + CASE WHEN contains(replace(lower(text), 'ß', 'ss'), phrase) THEN 4.0 ELSE 0.0 END AS score FROM sc JOIN d USING (chunk_id, document_id)),
+    few AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM sb QUALIFY row_number() OVER (PARTITION BY section, document_id ORDER BY score DESC, chunk_id) <= 3) QUALIFY rank <= 10),
+    shown AS (SELECT section, rank, locator, {redacted("text")} AS x FROM few),
+    budget AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY section ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM shown),
+    r AS (SELECT section, rank, left(x, (8000 - before)::BIGINT) AS x, CASE locator WHEN '正文' THEN 3 ELSE 2 END AS class FROM budget WHERE before < 8000),
+    c AS (SELECT section, rank, {CLEANED.format("x")} AS x FROM (SELECT *, min(class) OVER (PARTITION BY section) AS least, row_number() OVER (PARTITION BY section, class ORDER BY rank) AS nth FROM r) WHERE class = least AND nth <= 4 - class),
+    l AS (SELECT section, rank, found AS x FROM (SELECT section, rank, list_filter(list_transform(string_split(regexp_replace(x, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), chr(1)), lambda y: left({redacted(CLEANED.format("regexp_replace(y, '^[ >*•\t-]+', '')"))}, 240)), lambda y: length(y) >= 10) AS found FROM c)),
+    o AS (SELECT section, rank, text, row_number() OVER (PARTITION BY section, rank ORDER BY place) AS turn FROM (SELECT section, rank, text, min(place) AS place FROM (SELECT section, rank, unnest(x) AS text, generate_subscripts(x, 1) AS place FROM l) GROUP BY ALL)),
+    k AS (SELECT * FROM (SELECT section, text, min(struct_pack(a := turn, b := rank)) AS o FROM o GROUP BY section, text) QUALIFY row_number() OVER (PARTITION BY section ORDER BY o) <= 4),
+    f AS (SELECT section, string_agg(text, '|' ORDER BY o) AS points FROM k GROUP BY section)
+    SELECT section::INTEGER AS section, title, coalesce(own, f.points, title) AS points FROM a LEFT JOIN f USING (section)""")
 def meeting_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).withColumn("locator", F.lit("正文")).withColumn("ordinal", F.lit(1))
-    out = MT.meeting_map(spark, ["一、背景：现状；问题；现状", "  ", "zqxj vkwp", "Plan: build; ship"], [], c)
+    locator = F.when(F.col("chunk_id").cast("long") % 3 == 0, "正文").otherwise(F.concat(F.lit("part "), "chunk_id", F.lit(" · x")))
+    out = MT.meeting_map(spark, AGENDA_MAP, [], chunks(spark, sf_dir).withColumn("locator", locator))
     return out.select("section", "title", F.array_join("points", "|").alias("points"))
 
 
@@ -988,19 +1040,77 @@ def processed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HK.process(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "source", "n_chars"], _counted)
 
 
-PATHS = {"original_audio_path": "o/j/a.wav", "full_output_path": "o/j/f.wav", "mixed_output_path": "o/j/m.wav", "waveform_path": "o/j/w.png", "spectrogram_path": "o/j/s.png"}
-RESULTS = [
-    ("j", "success", PATHS, True, True, "j", "success", True), ("j", "success", PATHS, True, False, "j", "success", False), ("j", "partial", {**PATHS, "waveform_path": None}, False, False, "j", "partial", True), ("j", "success", {**PATHS, "waveform_path": None}, True, True, "j", "success", False),
-    ("j", "failed", PATHS, True, True, "j", "failed", False), ("j", "success", PATHS, True, True, "k", "success", False), ("j", "partial", {**PATHS, "full_output_path": "o/x/f.wav"}, True, True, "j", "partial", False), ("j", "partial", {**PATHS, "full_output_path": "o/j/none.wav"}, True, True, "j", "partial", False), ("z", "success", PATHS, True, True, "z", "success", False),
-]
+@query("""
+    WITH r AS (SELECT doc_id AS d, n_chars, ['success', 'partial', 'failed', 'success'][doc_id % 4 + 1] AS status FROM documents)
+    SELECT 'j' || d AS job_id, coalesce(status <> 'failed' AND d % 23 <> 0 AND d % 11 <> 0 AND d % 13 <> 0 AND n_chars % 5 > 0 AND (status = 'partial' OR (d % 3 <> 0 AND d % 5 <> 0 AND d % 7 <> 0)) AND d % 17 <> 0 AND (d % 19 <> 0 OR status = 'partial'), false) AS ok FROM r""")
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each document, broken by its number: other folders, missing and empty files, results saved by others."""
+    d = F.col("doc_id")
+    job = F.concat(F.lit("j"), d.cast("string"))
+    own = F.concat(F.lit("o/"), F.when(d % 23 == 0, "x").otherwise("j"), d.cast("string"))
+    at = lambda name, folder=own: F.concat(folder, F.lit("/" + name))
+    full = F.when(d % 11 == 0, at("f.wav", F.concat(F.lit("o/y"), d.cast("string")))).otherwise(at("f.wav"))
+    status = F.array(*map(F.lit, ["success", "partial", "failed", "success"]))[(d % 4).cast("int")]
+    paths = {"original_audio_path": at("a.wav"), "full_output_path": full, "mixed_output_path": at("m.wav"), "waveform_path": F.when(d % 3 != 0, at("w.png")), "spectrogram_path": at("s.png")}
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", job.alias("job_id"), status.alias("status"), F.create_map(*[x for k, v in paths.items() for x in (F.lit(k), v)]).alias("paths"))
+    results = rows.withColumns({"before": d % 5 != 0, "after": d % 7 != 0, "saved_job_id": F.when(d % 17 == 0, "j").otherwise(F.col("job_id")), "saved_status": F.when(d % 19 == 0, "partial").otherwise(F.col("status"))})
+    files = rows.select("doc_id", "n_chars", F.explode("paths").alias("role", "path")).where("path IS NOT NULL AND NOT (role = 'mixed_output_path' AND doc_id % 13 = 0)")
+    return AD.cached_ok(results, files.select("path", F.when(F.col("role") == "original_audio_path", F.col("n_chars") % 5).otherwise(1).alias("bytes")))
 
 
-@query("SELECT id, ok FROM " + values([(i, r[-1]) for i, r in enumerate(RESULTS)], "id, ok"))
-def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    artifacts = literal(spark, [(p, 9) for p in [*PATHS.values(), "o/x/f.wav"]], "path string, bytes long")
-    out = None
-    for i, r in enumerate(RESULTS):  # a row each, as jobs share their id here
-        rows = literal(spark, [r[:-1]], "job_id string, status string, paths map<string,string>, before boolean, after boolean, saved_job_id string, saved_status string")
-        part = AD.cached_ok(rows, artifacts).select(F.lit(i).alias("id"), "ok")
-        out = part if out is None else out.unionByName(part)
-    return out
+@query("""
+    WITH l AS (SELECT p_partkey AS p, CASE WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN p_partkey - 1 ELSE p_partkey END AS q, p_name, p_brand FROM part WHERE p_partkey % 31 <> 0),
+    e AS (SELECT p_partkey AS q, sha256(p_name) AS want FROM part WHERE p_partkey % 29 <> 0),
+    j AS (SELECT *, CASE WHEN p % 13 = 0 THEN 'blank' WHEN p % 17 = 0 THEN 'out' WHEN p % 19 = 0 THEN 'none' ELSE 'own' END AS src, CASE WHEN p % 23 = 0 THEN 'bad' WHEN p % 43 = 0 THEN 'other' ELSE 'own' END AS ssha, CASE WHEN p % 47 = 0 THEN sha256('x') WHEN p % 53 = 0 THEN '' ELSE sha256(p_name) END AS std FROM l JOIN e USING (q))
+    SELECT 'a' || q AS asset_id, 'CONSENT' AS code FROM j WHERE p % 11 = 0 UNION ALL SELECT 'a' || q, 'PATH' FROM j WHERE p % 7 = 0 OR p <> q UNION ALL SELECT 'a' || q, 'SOURCE_BLANK' FROM j WHERE src = 'blank' UNION ALL SELECT 'a' || q, 'SOURCE_OUTSIDE' FROM j WHERE src = 'out'
+    UNION ALL SELECT 'a' || q, 'SOURCE_MISSING' FROM j WHERE src = 'none' UNION ALL SELECT 'a' || q, 'SOURCE_DIGEST' FROM j WHERE ssha = 'bad' UNION ALL SELECT 'a' || q, 'STANDARD_DIGEST' FROM j WHERE std = '' UNION ALL SELECT 'a' || q, 'SOURCE_CHANGED' FROM j WHERE src = 'own' AND ssha = 'other'
+    UNION ALL SELECT 'a' || q, 'STANDARD_CHANGED' FROM j WHERE std <> '' AND std <> want UNION ALL SELECT '', 'ASSET_BLANK' FROM l WHERE q IS NULL UNION ALL SELECT 'a' || q, 'ASSET_REPEATED' FROM l WHERE q IS NOT NULL GROUP BY q HAVING count(*) > 1
+    UNION ALL SELECT 'a' || q, 'ASSET_MISSING' FROM e WHERE q NOT IN (SELECT q FROM l WHERE q IS NOT NULL) UNION ALL SELECT DISTINCT 'a' || q, 'ASSET_UNEXPECTED' FROM l WHERE q NOT IN (SELECT q FROM e)""")
+def consent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    n = p.cast("string")
+    a = lambda x: F.concat(F.lit("a"), x.cast("string"))
+    part = table(spark, sf_dir, "part")
+    ledger = part.where(p % 31 != 0).select(
+        F.when(p % 37 == 0, " ").when(p % 41 == 0, a(p - 1)).otherwise(a(p)).alias("asset_id"),
+        F.when(p % 13 == 0, "").when(p % 17 == 0, F.concat(F.lit("source_original/../"), n)).when(p % 19 == 0, F.concat(F.lit("/srv/data/source_original/none"), n)).otherwise(F.concat(F.lit("source_original/./"), n, F.lit(".wav"))).alias("source_original_path"),
+        F.when(p % 7 == 0, "std/none.wav").when(p % 5 == 0, F.concat(F.lit("./std//x/../"), n, F.lit(".wav"))).otherwise(F.concat(F.lit("std/"), n, F.lit(".wav"))).alias("relative_path"),
+        F.when(p % 11 == 0, F.lit(None)).when(p % 3 == 0, " YES").otherwise("yes").alias("consent_status"),
+        F.when(p % 23 == 0, "zz").when(p % 43 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.upper(F.sha2("p_brand", 256))).alias("source_original_sha256"),
+        F.when(p % 47 == 0, F.sha2(F.lit("x"), 256)).when(p % 53 == 0, "").otherwise(F.sha2("p_name", 256)).alias("standardized_sha256"),
+    )
+    expected = part.where(p % 29 != 0).select(a(p).alias("asset_id"), F.concat(F.lit("/srv/data/std/"), n, F.lit(".wav")).alias("path"), F.sha2("p_name", 256).alias("sha256"))
+    originals = part.select(F.concat(F.lit("source_original/"), n, F.lit(".wav")).alias("path"), F.sha2("p_brand", 256).alias("sha256"))
+    return Q.consent_problems(ledger, expected, originals, "/srv/data/")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, 'audio/' || source || '/' || doc_id || '.wav' AS path, CASE WHEN doc_id % 17 <> 0 THEN sha256(text) END AS now, CASE WHEN doc_id % 19 = 0 THEN sha256('x') ELSE sha256(text) END AS listed FROM documents)
+    SELECT path, 'NO_RECORD' AS code FROM d WHERE doc_id % 13 = 0 UNION ALL SELECT path, 'NOT_PUBLIC' FROM d WHERE doc_id % 13 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0)
+    UNION ALL SELECT path, 'FILE_MISSING' FROM d WHERE doc_id % 13 <> 0 AND now IS NULL UNION ALL SELECT path, 'DIGEST' FROM d WHERE doc_id % 13 <> 0 AND now IS DISTINCT FROM listed AND now IS NOT NULL""")
+def licence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, now = F.col("doc_id"), F.sha2("text", 256)
+    rows = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("audio/"), "source", F.lit("/"), d.cast("string"), F.lit(".wav")))
+    records = rows.where(d % 13 != 0).select("path", F.when(d % 7 == 0, "no").when(d % 11 != 0, "yes").alias("public"), F.when(d % 19 == 0, F.sha2(F.lit("x"), 256)).otherwise(now).alias("sha256"), d.alias("line"))
+    return Q.licence_problems(rows.select("path", F.when(d % 17 != 0, now).alias("sha256")), records)
+
+
+@query("""
+    WITH s AS (SELECT min(source) AS low, max(source) AS high FROM documents), d AS (SELECT doc_id, source, sha256(lang) AS config, sha256(CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE source END) AS checkpoint, low, high FROM documents, s),
+    f AS (SELECT doc_id, 'config_sha256' AS field, config AS got, CASE WHEN source <> high THEN sha256('en') END AS want FROM d UNION ALL SELECT doc_id, 'checkpoint_sha256', checkpoint, CASE WHEN source <> high AND source <> low THEN sha256(source) END FROM d)
+    SELECT doc_id, field, CASE WHEN want IS NULL THEN 'EXPECTATION_EMPTY' ELSE 'MISMATCH' END AS code FROM f WHERE want IS DISTINCT FROM got OR want IS NULL""")
+def model_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs are documents and models sources: one model is expected by no checkpoint, one not at all."""
+    d = table(spark, sf_dir, "documents")
+    runs = d.select("doc_id", "source", F.sha2("lang", 256).alias("config_sha256"), F.sha2(F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("source")), 256).alias("checkpoint_sha256"))
+    models = d.groupBy("source").agg(F.lit(1)).crossJoin(F.broadcast(d.agg(F.min("source").alias("low"), F.max("source").alias("high"))))  # one row
+    expected = models.where("source <> high").select("source", F.concat(F.lit(" "), F.upper(F.sha2(F.lit("en"), 256))).alias("config_sha256"), F.when(F.col("source") != F.col("low"), F.sha2("source", 256)).otherwise(" ").alias("checkpoint_sha256"))
+    return Q.fingerprint_problems(runs, expected, "doc_id", "source", ["config_sha256", "checkpoint_sha256"])
+
+
+@query("""
+    WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL), m AS (SELECT conv_id, map_from_entries(list((turn, text))) AS m FROM t WHERE text IS NOT NULL GROUP BY conv_id)
+    SELECT conv_id, sha256(""" + " || ".join(f"'t{i}' || chr(0) || coalesce(m[{i}], '<missing>') || chr(0)" for i in (2, 0, 1, 40)) + """) AS fingerprint FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN m USING (conv_id)""")
+def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return L.code_fingerprint(files, "conv_id", ["t2", "t0", "t1", "t40"])
