@@ -7,8 +7,8 @@ segments instead, of which e are the same in both and one more differs in at mos
 
 Similar texts (similar()) differ in more bits than segments of one fingerprint can bridge: at a similarity of 0.8 in 15 %
 of them. There a document has as many fingerprint words as it takes until RECALL of such pairs have one segment with at
-most one differing bit; keys and their join are the same, and pairs that meet are verified by their shingles' exact
-Jaccard similarity.
+most one differing bit; pairs that meet are verified by their shingles' exact Jaccard similarity. What is close links first,
+so that of large groups of copies only pairs that aren't linked yet are left.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_TEXTS, Cache, connected_components, materialize, mix64, release, rolling, small_enough, text_marks
@@ -33,8 +33,8 @@ FOREST = 16
 RECALL, CROWD = 0.95, 6
 #: Standard deviations above the mean by which similar texts may differ in their bits before their shingles are looked at.
 FAR = 3.0
-#: Buckets of more fingerprints are compared as blocks of a matrix, smaller ones place by place.
-MATRIX = 192
+#: Buckets of more fingerprints are compared as blocks of a matrix (so many rows of it at once, for pairs of two labels), smaller ones place by place.
+MATRIX, BLOCK = 192, 1024
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
@@ -289,6 +289,12 @@ def _shingled(docs: DataFrame, width: int, seed: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, m1 long, m2 long, node long, fps array<long>, shingles binary")
 
 
+def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingles) of distinct nodes, each once, written; sets: node, shingles."""
+    nodes = F.broadcast(nodes) if small_enough(nodes, BROADCAST_TEXTS) else nodes
+    return materialize(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v: nodes) whose shingles' Jaccard similarity is so high; sets: node, shingles."""
 
@@ -303,44 +309,174 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(same >= similarity * (len(both) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = F.broadcast(nodes) if small_enough(nodes, BROADCAST_TEXTS) else nodes
-    some = materialize(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    some = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), sets)
     rows = pairs.join(some.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     out = materialize(rows.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "similar")
     release(some)
     return out
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches, cut so that all rows of a key (the first column) are in one table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        first = int(np.searchsorted(key, held[-1].column(0)[0].as_py(), "right")) if held else 0
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if held and first:
+            held.append(b.slice(0, first))
+        if first < len(key):
+            if held:
+                yield pa.Table.from_batches(held)
+            if first < last:
+                yield pa.Table.from_batches([b.slice(first, last - first)])
+            held = [b.slice(max(first, last))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _first_key(differ: list[np.ndarray], key: np.ndarray | int, size: int) -> np.ndarray:
+    """Whether no earlier key brings two texts together; differ: their two fingerprint words' differences."""
+    k, i = key >> 40, key >> 32 & 255
+    met = np.zeros(differ[0].shape, bool)
+    for s in range(2 * (64 // size)):
+        word, low = divmod(s, 64 // size)
+        here = differ[word] & np.uint64(((1 << size) - 1) << (low * size))
+        met |= (s < k) & (np.bitwise_count(here) <= 1) | (s == k) & (i > 0) & (here == 0)
+    return ~met
+
+
+def _crossing(rows: DataFrame, bits: int, size: int) -> DataFrame:
+    """(grp, node, label, side) of the texts that share a key with one of another label, at most so many bits away; rows: key, label, node, fp, more.
+
+    Each group is to be tested all against all, those of side 1 or 3 against those of side 2 or 3. A group is a bucket's
+    such texts, or, of a bucket of many, those of two of its blocks. Pairs count in the first bucket they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_keys(batches):
+            key, label, node = (t.column(i).to_numpy() for i in range(3))
+            fp = [t.column(i).to_numpy().view(np.uint64) for i in (3, 4)]
+            cut = np.flatnonzero(np.diff(key)) + 1
+            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
+            mixed = label[starts] != label[ends - 1]
+            few = np.flatnonzero(np.repeat(mixed & (ends - starts <= MATRIX), ends - starts))
+            out = []  # group, rows, side
+            k, lab, f = key[few], label[few], [x[few] for x in fp]
+            found = np.zeros(len(few), bool)
+            for d in range(1, min(MATRIX, len(few))):
+                low = np.flatnonzero((k[d:] == k[:-d]) & (lab[d:] != lab[:-d]))
+                if not len(low) and not (k[d:] == k[:-d]).any():
+                    break
+                low = low[np.bitwise_count(f[0][low] ^ f[0][low + d]) + np.bitwise_count(f[1][low] ^ f[1][low + d]) <= bits]
+                low = low[_first_key([x[low] ^ x[low + d] for x in f], k[low], size)]
+                found[low] = found[low + d] = True
+            out.append((k[found], few[found], 3))
+            for a, b in zip(starts[mixed & (ends - starts > MATRIX)].tolist(), ends[mixed & (ends - starts > MATRIX)].tolist(), strict=True):
+                for i in range(a, b, BLOCK):
+                    x = np.arange(i, min(i + BLOCK, b))
+                    for j in range(i, b, BLOCK):
+                        y = np.arange(j, min(j + BLOCK, b))
+                        if label[x[0]] == label[y[-1]]:
+                            continue
+                        differ = [w[x, None] ^ w[None, y] for w in fp]
+                        near = (np.bitwise_count(differ[0]) + np.bitwise_count(differ[1]) <= bits) & (label[x, None] != label[None, y])
+                        if near.any():
+                            near &= _first_key(differ, int(key[a]), size)
+                        grp = mix64(np.array([key[a]]).view(np.uint64) + np.uint64((i - a) << 32 | (j - a) + 1)).view(np.int64)
+                        for rows, side in ((x[near.any(axis=1)], 3 if i == j else 1), (y[near.any(axis=0)] if i < j else y[:0], 2)):
+                            out.append((np.repeat(grp, len(rows)), rows, side))
+            at = np.concatenate([x[1] for x in out])
+            if len(at):
+                side = np.concatenate([np.full(len(x[1]), x[2], np.int32) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(node[at]), pa.array(label[at]), pa.array(side)], names=["grp", "node", "label", "side"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "label").mapInArrow(run, "grp long, node long, label long, side int")
+
+
+def similar_of(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of texts so similar, i of side 1 or 3, j of side 2 or 3: as many as it takes to connect labels that such pairs connect."""
+    right = np.flatnonzero(side & 2)
+    if not len(right):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    held, owner = np.concatenate([sets[j] for j in right]), np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    root, out = label.copy(), []
+    for i in np.flatnonzero(side & 1):
+        if (root[right] == root[i]).all():
+            continue
+        low, high = np.searchsorted(held, sets[i], "left"), np.searchsorted(held, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(right))
+        for j in right[same >= similarity * (sizes[i] + sizes[right] - same)]:
+            if root[i] != root[j]:
+                out.append((int(i), int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v: nodes) of a similarity so high within the groups of _crossing(), enough to connect the labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_keys(batches):
+            grp, node, label, side = (t.column(i).to_numpy() for i in range(4))
+            texts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column(4)]
+            cut = (np.flatnonzero(np.diff(grp)) + 1).tolist()
+            pairs = [(a + i, a + j) for a, b in zip([0, *cut], [*cut, len(grp)], strict=True) for i, j in similar_of(texts[a:b], label[a:b], side[a:b], similarity)]
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
+
+    some = _sets_of(members.select("node").distinct(), sets)
+    rows = members.join(some, "node").select("grp", "node", "label", "side", "shingles")
+    out = materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long"), "across")
+    release(some)
+    return out
+
+
+def _keys(size: int, segments: int, less: bool) -> Column:
+    """An array of the segments' keys: the segment's number, the bit that is taken out (if any), what is left of it."""
+    keys = []
+    for k in range(segments):
+        word, low = divmod(k, 64 // size)
+        value = F.shiftrightunsigned(F.col("fps")[word], low * size).bitwiseAND(F.lit((1 << size) - 1))
+        keys += [value.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit(k << 40 | i << 32)) for i in range(size)] if less else [value.bitwiseOR(F.lit(k << 40))]
+    return F.array(*keys)
+
+
 def similar(sets: DataFrame, n: int, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
-    """(u, v) of nodes whose sets of shingles are so similar; sets: _shingled().
+    """(u, v) of nodes whose sets of shingles are so similar: enough to connect all that meet and are; sets: _shingled().
 
-    Of the texts that meet in a bucket each is held against the closest before it and the closest behind it by their
-    fingerprints, so a group of copies gives a few edges a text, not all pairs. Of texts whose first words are the same
-    one stands for the rest, which are held against it.
+    First texts that share a whole segment are held against the closest before and the closest behind by their
+    fingerprints, and those whose first words are the same against one of them. What that links has one label. Then of
+    all texts that share a key, all pairs of two labels that are near by their fingerprints are verified, where they
+    meet first: no pair is left out, and of a group of copies few have another label.
     """
     size, segments = layout(n, similarity, recall)
     one = sets.groupBy(F.col("fps")[0].alias("fp")).agg(F.min(F.struct("node", "fps")).alias("first")).select("fp", "first.node", "first.fps")
     one = materialize(one, "fingerprints")
-    keys = []
-    for k in range(segments):
-        word, low = divmod(k, 64 // size)
-        mask = ((1 << size) - 1) << (low * size)
-        for i in range(size):
-            value = F.col("fps")[word].bitwiseAND(F.lit(_signed(mask & ~(1 << (low * size + i)))))
-            keys.append(F.xxhash64(F.lit(k * 64 + i), value))
-    rows = one.select("fp", F.col("fps")[1].alias("more"), F.explode(F.array(*keys)).alias("key")).select("key", "fp", "more")
+    rows = one.select("fp", F.col("fps")[1].alias("more"), F.explode(_keys(size, segments, False)).alias("key")).select("key", "fp", "more")
     met = _meet(rows, farthest(128, similarity), _nearest, nearest_edges, MATRIX)
-    a, b = (one.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("fps").alias(f"{x}_fps")) for x in ("u", "v"))
-    far = F.aggregate(F.zip_with("u_fps", "v_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    words = max(2, -(-segments // (64 // size)))
-    pairs = met.join(a, "u").join(b, "v").where(far <= farthest(64 * words, similarity)).select(F.col("u_node").alias("a"), F.col("v_node").alias("b"))
+    a, b = (one.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in ("u", "v"))
+    pairs = met.join(a, "u").join(b, "v").select(F.col("u_node").alias("a"), F.col("v_node").alias("b"))
     rest = sets.select(F.col("fps")[0].alias("fp"), F.col("node").alias("b")).join(one.select("fp", "node"), "fp").where("b <> node").select(F.col("node").alias("a"), "b")
     pairs = pairs.unionByName(rest).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
-    out = _verified(pairs, sets.select("node", "shingles"), similarity)
+    texts = sets.select("node", "shingles")
+    close = _verified(pairs, texts, similarity)
     release(one, pairs)
-    return out
+    nodes = sets.groupBy("node").agg(F.first("fps").alias("fps")).join(connected_components(close), "node", "left")
+    rows = nodes.select("node", F.coalesce("component", "node").alias("label"), F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("more"), F.explode(_keys(size, segments, True)).alias("key"))
+    members = materialize(_crossing(rows.select("key", "label", "node", "fp", "more"), farthest(128, similarity), size), "members")
+    across = _across(members, texts, similarity)
+    release(members)
+    return materialize(close.unionByName(across), "linked")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

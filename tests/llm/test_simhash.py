@@ -166,3 +166,30 @@ def test_layout():
         size, segments = layout(n, 0.8)
         p = agreement(0.8)
         assert 1 - (1 - p**size - size * p ** (size - 1) * (1 - p)) ** segments >= simhash.RECALL and size <= 30
+
+
+def test_every_pair_that_meets_is_verified(spark):
+    """A group of copies edited more and less: each one's closest fingerprints aren't its most similar texts."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    base = [r.choice(words) for _ in range(150)]
+    docs = []
+    for i in range(700):
+        copy = base[:]
+        for k in r.sample(range(len(base)), r.randint(1, 9)):
+            copy[k] = f"edited{r.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    size, segments = layout(len(docs), 0.8)
+    keyed = rows.selectExpr("doc_id AS id", "0L AS m1", "0L AS m2", "CAST(text AS binary) AS text")
+    sets = [(x["id"], np.array(x["fps"], np.int64).view(np.uint64), set(np.frombuffer(x["shingles"], np.uint32).tolist())) for x in simhash._shingled(keyed, 5, 42, 2).collect()]
+    root = {i: i for i, _, _ in sets}
+    for i, a, x in sets:
+        for j, b, y in sets[:i]:
+            d = a ^ b
+            meet = any((int(d[k // (64 // size)]) >> (k % (64 // size) * size) & ((1 << size) - 1)).bit_count() <= 1 for k in range(segments))
+            if root[i] != root[j] and meet and np.bitwise_count(d).sum() <= simhash.farthest(128, 0.8) and len(x & y) >= 0.8 * len(x | y):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert 2 < len(set(root.values())) < 600
+    assert {x["doc_id"] for x in one_of_each(rows).collect()} == set(root.values())
