@@ -22,6 +22,11 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded, halves away from zero; what is negative and rounds to zero stays negative, as in SQL."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def total(x: Column, f=lambda v: v) -> Column:
     return F.aggregate(doubles(x), F.lit(0.0), lambda a, v: a + f(v))
 
