@@ -8,7 +8,7 @@ import __spark_entry__
 E = [0.25, -1e-8, 1e-8, -0.0, 0.0, -0.3, -4e-7, -6e-7] * 8
 
 
-@pytest.mark.parametrize("name", ["dry_wet_mix"])
+@pytest.mark.parametrize("name", ["dry_wet_mix", "linear_resample"])
 def test_negative_values_that_round_to_zero(spark, tmp_path, name):
     rows = [(0, E), (1, [x / 2 for x in E]), (2, [-x for x in E]), (3, [-1e-9] * 64)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
